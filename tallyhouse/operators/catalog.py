@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.money import MONEY, one_decimal_mean
-from .skew import CHUNK_ROWS, chunked_lists, top_n_per_key
+from .skew import (CHUNK_ROWS, chunked_lists, collect_parts, header_parts, hot_parts, tag_parts,
+                   top_n_per_key)
 
 
 def paid_order_counts(items: DataFrame, orders: DataFrame, approximate: bool = False) -> DataFrame:
@@ -56,11 +57,13 @@ def linked_ids(parents: DataFrame, links: DataFrame, parent: str, child: str, na
 
 def orders_with_items(orders: DataFrame, items: DataFrame, products: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Orders that have items, with a nested item list; very large orders come in parts."""
+    hot = hot_parts(items, ["order_id"], chunk_rows=chunk_rows)
     rows = items.select("order_id", "line_no", "product_id", "price", "item_key") \
         .join(products.select("product_id", "name", "category"), "product_id")
-    lists = chunked_lists(rows, ["order_id"], ["item_key"],
-                          F.struct("line_no", "product_id", "name", "price", "category"), "items", chunk_rows=chunk_rows)
-    return orders.join(lists, "order_id")
+    headers = header_parts(orders, hot, ["order_id"])
+    nested = headers.join(tag_parts(rows, hot, ["order_id"], ["item_key"]), ["order_id", "part_no"])
+    return collect_parts(nested, ["order_id"], F.struct("line_no", "product_id", "name", "price", "category"), "items",
+                         carry=[c for c in orders.columns if c != "order_id"])
 
 
 def items_json(items_column: str = "items"):

@@ -112,7 +112,8 @@ def refund_orders(orders: DataFrame, refunded_items: DataFrame, accepted: DataFr
     customer's request; with the amount paid back.  A partial refund leaves the
     order's own amount as it was."""
     zero = F.lit(0).cast(MONEY)
-    touched = refunded_items.join(accepted.select("order_id"), "order_id", "left_semi").groupBy("order_id").agg(
+    # Summed per order before the join, which then sees one row per order.
+    touched = refunded_items.groupBy("order_id").agg(
         F.count_if("refunded_now").alias("_refunded"),
         F.count_if(F.col("item_status") == "active").alias("_left"),
         F.coalesce(F.sum(F.when(F.col("refunded_now"), F.col("price"))), zero).alias("refund_amount"))
@@ -202,15 +203,16 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[C
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Add the new rows whose key is not there yet, the first by ``order`` of each key."""
-    fresh = top_n_per_key(new.join(old.select(*keys), keys, "left_anti"), keys, order, 1, rank="_rank").drop("_rank")
-    return old.unionByName(fresh)
+    """Add the new rows whose key is not there yet, the first by ``order`` of
+    each key.  Repeats go before the join."""
+    first = top_n_per_key(new, keys, order, 1, rank="_rank").drop("_rank")
+    return old.unionByName(first.join(old.select(*keys), keys, "left_anti"))
 
 
 def replace_children(links: DataFrame, parents: DataFrame, new_links: DataFrame, parent: str) -> DataFrame:
     """Give the listed parents a new, de-duplicated set of links."""
     kept = links.join(parents.select(parent), parent, "left_anti")
-    wanted = new_links.join(parents.select(parent), parent, "left_semi").distinct()
+    wanted = new_links.distinct().join(parents.select(parent), parent, "left_semi")
     return kept.unionByName(wanted)
 
 

@@ -110,7 +110,7 @@ def customer_360(users: DataFrame, orders: DataFrame, items: DataFrame, products
         "reviews": (named, ["created_at", "review_id", "product_id", "name", "rating"], "review_id"),
         "notes": (notes, ["created_at", "note_id", "content"], "note_id"),
         "coupons": (coupons, ["created_at", "claim_id", "coupon_event_id", "is_used"], "claim_id"),
-    }, "user_id", chunk_rows)
+    }, "user_id", chunk_rows).join(users.select("user_id"), "user_id", "left_semi")
     return profile.join(lists, ["user_id", "part_no"], "full")
 
 
@@ -121,9 +121,10 @@ def _capped_list(ranked: DataFrame, name: str, columns: list[str]) -> DataFrame:
 
 
 def whole_lists(children: dict, key: str, chunk_rows: int) -> DataFrame:
-    """Several child lists per key, aligned on (key, part_no)."""
+    """Several child lists per key, aligned on (key, part_no).  A child is
+    (rows, columns of an entry, row key) and, where rows differ in size, a weight."""
     result = None
-    for name, (rows, columns, row_key) in children.items():
-        part = chunked_lists(rows, [key], [row_key], F.struct(*columns), name, chunk_rows=chunk_rows)
+    for name, (rows, columns, row_key, *weight) in children.items():
+        part = chunked_lists(rows, [key], [row_key], F.struct(*columns), name, *weight, chunk_rows=chunk_rows)
         result = part if result is None else result.join(part, [key, "part_no"], "full")
     return result

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from . import filters
-from .skew import CHUNK_ROWS, chunked_lists
+from .skew import CHUNK_ROWS, collect_parts, header_parts, hot_parts, tag_parts
 
 
 def order_items_detail(items: DataFrame, products: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,13 +49,15 @@ def order_list(orders: DataFrame, users: DataFrame, items: DataFrame, products:
     """
     chosen = filters.filter_orders(orders, **conditions).join(
         users.select("user_id", F.col("name").alias("buyer_name"), F.col("email").alias("buyer_email")), "user_id")
+    hot = hot_parts(items, ["order_id"], chunk_rows=chunk_rows)
     named = order_items_detail(items.select("order_id", "line_no", "product_id", "item_key"), products, ["name"]) \
         .withColumnRenamed("name", "product_name")
-    rows = filters.search_wild(chosen.join(named, "order_id", "left"),
-                               ["buyer_name", "buyer_email", "product_name"], search)
+    rows = header_parts(chosen, hot, ["order_id"]) \
+        .join(tag_parts(named, hot, ["order_id"], ["item_key"]), ["order_id", "part_no"], "left") \
+        .filter((F.col("part_no") == 0) | F.col("product_name").isNotNull())
+    rows = filters.search_wild(rows, ["buyer_name", "buyer_email", "product_name"], search)
     item = F.when(F.col("product_name").isNotNull(), F.struct("product_name", "line_no", "product_id"))
-    lists = chunked_lists(rows, ["order_id"], ["item_key"], item, "_items",
-                          carry=[c for c in chosen.columns if c != "order_id"], chunk_rows=chunk_rows)
+    lists = collect_parts(rows, ["order_id"], item, "_items", carry=[c for c in chosen.columns if c != "order_id"])
     names = F.array_join(F.transform("_items", lambda i: i["product_name"]), ", ")
     return lists.withColumn("product_names", F.when(F.size("_items") > 0, names)).drop("_items")
 
@@ -108,10 +110,11 @@ def link_identities(profiles: DataFrame, users: DataFrame) -> DataFrame:
         .agg(F.min("user_id").alias("_by_id"))
     by_email = users.filter(F.col("email").isNotNull()).groupBy("email") \
         .agg(F.min(F.struct("user_id", "provider_id")).alias("_by_email"))
-    found = profiles.join(by_id, ["provider", "provider_id"], "left").join(by_email, "email", "left")
-    firsts = found.filter(F.col("_by_id").isNull() & F.col("email").isNotNull()) \
-        .groupBy("email").agg(F.min("profile_no").alias("_first"))
-    found = found.join(firsts, "email", "left")
+    found = profiles.join(by_id, ["provider", "provider_id"], "left")
+    # One row per address, so that the profiles meet their e-mail in one join.
+    addresses = found.filter(F.col("_by_id").isNull() & F.col("email").isNotNull()) \
+        .groupBy("email").agg(F.min("profile_no").alias("_first")).join(by_email, "email", "left")
+    found = found.join(addresses, "email", "left")
     is_first = F.coalesce(F.col("_first") == F.col("profile_no"), F.lit(True))
     user_id = F.coalesce(F.col("_by_id"), F.col("_by_email.user_id"))
     action = F.when(F.col("_by_id").isNotNull(), "match") \

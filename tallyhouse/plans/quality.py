@@ -109,8 +109,8 @@ UNION ALL SELECT 'downloads', count(*)::BIGINT, coalesce(sum(n - 1), 0)::BIGINT
   SELECT count(*) AS n FROM shop_events WHERE event_type = 'purchase' GROUP BY user_id, item_id HAVING count(*) > 1)
 UNION ALL SELECT 'emails', count(*)::BIGINT, coalesce(sum(n - 1), 0)::BIGINT FROM (
   SELECT count(*) AS n FROM shop_users GROUP BY email HAVING count(*) > 1)
-UNION ALL SELECT 'texts', count(*)::BIGINT, coalesce(sum(n - 1), 0)::BIGINT FROM (
-  SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)
+UNION ALL SELECT 'likes', count(*)::BIGINT, coalesce(sum(n - 1), 0)::BIGINT FROM (
+  SELECT count(*) AS n FROM shop_events WHERE event_type = 'click' GROUP BY user_id, item_id HAVING count(*) > 1)
 """)
 def check_unique(shop):
     return quality.check_unique({
@@ -118,7 +118,7 @@ def check_unique(shop):
         "orders": (shop.orders, ["order_id"]),
         "downloads": (shop.events_of("purchase"), ["user_id", "item_id"]),
         "emails": (shop.users, ["email"]),
-        "texts": (shop.table("documents"), ["text"]),
+        "likes": (shop.toggles, ["item_id", "fingerprint"]),
     })
 
 

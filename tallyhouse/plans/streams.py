@@ -83,10 +83,10 @@ def stream_point_balance(shop):
 # All matches; of the orders without payment those a payment can no longer reach.
 @query("R6 J12", sql="""
 WITH paid AS (SELECT * FROM shop_payments WHERE payment_status = 'PAID'),
-mark AS (SELECT least((SELECT max(created_at) FROM shop_orders), (SELECT max(paid_at) FROM paid)) - INTERVAL 1 DAY AS at)
+mark AS (SELECT least((SELECT max(created_at) FROM shop_orders), (SELECT max(paid_at) FROM paid)) - INTERVAL 1 DAY AS passed)
 SELECT o.order_id, o.final_amount::DOUBLE AS final_amount, o.created_at AS ordered_at, p.payment_id, p.paid_at AS payment_at
 FROM shop_orders o LEFT JOIN paid p ON p.order_id = o.order_id AND p.amount = o.final_amount
-WHERE p.order_id IS NOT NULL OR o.created_at + INTERVAL 3 DAY < (SELECT at FROM mark)
+WHERE p.order_id IS NOT NULL OR o.created_at + INTERVAL 3 DAY < (SELECT passed FROM mark)
 """)
 def stream_payment_match(shop):
     table = _run(shop, lambda live: jobs.match_payments(live.orders, live.payments), "append", "payments")

@@ -19,12 +19,12 @@ def user_bundles(users: DataFrame, orders: DataFrame, items: DataFrame, products
     """
     named = order_items_detail(items.select("order_id", "line_no", "product_id", "price", "item_key"), products, ["name"])
     lists = chunked_lists(named, ["order_id"], ["item_key"], F.struct("line_no", "name", "price"), "items",
-                          chunk_rows=chunk_rows).withColumnRenamed("part_no", "items_part")
+                          sized_by=items, chunk_rows=chunk_rows).withColumnRenamed("part_no", "items_part")
     full_orders = orders.select("order_id", "user_id", "final_amount", "status", "paid_at", "created_at") \
         .join(lists, "order_id") \
         .withColumn("order_part", F.concat_ws("/", "order_id", "items_part"))
     bundle = whole_lists({
-        "orders": (full_orders, ["created_at", "order_id", "items_part", "final_amount", "status", "paid_at", "items"], "order_part"),
+        "orders": (full_orders, ["created_at", "order_id", "items_part", "final_amount", "status", "paid_at", "items"], "order_part", F.size("items")),
         "downloads": (order_items_detail(downloads, products, ["name"]), ["product_id", "name", "created_at"], "product_id"),
         "reviews": (order_items_detail(reviews, products, ["name"]), ["review_id", "name", "rating", "created_at"], "review_id"),
         "point_history": (ledger, ["created_at", "entry_id", "type", "amount"], "entry_id"),
