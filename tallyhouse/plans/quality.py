@@ -5,6 +5,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..operators import quality
+from ..sources.tables import read_table
 from .output import plain
 from .registry import query
 
@@ -160,4 +161,5 @@ UNION ALL SELECT 'c_mktsegment', 'added', NULL, 'string', count(c_mktsegment)::B
 """)
 def schema_drift(shop):
     expected = StructType.fromDDL("c_custkey bigint, c_name string, c_acctbal decimal(18,2), c_phone string")
-    return plain(quality.schema_drift(shop.table("customer"), expected))
+    stored = read_table(shop.spark, shop.folder, "customer", declared=False)
+    return plain(quality.schema_drift(stored, expected))

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.money import MONEY, money
-from ..sources.tables import read_table
+from ..sources.tables import read_table, stream_table
 
 # Report dates: the orders end on 2001-08-01, the events on 2024-01-30.
 ORDERS_AS_OF = "2001-06-30"
@@ -46,10 +46,7 @@ class Shop:
         return Shop(self.spark, self.folder, streaming=True)
 
     def table(self, name: str) -> DataFrame:
-        table = read_table(self.spark, self.folder, name)
-        if not self.streaming:
-            return table
-        return self.spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return (stream_table if self.streaming else read_table)(self.spark, self.folder, name)
 
     def values(self, rows, schema: str) -> DataFrame:
         """A small fixed dimension."""
