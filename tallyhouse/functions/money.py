@@ -1,4 +1,8 @@
-"""Price, discount and currency rules."""
+"""Price, discount and currency rules.
+
+Money is a whole number of the currency's smallest unit (BIGINT), so sums are
+exact and stay in generated code.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, functions as F
 
 from .fixed_values import WON_PER_USD
 
-MONEY = "decimal(18,2)"
+MONEY = "bigint"
 
 
 def money(col: Column) -> Column:
@@ -25,14 +29,14 @@ def default_if_falsy(col: Column, default, empty=0) -> Column:
 
 
 def coupon_discount(kind: Column, value: Column, total: Column) -> Column:
-    """Percent of the total rounded down, uncapped; anything else is a fixed
-    amount that cannot exceed the total."""
+    """Percent (a decimal) of the total rounded down, uncapped; anything else is
+    a fixed amount that cannot exceed the total."""
     percent = F.floor(total * value / F.lit(100)).cast(MONEY)
-    return F.when(kind == "percent", percent).otherwise(money(F.least(value, total)))
+    return F.when(kind == "percent", percent).otherwise(F.least(money(value), total))
 
 
 def final_amount(total: Column, discount: Column) -> Column:
-    return F.greatest(F.lit(0).cast(MONEY), money(total - discount))
+    return F.greatest(F.lit(0).cast(MONEY), total - discount)
 
 
 def never_negative(col: Column) -> Column:
@@ -40,7 +44,7 @@ def never_negative(col: Column) -> Column:
 
 
 def in_usd(amount: Column, rate: int = WON_PER_USD) -> Column:
-    return F.round(money(amount) / F.lit(rate), 2).cast(MONEY)
+    return F.round(amount.cast("decimal(18,0)") / F.lit(rate), 2).cast("decimal(18,2)")
 
 
 def asks_for_price(price: Column) -> Column:

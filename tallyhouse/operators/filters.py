@@ -51,7 +51,7 @@ def name_contains(df: DataFrame, keyword: str, column: str = "name") -> DataFram
 
 
 def with_price(products: DataFrame, price) -> DataFrame:
-    return products.filter(F.col("price") == F.lit(str(price)).cast("decimal(18,2)")) if _chosen(price) else products
+    return products.filter(F.col("price") == int(price)) if _chosen(price) else products
 
 
 def active_only(df: DataFrame) -> DataFrame:

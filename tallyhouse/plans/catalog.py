@@ -40,9 +40,9 @@ def review_summary(shop):
 
 
 @query("A19", sql="""
-SELECT order_id AS cart_id, count(*)::BIGINT AS item_count, sum(price)::DOUBLE AS total,
+SELECT order_id AS cart_id, count(*)::BIGINT AS item_count, sum(price)::BIGINT AS total,
        (count(*) FILTER (WHERE line_status = 'O'))::BIGINT AS checked_count,
-       coalesce(sum(price) FILTER (WHERE line_status = 'O'), 0)::DOUBLE AS checked_total
+       coalesce(sum(price) FILTER (WHERE line_status = 'O'), 0)::BIGINT AS checked_total
 FROM shop_items GROUP BY order_id
 """)
 def cart_totals(shop):
@@ -119,9 +119,9 @@ def state_after_refund(shop):
 
 @query("S7 J13 X4 X5 X19", sql=f"""
 WITH {STATS}
-SELECT p.product_id, p.name, p.category AS cat, p.price::DOUBLE AS price, coalesce(p.discount_price, 0)::DOUBLE AS discount,
+SELECT p.product_id, p.name, p.category AS cat, p.price::BIGINT AS price, coalesce(p.discount_price, 0)::BIGINT AS discount,
        CASE WHEN coalesce(p.sale_type, '') = '' THEN 'file' ELSE p.sale_type END AS type, p.description AS desc,
-       CASE WHEN p.price = 0 THEN NULL ELSE coalesce(nullif(p.discount_price, 0), p.price) END::DOUBLE AS shown_price,
+       CASE WHEN p.price = 0 THEN NULL ELSE coalesce(nullif(p.discount_price, 0), p.price) END::BIGINT AS shown_price,
        CASE WHEN p.new_badge THEN 'NEW' WHEN p.best_badge THEN 'BEST' ELSE 'ON SALE' END AS badge,
        s.view_count AS views, s.purchase_count::BIGINT AS downloads
 FROM shop_products p JOIN stats s ON s.product_id = p.product_id WHERE p.is_active

@@ -60,7 +60,7 @@ def _refunds(shop):
 
 
 @query("M3", sql="""
-SELECT order_id, product_id, line_no::BIGINT AS line_no, price::DOUBLE AS price,
+SELECT order_id, product_id, line_no::BIGINT AS line_no, price::BIGINT AS price,
        CASE WHEN refunded_now THEN 'refunded' ELSE item_status END AS item_status, refunded_now
 FROM shop_refunded_items
 """)
@@ -73,13 +73,11 @@ WITH touched AS (SELECT order_id, count(*) FILTER (WHERE refunded_now) AS refund
                         count(*) FILTER (WHERE item_status = 'active' AND NOT refunded_now) AS remaining,
                         sum(CASE WHEN refunded_now THEN price ELSE 0 END) AS refund_amount
                  FROM shop_refunded_items GROUP BY order_id)
-SELECT o.order_id, o.final_amount::DOUBLE AS final_amount,
+SELECT o.order_id, o.final_amount::BIGINT AS final_amount,
        CASE WHEN o.status = 'paid' AND (o.payment_method = '1-URGENT' OR (t.refunded > 0 AND t.remaining = 0)) THEN 'refund'
             ELSE o.status END AS status,
-       coalesce(t.refund_amount, 0)::DOUBLE AS refund_amount,
-       CASE WHEN CAST(coalesce(t.refund_amount, 0) * 100 AS BIGINT) % 1350 * 2 >= 1350
-            THEN CAST(coalesce(t.refund_amount, 0) * 100 AS BIGINT) // 1350 + 1
-            ELSE CAST(coalesce(t.refund_amount, 0) * 100 AS BIGINT) // 1350 END / 100.0::DOUBLE AS refund_usd
+       coalesce(t.refund_amount, 0)::BIGINT AS refund_amount,
+       ((CAST(coalesce(t.refund_amount, 0) AS BIGINT) * 200 + 1350) // 2700) / 100.0::DOUBLE AS refund_usd
 FROM shop_orders o LEFT JOIN touched t ON t.order_id = o.order_id
 """)
 def refund_orders(shop):
@@ -123,7 +121,7 @@ lows AS (SELECT *, least(0, min(s) OVER (PARTITION BY user_id ORDER BY created_a
 
 @query("M5 X20", sql=f"""
 WITH {RUNNING}
-SELECT user_id, count(*)::BIGINT AS entries, (sum(amount) - min(low))::DOUBLE AS balance FROM lows GROUP BY user_id
+SELECT user_id, count(*)::BIGINT AS entries, (sum(amount) - min(low))::BIGINT AS balance FROM lows GROUP BY user_id
 """)
 def point_balances(shop):
     return plain(changes.point_balances(shop.ledger), "user_id", "entries", "balance")
@@ -131,15 +129,15 @@ def point_balances(shop):
 
 @query("W5 M5", sql=f"""
 WITH {RUNNING}
-SELECT user_id, entry_id, amount::DOUBLE AS amount, CASE WHEN amount > 0 THEN 'admin_add' ELSE 'admin_deduct' END AS type,
-       (s - low)::DOUBLE AS balance FROM lows
+SELECT user_id, entry_id, amount::BIGINT AS amount, CASE WHEN amount > 0 THEN 'admin_add' ELSE 'admin_deduct' END AS type,
+       (s - low)::BIGINT AS balance FROM lows
 """)
 def point_balance_running(shop):
     return plain(changes.running_balances(shop.typed_ledger), "user_id", "entry_id", "amount", "type", "balance")
 
 
 @query("M5 J9", sql=f"""
-SELECT o.user_id, count(*)::BIGINT AS entries, (count(*) * {REVIEW_POINTS})::DOUBLE AS points
+SELECT o.user_id, count(*)::BIGINT AS entries, (count(*) * {REVIEW_POINTS})::BIGINT AS points
 FROM shop_reviews r JOIN shop_orders o ON o.order_id = r.order_id WHERE o.status = 'paid' GROUP BY o.user_id
 """)
 def review_rewards(shop):

@@ -2,15 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.money import money
 from ..operators import coupons
 from .output import plain
 from .registry import query
 
-# Percent of an amount rounded down, in whole hundredths, so no binary fraction enters.
+# Percent of an amount rounded down, in whole numbers, so no binary fraction enters.
 DISCOUNT = """CASE WHEN discount_type = 'percent'
-    THEN (CAST({total} * 100 AS BIGINT) * CAST(discount_value * 100 AS BIGINT)) // 1000000
-    ELSE least(discount_value, {total}) END"""
+    THEN (CAST({total} AS BIGINT) * CAST(discount_value * 100 AS BIGINT)) // 10000
+    ELSE least(CAST(discount_value AS BIGINT), CAST({total} AS BIGINT)) END"""
 
 
 @query("M1 F14 J8 X6 X7 X10", sql=f"""
@@ -30,9 +29,9 @@ priced AS (
   FROM shop_requests r LEFT JOIN lines l USING (request_id) LEFT JOIN totals t USING (request_id)
   LEFT JOIN shop_offers f USING (request_id))
 SELECT request_id, user_id, reject_reason,
-       CASE WHEN reject_reason IS NULL THEN total END::DOUBLE AS total_amount,
-       CASE WHEN reject_reason IS NULL THEN CASE WHEN used_claim IS NULL THEN 0 ELSE offered END END::DOUBLE AS discount_amount,
-       CASE WHEN reject_reason IS NULL THEN greatest(0, total - CASE WHEN used_claim IS NULL THEN 0 ELSE offered END) END::DOUBLE
+       CASE WHEN reject_reason IS NULL THEN total END::BIGINT AS total_amount,
+       CASE WHEN reject_reason IS NULL THEN CASE WHEN used_claim IS NULL THEN 0 ELSE offered END END::BIGINT AS discount_amount,
+       CASE WHEN reject_reason IS NULL THEN greatest(0, total - CASE WHEN used_claim IS NULL THEN 0 ELSE offered END) END::BIGINT
          AS final_amount,
        CASE WHEN reject_reason IS NULL THEN used_claim END AS claim_id
 FROM priced
@@ -42,7 +41,7 @@ def price_orders(shop):
 
 
 @query("M16 J8 X6 X10", sql=f"""
-WITH asked AS (SELECT *, CASE WHEN amount < 100000 THEN [] WHEN amount < 250000 THEN ['PROMO', 'SMALL'] ELSE ['LARGE'] END::VARCHAR[] AS cats
+WITH asked AS (SELECT *, CASE WHEN amount < 10000000 THEN [] WHEN amount < 25000000 THEN ['PROMO', 'SMALL'] ELSE ['LARGE'] END::VARCHAR[] AS cats
                FROM shop_requests),
 quoted AS (
   SELECT a.request_id, a.user_id, a.claim_id, a.amount, f.coupon_event_id,
@@ -52,14 +51,14 @@ quoted AS (
                 THEN 'category_mismatch' END AS reject_reason,
          {DISCOUNT.format(total='a.amount')} AS offered
   FROM asked a LEFT JOIN shop_offers f USING (request_id))
-SELECT request_id, user_id, claim_id, amount::DOUBLE AS amount, reject_reason,
-       CASE WHEN reject_reason IS NULL THEN offered END::DOUBLE AS discount, coupon_event_id
+SELECT request_id, user_id, claim_id, amount::BIGINT AS amount, reject_reason,
+       CASE WHEN reject_reason IS NULL THEN offered END::BIGINT AS discount, coupon_event_id
 FROM quoted
 """)
 def quote_coupons(shop):
     amount = F.col("amount")
-    named = F.when(amount < 100000, F.array().cast("array<string>")) \
-        .when(amount < 250000, F.array(F.lit("PROMO"), F.lit("SMALL"))).otherwise(F.array(F.lit("LARGE")))
+    named = F.when(amount < 10_000_000, F.array().cast("array<string>")) \
+        .when(amount < 25_000_000, F.array(F.lit("PROMO"), F.lit("SMALL"))).otherwise(F.array(F.lit("LARGE")))
     requests = shop.requests.withColumn("categories", named)
     return plain(coupons.quote_coupons(requests, shop.claims, shop.coupon_events))
 
@@ -89,16 +88,16 @@ def claim_coupons(shop):
 
 
 @query("X6 X7", sql="""
-SELECT order_id, ((CAST(final_amount * 100 AS BIGINT) * 1250) // 1000000)::DOUBLE AS percent_off,
-       least(final_amount, 150000)::DOUBLE AS amount_off,
-       greatest(final_amount - 150000, 0)::DOUBLE AS left_to_pay
+SELECT order_id, ((final_amount * 1250) // 10000)::BIGINT AS percent_off,
+       least(final_amount, 15000000)::BIGINT AS amount_off,
+       greatest(final_amount - 15000000, 0)::BIGINT AS left_to_pay
 FROM shop_orders
 """)
 def coupon_discounts(shop):
     from ..functions.money import coupon_discount, final_amount
     total = F.col("final_amount")
-    rate, off = F.lit("12.50").cast("decimal(10,2)"), F.lit("150000").cast("decimal(10,2)")
+    rate, off = F.lit("12.50").cast("decimal(10,2)"), F.lit("15000000").cast("decimal(10,2)")
     amount_off = coupon_discount(F.lit("amount"), off, total)
     return plain(shop.orders.select(
-        "order_id", coupon_discount(F.lit("percent"), rate, total).alias("percent_off"), money(amount_off).alias("amount_off"),
+        "order_id", coupon_discount(F.lit("percent"), rate, total).alias("percent_off"), amount_off.alias("amount_off"),
         final_amount(total, amount_off).alias("left_to_pay")))

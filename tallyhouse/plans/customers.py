@@ -6,14 +6,14 @@ from ..functions.customer import GradeLimits
 from ..operators import customers
 from .output import plain
 from .registry import query
-from .shop import ORDERS_AS_OF
+from .shop import LIMITS, ORDERS_AS_OF
 
 MEASURES = ["user_id", "total_spent", "total_orders", "monthly_amount", "last_purchased_at", "refund_count"]
 
 
 @query("A9 X19", sql="""
-SELECT user_id, total_spent::DOUBLE AS total_spent, total_orders::BIGINT AS total_orders,
-       monthly_amount::DOUBLE AS monthly_amount, last_purchased_at, refund_count::BIGINT AS refund_count
+SELECT user_id, total_spent::BIGINT AS total_spent, total_orders::BIGINT AS total_orders,
+       monthly_amount::BIGINT AS monthly_amount, last_purchased_at, refund_count::BIGINT AS refund_count
 FROM shop_measured
 """)
 def customer_rfm(shop):
@@ -21,22 +21,22 @@ def customer_rfm(shop):
 
 
 @query("A10 X1", sql="""
-SELECT user_id, total_orders::BIGINT AS total_orders, monthly_amount::DOUBLE AS monthly_amount, grade FROM shop_graded
+SELECT user_id, total_orders::BIGINT AS total_orders, monthly_amount::BIGINT AS monthly_amount, grade FROM shop_graded
 """)
 def customer_grades(shop):
-    graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF)
+    graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF, LIMITS)
     return plain(graded, "user_id", "total_orders", "monthly_amount", "grade")
 
 
 @query("A10 X1", sql="""
-SELECT user_id, total_orders::BIGINT AS total_orders, monthly_amount::DOUBLE AS monthly_amount,
-       CASE WHEN total_orders = 0 THEN 'new' WHEN monthly_amount <= 1000 THEN 'sprout'
-         WHEN monthly_amount <= 100000 THEN 'regular' WHEN monthly_amount <= 300000 THEN 'vip' ELSE 'vvip' END AS grade
+SELECT user_id, total_orders::BIGINT AS total_orders, monthly_amount::BIGINT AS monthly_amount,
+       CASE WHEN total_orders = 0 THEN 'new' WHEN monthly_amount <= 100000 THEN 'sprout'
+         WHEN monthly_amount <= 10000000 THEN 'regular' WHEN monthly_amount <= 30000000 THEN 'vip' ELSE 'vvip' END AS grade
 FROM shop_measured WHERE is_active
 """)
 def member_grades(shop):
     graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF,
-                                       GradeLimits(1_000, 100_000, 300_000), honour_manual=False)
+                                       GradeLimits(100_000, 10_000_000, 30_000_000), honour_manual=False)
     return plain(graded, "user_id", "total_orders", "monthly_amount", "grade")
 
 
@@ -48,7 +48,7 @@ FROM (SELECT *, CAST(floor(epoch(TIMESTAMP '2001-06-30' - last_purchased_at) / 8
 """)
 def customer_rules(shop):
     from ..functions.dates import dotted_day_text
-    graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF)
+    graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF, LIMITS)
     return customers.customer_rules(graded, ORDERS_AS_OF).select(
         "user_id", "days_since", dotted_day_text(F.col("last_purchased_at")).alias("last_day"), "risk", "state")
 
@@ -61,7 +61,7 @@ SELECT count(*)::BIGINT AS total, (count(*) FILTER (WHERE grade = 'new'))::BIGIN
 FROM shop_graded
 """)
 def grade_distribution(shop):
-    return customers.grade_distribution(customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF))
+    return customers.grade_distribution(customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF, LIMITS))
 
 
 @query("A12", sql="""
@@ -74,7 +74,7 @@ SELECT count(*)::BIGINT AS total,
 FROM shop_graded
 """)
 def customer_kpis(shop):
-    return customers.customer_kpis(customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF), ORDERS_AS_OF)
+    return customers.customer_kpis(customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF, LIMITS), ORDERS_AS_OF)
 
 
 @query("W1", sql="""
@@ -88,7 +88,7 @@ def latest_orders_per_user(shop):
 
 
 @query("W2", sql="""
-SELECT user_id, entry_id, amount::DOUBLE AS amount, position FROM (
+SELECT user_id, entry_id, amount::BIGINT AS amount, position FROM (
   SELECT user_id, entry_id, amount,
          row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, entry_id DESC)::BIGINT AS position FROM shop_ledger)
 WHERE position <= 10
@@ -111,7 +111,7 @@ reviews AS (SELECT o.user_id, count(*) AS reviews, sum(r.rating) AS stars
             FROM shop_reviews r JOIN shop_orders o USING (order_id) GROUP BY o.user_id),
 notes AS (SELECT user_id, count(*) AS notes FROM shop_events WHERE event_type = 'view' GROUP BY user_id),
 coupons AS (SELECT user_id, count(*) AS coupons FROM shop_claims GROUP BY user_id)
-SELECT g.user_id, 0::BIGINT AS part_no, g.grade, g.total_spent::DOUBLE AS total_spent, coalesce(ol.orders, 0)::BIGINT AS orders,
+SELECT g.user_id, 0::BIGINT AS part_no, g.grade, g.total_spent::BIGINT AS total_spent, coalesce(ol.orders, 0)::BIGINT AS orders,
        coalesce(ol.first_products, '') AS first_products, coalesce(c.listed_items, 0)::BIGINT AS listed_items,
        coalesce(p.points, 0)::BIGINT AS points, coalesce(r.reviews, 0)::BIGINT AS reviews, coalesce(r.stars, 0)::BIGINT AS stars,
        coalesce(n.notes, 0)::BIGINT AS notes, coalesce(k.coupons, 0)::BIGINT AS coupons
@@ -122,7 +122,7 @@ def customer_360(shop):
     notes = shop.events_of("view").select("user_id", "created_at", F.col("event_id").alias("note_id"),
                                           F.col("item_id").cast("string").alias("content"))
     full = customers.customer_360(shop.users, shop.orders, shop.items, shop.products, shop.user_reviews,
-                                  shop.typed_ledger, notes, shop.claims, ORDERS_AS_OF)
+                                  shop.typed_ledger, notes, shop.claims, ORDERS_AS_OF, LIMITS)
 
     def size(name):
         return F.coalesce(F.size(name), F.lit(0)).cast("bigint").alias(name)

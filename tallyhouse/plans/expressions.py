@@ -36,7 +36,7 @@ def date_texts(shop):
 
 
 @query("X4 X5 X19", sql="""
-SELECT product_id, CASE WHEN view_count < 3 THEN NULL ELSE coalesce(nullif(discount_price, 0), price) END::DOUBLE AS shown_price,
+SELECT product_id, CASE WHEN view_count < 3 THEN NULL ELSE coalesce(nullif(discount_price, 0), price) END::BIGINT AS shown_price,
        view_count < 3 AS asks, CASE WHEN new_badge THEN 'NEW' WHEN best_badge THEN 'BEST' ELSE 'ON SALE' END AS badge,
        CASE WHEN coalesce(sale_type, '') = '' THEN 'file' ELSE sale_type END AS type
 FROM shop_products
@@ -50,7 +50,7 @@ def product_cards(shop):
 
 
 @query("X8", sql="""
-SELECT order_id, ((CAST(final_amount * 100 AS BIGINT) * 2 + 1350) // 2700) / 100.0::DOUBLE AS usd FROM shop_orders
+SELECT order_id, ((final_amount * 200 + 1350) // 2700) / 100.0::DOUBLE AS usd FROM shop_orders
 """)
 def order_amounts_in_usd(shop):
     return plain(shop.orders.select("order_id", money.in_usd(F.col("final_amount")).alias("usd")))

@@ -6,11 +6,11 @@ from ..operators import customers, filters, joins, ordering
 from ..functions import text
 from .output import plain
 from .registry import query
-from .shop import EVENTS_AS_OF, ORDERS_AS_OF
+from .shop import EVENTS_AS_OF, LIMITS, ORDERS_AS_OF
 
 
 @query("F1", sql="""
-SELECT order_id, user_id, status, final_amount::DOUBLE AS final_amount, payment_method, created_at
+SELECT order_id, user_id, status, final_amount::BIGINT AS final_amount, payment_method, created_at
 FROM shop_orders WHERE status = 'paid' AND payment_method = '1-URGENT'
   AND created_at >= TIMESTAMP '1999-01-01' AND created_at < TIMESTAMP '2000-07-01'
 """)
@@ -21,7 +21,7 @@ def orders_filtered(shop):
 
 
 @query("F1 F2 A7 J3", sql="""
-SELECT o.order_id, o.status, o.final_amount::DOUBLE AS final_amount, o.payment_method, o.created_at, u.name AS buyer_name,
+SELECT o.order_id, o.status, o.final_amount::BIGINT AS final_amount, o.payment_method, o.created_at, u.name AS buyer_name,
        u.email AS buyer_email, 0::BIGINT AS part_no,
        string_agg(p.name, ', ' ORDER BY p.name, i.line_no, i.product_id) AS product_names
 FROM shop_orders o JOIN shop_users u ON u.user_id = o.user_id
@@ -69,13 +69,13 @@ def catalog_name_filter(shop):
     return filters.name_contains(shop.products, "  Old R").select("product_id", "name")
 
 
-@query("F5", sql="SELECT product_id, name, price::DOUBLE AS price FROM shop_products WHERE price = 912.5")
+@query("F5", sql="SELECT product_id, name, price::BIGINT AS price FROM shop_products WHERE price = 91250")
 def catalog_price_filter(shop):
-    return plain(filters.with_price(shop.products, "912.5"), "product_id", "name", "price")
+    return plain(filters.with_price(shop.products, "91250"), "product_id", "name", "price")
 
 
 @query("F6 F7", sql="""
-SELECT product_id, name, category, price::DOUBLE AS price FROM shop_products WHERE is_active AND category = 'PROMO'
+SELECT product_id, name, category, price::BIGINT AS price FROM shop_products WHERE is_active AND category = 'PROMO'
 """)
 def category_products(shop):
     return plain(filters.in_category(shop.products, "PROMO"), "product_id", "name", "category", "price")
@@ -137,14 +137,14 @@ WHERE (contains(lower(name), 'furniture') OR contains(lower(email), 'furniture')
   AND floor(epoch(TIMESTAMP '2001-06-30' - last_purchased_at) / 86400) > 90
 """)
 def customers_at_risk(shop):
-    graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF)
+    graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF, LIMITS)
     return filters.customer_segment(graded, "Furniture", "churn", ORDERS_AS_OF) \
         .select("user_id", "name", "grade", "total_orders")
 
 
 @query("F11", sql="SELECT user_id, name, grade FROM shop_graded WHERE grade = 'vip'")
 def customers_of_grade(shop):
-    graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF)
+    graded = customers.customer_grades(shop.users, shop.orders, ORDERS_AS_OF, LIMITS)
     return filters.customer_segment(graded, segment="vip").select("user_id", "name", "grade")
 
 
@@ -177,7 +177,7 @@ def request_completeness(shop):
 
 
 def _sorted_products(order):
-    return f"SELECT product_id, name, price::DOUBLE AS price, created_at FROM shop_products WHERE is_active ORDER BY {order}, product_id LIMIT 50"
+    return f"SELECT product_id, name, price::BIGINT AS price, created_at FROM shop_products WHERE is_active ORDER BY {order}, product_id LIMIT 50"
 
 
 def _top(shop, mode):
@@ -246,7 +246,7 @@ def manual_order(shop):
 
 
 @query("T5 T7", sql="""
-SELECT order_id, status, final_amount::DOUBLE AS final_amount, created_at FROM shop_orders
+SELECT order_id, status, final_amount::BIGINT AS final_amount, created_at FROM shop_orders
 ORDER BY created_at DESC, order_id DESC LIMIT 50 OFFSET 100
 """)
 def order_page(shop):

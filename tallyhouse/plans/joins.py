@@ -8,7 +8,7 @@ from .registry import query
 
 
 @query("J1 J4", sql="""
-SELECT o.order_id, o.final_amount::DOUBLE AS final_amount, o.status, o.created_at, u.email AS buyer_email, u.name AS buyer_name,
+SELECT o.order_id, o.final_amount::BIGINT AS final_amount, o.status, o.created_at, u.email AS buyer_email, u.name AS buyer_name,
        (SELECT p.name FROM shop_items i JOIN shop_products p ON p.product_id = i.product_id WHERE i.order_id = o.order_id
         ORDER BY i.line_no, i.product_id LIMIT 1) AS first_product
 FROM shop_orders o JOIN shop_users u ON u.user_id = o.user_id
@@ -20,7 +20,7 @@ def recent_orders(shop):
 
 
 @query("J2", sql="""
-SELECT i.order_id, i.line_no::BIGINT AS line_no, i.product_id, i.price::DOUBLE AS price, i.item_status, p.name, p.category
+SELECT i.order_id, i.line_no::BIGINT AS line_no, i.product_id, i.price::BIGINT AS price, i.item_status, p.name, p.category
 FROM shop_items i JOIN shop_products p ON p.product_id = i.product_id
 """)
 def order_items_detail(shop):
@@ -59,7 +59,7 @@ def items_with_paid_order(shop):
 
 
 @query("J6", sql="""
-SELECT i.order_id, i.line_no::BIGINT AS line_no, i.product_id, i.price::DOUBLE AS price, i.item_status, o.status, o.paid_at, p.name
+SELECT i.order_id, i.line_no::BIGINT AS line_no, i.product_id, i.price::BIGINT AS price, i.item_status, o.status, o.paid_at, p.name
 FROM shop_items i JOIN shop_products p ON p.product_id = i.product_id JOIN shop_orders o ON o.order_id = i.order_id
 """)
 def settlement_lines(shop):

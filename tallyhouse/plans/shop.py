@@ -11,23 +11,33 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.money import MONEY, money
+from ..functions.customer import GradeLimits
+from ..functions.fixed_values import REGULAR_MAX, SPROUT_MAX, VIP_MAX
 from ..sources.tables import read_table, stream_table
 
 # Report dates: the orders end on 2001-08-01, the events on 2024-01-30.
 ORDERS_AS_OF = "2001-06-30"
 EVENTS_AS_OF = "2024-01-31"
 
+# The test tables' amounts have two decimals; here they are whole hundredths,
+# and so are the grade limits.
+LIMITS = GradeLimits(100 * SPROUT_MAX, 100 * REGULAR_MAX, 100 * VIP_MAX)
+
+
+def hundredths(amount):
+    return F.round(amount * 100).cast("bigint")
+
+
 # Coupon events: id, name, type, value, first and last day, minimum, categories.
 COUPON_EVENTS = [
-    (0, "spring", "percent", "10.00", "1995-01-01", "1998-12-31", "0.00", []),
-    (1, "bulk", "amount", "500.00", "1996-03-01", "2001-12-31", "2000.00", ["ECONOMY", "SMALL"]),
-    (2, "odd percent", "percent", "12.50", "1995-06-01", "2000-06-30", "900.00", ["LARGE", "PROMO", "MEDIUM"]),
-    (3, "over the top", "percent", "120.00", "1997-01-01", "2001-12-31", "0.00", ["PROMO"]),
-    (4, "large amount", "fixed", "400000.00", "1995-01-01", "2001-12-31", "1000.00", []),
-    (5, "new year", "percent", "7.00", "2024-01-01", "2024-01-10", "0.00", []),
-    (6, "mid month", "amount", "300.00", "2024-01-08", "2024-01-20", "100.00", ["SMALL"]),
-    (7, "late month", "percent", "15.00", "2024-01-15", "2024-01-31", "0.00", ["LARGE"]),
+    (0, "spring", "percent", "10.00", "1995-01-01", "1998-12-31", 0, []),
+    (1, "bulk", "amount", "50000.00", "1996-03-01", "2001-12-31", 200000, ["ECONOMY", "SMALL"]),
+    (2, "odd percent", "percent", "12.50", "1995-06-01", "2000-06-30", 90000, ["LARGE", "PROMO", "MEDIUM"]),
+    (3, "over the top", "percent", "120.00", "1997-01-01", "2001-12-31", 0, ["PROMO"]),
+    (4, "large amount", "fixed", "40000000.00", "1995-01-01", "2001-12-31", 100000, []),
+    (5, "new year", "percent", "7.00", "2024-01-01", "2024-01-10", 0, []),
+    (6, "mid month", "amount", "30000.00", "2024-01-08", "2024-01-20", 10000, ["SMALL"]),
+    (7, "late month", "percent", "15.00", "2024-01-15", "2024-01-31", 0, ["LARGE"]),
 ]
 # The lines have no key of their own; these columns tell them apart.
 ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -70,25 +80,25 @@ class Shop:
             .otherwise("refund")
         return self.table("orders").select(
             F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), state.alias("status"),
-            money(F.col("o_totalprice")).alias("final_amount"), F.col("o_orderpriority").alias("payment_method"),
+            hundredths(F.col("o_totalprice")).alias("final_amount"), F.col("o_orderpriority").alias("payment_method"),
             F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("paid_at"))
 
     @cached_property
     def items(self):
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
-            F.col("l_linenumber").alias("line_no"), money(F.col("l_extendedprice")).alias("price"),
+            F.col("l_linenumber").alias("line_no"), hundredths(F.col("l_extendedprice")).alias("price"),
             F.when(F.col("l_returnflag") == "R", "refunded").otherwise("active").alias("item_status"),
             F.col("l_linestatus").alias("line_status"), F.col("l_shipdate").alias("created_at"),
             F.xxhash64(*ITEM_KEY).alias("item_key"))
 
     @cached_property
     def products(self):
-        size, price = F.col("p_size"), money(F.col("p_retailprice"))
+        size, price = F.col("p_size"), hundredths(F.col("p_retailprice"))
         return self.table("part").select(
             F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"),
             F.col("p_type").alias("category"), F.col("p_brand").alias("description"), price.alias("price"),
-            F.when(size > 25, money(price - size)).alias("discount_price"),
+            F.when(size > 25, price - size * 100).alias("discount_price"),
             F.when(size > 10, "inquiry").when(size > 7, "").alias("sale_type"),
             (size >= 5).alias("is_active"), size.cast("bigint").alias("view_count"),
             F.when(size > 20, size.cast("bigint")).alias("download_count"),
@@ -120,10 +130,10 @@ class Shop:
     @cached_property
     def ledger(self):
         """Purchases add points, errors take them."""
-        amount = money(F.col("value"))
+        amount = hundredths(F.col("value"))
         return self.events.filter(F.col("event_type").isin("purchase", "error")).select(
             F.col("event_id").alias("entry_id"), "user_id", "created_at",
-            F.when(F.col("event_type") == "purchase", amount).otherwise(money(-amount)).alias("amount"))
+            F.when(F.col("event_type") == "purchase", amount).otherwise(-amount).alias("amount"))
 
     @cached_property
     def typed_ledger(self):
@@ -145,9 +155,8 @@ class Shop:
     def coupon_events(self):
         rows = self.values([tuple(r) for r in COUPON_EVENTS],
                            "coupon_event_id bigint, name string, discount_type string, discount_value string, "
-                           "start_date string, end_date string, min_order_amount string, applicable_categories array<string>")
+                           "start_date string, end_date string, min_order_amount bigint, applicable_categories array<string>")
         return rows.withColumn("discount_value", F.col("discount_value").cast("decimal(10,2)")) \
-            .withColumn("min_order_amount", F.col("min_order_amount").cast(MONEY)) \
             .withColumn("start_date", F.col("start_date").cast("date")) \
             .withColumn("end_date", F.col("end_date").cast("date"))
 
@@ -177,7 +186,7 @@ class Shop:
         orders = self.orders
         how = F.col("payment_method")
         state = F.when(how == "5-LOW", "FAILED").when(how == "4-NOT SPECIFIED", "VIRTUAL_ACCOUNT_ISSUED").otherwise("PAID")
-        amount = money(F.when(how == "2-HIGH", F.col("final_amount") + 1).otherwise(F.col("final_amount")))
+        amount = F.when(how == "2-HIGH", F.col("final_amount") + 1).otherwise(F.col("final_amount"))
 
         def feed(rows, prefix, order_id):
             return rows.select(F.concat(F.lit(prefix), F.col("order_id").cast("string")).alias("payment_id"),
@@ -231,7 +240,7 @@ def _coupon_rows() -> str:
     for key, name, kind, value, first, last, least, cats in COUPON_EVENTS:
         listed = "[" + ", ".join(f"'{c}'" for c in cats) + "]::VARCHAR[]"
         rows.append(f"({key}::BIGINT, '{name}', '{kind}', {value}::DECIMAL(10,2), DATE '{first}', DATE '{last}', "
-                    f"{least}::DECIMAL(18,2), {listed})")
+                    f"{least}::BIGINT, {listed})")
     return ",\n    ".join(rows)
 
 
@@ -247,19 +256,19 @@ SQL_TABLES = {
     "shop_orders": """
   SELECT o_orderkey AS order_id, o_custkey AS user_id,
          CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'P' THEN 'pending' ELSE 'refund' END AS status,
-         CAST(o_totalprice AS DECIMAL(18,2)) AS final_amount, o_orderpriority AS payment_method,
+         CAST(round(o_totalprice * 100) AS BIGINT) AS final_amount, o_orderpriority AS payment_method,
          o_orderdate AS created_at, o_orderdate AS paid_at
   FROM orders""",
     "shop_items": """
   SELECT l_orderkey AS order_id, l_partkey AS product_id, l_linenumber AS line_no,
-         CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS price,
          CASE WHEN l_returnflag = 'R' THEN 'refunded' ELSE 'active' END AS item_status,
          l_linestatus AS line_status, l_shipdate AS created_at
   FROM lineitem""",
     "shop_products": """
   SELECT p_partkey AS product_id, p_name AS name, p_type AS category, p_brand AS description,
-         CAST(p_retailprice AS DECIMAL(18,2)) AS price,
-         CASE WHEN p_size > 25 THEN CAST(CAST(p_retailprice AS DECIMAL(18,2)) - p_size AS DECIMAL(18,2)) END AS discount_price,
+         CAST(round(p_retailprice * 100) AS BIGINT) AS price,
+         CASE WHEN p_size > 25 THEN CAST(round(p_retailprice * 100) AS BIGINT) - p_size * 100 END AS discount_price,
          CASE WHEN p_size > 10 THEN 'inquiry' WHEN p_size > 7 THEN '' END AS sale_type,
          p_size >= 5 AS is_active, CAST(p_size AS BIGINT) AS view_count,
          CASE WHEN p_size > 20 THEN CAST(p_size AS BIGINT) END AS download_count,
@@ -276,7 +285,7 @@ SQL_TABLES = {
   FROM events""",
     "shop_ledger": """
   SELECT event_id AS entry_id, user_id, created_at,
-         CASE event_type WHEN 'purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE -CAST(value AS DECIMAL(18,2)) END AS amount
+         CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END * CAST(round(value * 100) AS BIGINT) AS amount
   FROM shop_events WHERE event_type IN ('purchase', 'error')""",
     "shop_downloads": """
   SELECT user_id, item_id AS product_id, min(created_at) AS created_at, min(event_id) AS order_id
@@ -301,7 +310,7 @@ SQL_TABLES = {
     "shop_payments": """
   SELECT prefix || CAST(order_id AS VARCHAR) AS payment_id,
          CASE prefix WHEN 'lost-' THEN -1 - order_id ELSE order_id END AS order_id,
-         CAST(CASE payment_method WHEN '2-HIGH' THEN final_amount + 1 ELSE final_amount END AS DECIMAL(18,2)) AS amount,
+         CASE payment_method WHEN '2-HIGH' THEN final_amount + 1 ELSE final_amount END AS amount,
          CASE payment_method WHEN '5-LOW' THEN 'FAILED' WHEN '4-NOT SPECIFIED' THEN 'VIRTUAL_ACCOUNT_ISSUED' ELSE 'PAID' END
            AS payment_status,
          'PaymentMethodCard' AS method, CASE WHEN user_id < 700 THEN 'kakao' END AS provider,
@@ -361,8 +370,8 @@ SQL_TABLES = {
          coalesce(r.refund_count, 0) AS refund_count
   FROM shop_users u LEFT JOIN shop_rfm r ON r.user_id = u.user_id""",
     "shop_graded": """
-  SELECT *, coalesce(manual_grade, CASE WHEN total_orders = 0 THEN 'new' WHEN monthly_amount <= 50000 THEN 'sprout'
-         WHEN monthly_amount <= 300000 THEN 'regular' WHEN monthly_amount <= 1000000 THEN 'vip' ELSE 'vvip' END) AS grade
+  SELECT *, coalesce(manual_grade, CASE WHEN total_orders = 0 THEN 'new' WHEN monthly_amount <= 5000000 THEN 'sprout'
+         WHEN monthly_amount <= 30000000 THEN 'regular' WHEN monthly_amount <= 100000000 THEN 'vip' ELSE 'vvip' END) AS grade
   FROM shop_measured""",
 }
 

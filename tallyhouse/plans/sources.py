@@ -25,15 +25,15 @@ def _catalog(shop):
     p = shop.products
     return p.select(
         F.col("product_id").cast("string").alias("id"), F.col("name"), F.col("category").alias("cat"),
-        F.floor("price").cast("bigint").alias("price"), F.floor("discount_price").cast("bigint").alias("discount"),
+        "price", F.col("discount_price").alias("discount"),
         F.col("sale_type").alias("type"), F.col("is_active").alias("visible"),
         F.date_format("created_at", "yyyy-MM-dd").alias("date"), F.col("new_badge").alias("newBadge"),
         F.array(F.col("description"), F.col("name")).alias("detailImages"))
 
 
 CATALOG = """
-SELECT CAST(product_id AS VARCHAR) AS id, name, category AS cat, CAST(floor(price) AS BIGINT) AS price,
-       CAST(floor(discount_price) AS BIGINT) AS discount, sale_type AS type, is_active AS visible,
+SELECT CAST(product_id AS VARCHAR) AS id, name, category AS cat, price,
+       CAST(discount_price AS BIGINT) AS discount, sale_type AS type, is_active AS visible,
        strftime(created_at, '%Y-%m-%d') AS date, new_badge AS "newBadge"
 FROM shop_products
 """
@@ -57,7 +57,7 @@ def catalog_from_lines(shop):
 @query("S3 X19", sql="""
 SELECT CAST(product_id AS VARCHAR) AS id, name, category AS cat,
        CASE WHEN coalesce(sale_type, '') = '' THEN 'file' ELSE sale_type END AS type, '📦' AS emoji,
-       CAST(floor(price) AS BIGINT) AS price, coalesce(CAST(floor(discount_price) AS BIGINT), 0) AS discount, is_active AS visible,
+       price, CAST(coalesce(discount_price, 0) AS BIGINT) AS discount, is_active AS visible,
        strftime(created_at, '%Y-%m-%d') AS date
 FROM shop_products
 """)
@@ -73,7 +73,7 @@ def catalog_normalized(shop):
 
 @query("S5 J14", sql="""
 SELECT CAST(product_id AS VARCHAR) AS id, name || ' "' || description || '", new' AS name, coalesce(l.label, p.category) AS category,
-       CAST(CAST(floor(price) AS BIGINT) AS VARCHAR) AS price, CASE WHEN is_active THEN 'ON' ELSE 'OFF' END AS shown,
+       CAST(price AS VARCHAR) AS price, CASE WHEN is_active THEN 'ON' ELSE 'OFF' END AS shown,
        CASE WHEN coalesce(sale_type, '') = '' THEN '파일판매' ELSE '문의형' END AS sale, strftime(created_at, '%Y-%m-%d') AS date
 FROM shop_products p LEFT JOIN shop_category_labels l ON l.code = p.category
 """)
@@ -96,7 +96,7 @@ rights AS (SELECT user_id, count(*) AS downloads FROM shop_downloads d JOIN shop
 written AS (SELECT o.user_id, count(*) AS reviews FROM shop_reviews r JOIN shop_orders o USING (order_id) GROUP BY o.user_id),
 points AS (SELECT user_id, count(*) AS points FROM shop_ledger GROUP BY user_id)
 SELECT u.user_id, 0::BIGINT AS part_no, u.email, coalesce(b.orders, 0)::BIGINT AS orders, coalesce(b.items, 0)::BIGINT AS items,
-       coalesce(b.spent, 0)::DOUBLE AS spent, coalesce(r.downloads, 0)::BIGINT AS downloads,
+       coalesce(b.spent, 0)::BIGINT AS spent, coalesce(r.downloads, 0)::BIGINT AS downloads,
        coalesce(w.reviews, 0)::BIGINT AS reviews, coalesce(p.points, 0)::BIGINT AS point_history
 FROM shop_users u LEFT JOIN bought b USING (user_id) LEFT JOIN rights r USING (user_id)
 LEFT JOIN written w USING (user_id) LEFT JOIN points p USING (user_id)
@@ -112,7 +112,7 @@ def user_bundles(shop):
         return F.coalesce(F.size(name), F.lit(0)).cast("bigint").alias(name)
 
     items = F.flatten("orders.items")
-    spent = F.aggregate(items, F.lit(0).cast("decimal(28,2)"), lambda a, i: (a + i["price"]).cast("decimal(28,2)"))
+    spent = F.aggregate(items, F.lit(0).cast("bigint"), lambda a, i: a + i["price"])
     return plain(stored.select(
         "user_id", "part_no", F.col("profile.email").alias("email"), size("orders"),
         F.coalesce(F.size(items), F.lit(0)).cast("bigint").alias("items"), F.coalesce(spent, F.lit(0)).alias("spent"),

@@ -50,7 +50,7 @@ def stream_counters(shop):
 
 
 @query("R3 A4", sql="""
-SELECT CAST(CAST(paid_at AS DATE) AS VARCHAR) AS day, count(*)::BIGINT AS order_count, sum(final_amount)::DOUBLE AS amount
+SELECT CAST(CAST(paid_at AS DATE) AS VARCHAR) AS day, count(*)::BIGINT AS order_count, sum(final_amount)::BIGINT AS amount
 FROM shop_orders WHERE status = 'paid' GROUP BY CAST(paid_at AS DATE)
 """)
 def stream_daily_sales(shop):
@@ -73,7 +73,7 @@ WITH closed AS (SELECT * FROM shop_ledger WHERE date_trunc('hour', created_at) +
                 <= (SELECT max(created_at) FROM shop_ledger) - INTERVAL 1 DAY),
 sums AS (SELECT *, sum(amount) OVER (PARTITION BY user_id ORDER BY created_at, entry_id) AS s FROM closed),
 lows AS (SELECT *, least(0, min(s) OVER (PARTITION BY user_id ORDER BY created_at, entry_id)) AS low FROM sums)
-SELECT user_id, count(*)::BIGINT AS entries, (sum(amount) - min(low))::DOUBLE AS balance FROM lows GROUP BY user_id
+SELECT user_id, count(*)::BIGINT AS entries, (sum(amount) - min(low))::BIGINT AS balance FROM lows GROUP BY user_id
 """)
 def stream_point_balance(shop):
     table = _run(shop, lambda live: jobs.ledger_buckets(live.ledger), "append", "ledger")
@@ -84,7 +84,7 @@ def stream_point_balance(shop):
 @query("R6 J12", sql="""
 WITH paid AS (SELECT * FROM shop_payments WHERE payment_status = 'PAID'),
 mark AS (SELECT least((SELECT max(created_at) FROM shop_orders), (SELECT max(paid_at) FROM paid)) - INTERVAL 1 DAY AS passed)
-SELECT o.order_id, o.final_amount::DOUBLE AS final_amount, o.created_at AS ordered_at, p.payment_id, p.paid_at AS payment_at
+SELECT o.order_id, o.final_amount::BIGINT AS final_amount, o.created_at AS ordered_at, p.payment_id, p.paid_at AS payment_at
 FROM shop_orders o LEFT JOIN paid p ON p.order_id = o.order_id AND p.amount = o.final_amount
 WHERE p.order_id IS NOT NULL OR o.created_at + INTERVAL 3 DAY < (SELECT passed FROM mark)
 """)

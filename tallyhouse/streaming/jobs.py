@@ -62,14 +62,13 @@ def ledger_buckets(ledger: DataFrame, bucket: str = "1 hour", delay: str = "1 da
     watermark are dropped.  State holds the entries of the open buckets only,
     so ``bucket`` bounds what one hot user keeps in one place.
     """
-    entry = F.struct("at", "entry_id", F.col("amount").cast("decimal(28,2)").alias("amount"))
-    zero = F.lit(0).cast("decimal(28,2)")
+    entry = F.struct("at", "entry_id", "amount")
     listed = with_event_time(ledger, delay=delay) \
         .groupBy("user_id", F.window("at", bucket).alias("w")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    start = F.struct(zero.alias("total"), F.lit(None).cast("decimal(28,2)").alias("low"))
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(None).cast("bigint").alias("low"))
 
     def step(state, e):
-        total = (state["total"] + e["amount"]).cast("decimal(28,2)")
+        total = state["total"] + e["amount"]
         return F.struct(total.alias("total"), F.coalesce(F.least(state["low"], total), total).alias("low"))
 
     return listed.withColumn("_s", F.aggregate("entries", start, step)).select(

@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 from collections import defaultdict
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,16 +16,16 @@ def tuples(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
-ORDER_SCHEMA = ("order_id bigint, user_id bigint, status string, final_amount decimal(18,2), payment_key string, "
+ORDER_SCHEMA = ("order_id bigint, user_id bigint, status string, final_amount bigint, payment_key string, "
                 "payment_method string, pg_provider string, paid_at timestamp_ntz, claim_id bigint")
-PAYMENT_SCHEMA = ("payment_id string, order_id bigint, amount decimal(18,2), payment_status string, method string, "
+PAYMENT_SCHEMA = ("payment_id string, order_id bigint, amount bigint, payment_status string, method string, "
                   "provider string, paid_at timestamp_ntz")
 
 
 @pytest.fixture(scope="module")
 def orders(spark):
     def row(order_id, status, amount, claim=None):
-        return order_id, order_id * 10, status, Decimal(amount), None, None, None, None, claim
+        return order_id, order_id * 10, status, amount, None, None, None, None, claim
     return spark.createDataFrame([row(1, "pending", 100, 7), row(2, "pending", 200), row(3, "pending", 300),
                                   row(4, "paid", 400), row(5, "pending", 500), row(6, "pending", 600)], ORDER_SCHEMA)
 
@@ -34,7 +33,7 @@ def orders(spark):
 @pytest.fixture(scope="module")
 def payments(spark):
     def row(payment_id, order_id, amount, status, minute=0):
-        return payment_id, order_id, Decimal(amount), status, "PaymentMethodCard", None, AT + dt.timedelta(minutes=minute)
+        return payment_id, order_id, amount, status, "PaymentMethodCard", None, AT + dt.timedelta(minutes=minute)
     return spark.createDataFrame([
         row("late", 1, 100, "PAID", 5), row("early", 1, 100, "PAID", 1), row("wrong", 2, 201, "PAID"),
         row("failed", 3, 300, "FAILED"), row("again", 4, 400, "PAID"), row("waits", 5, 500, "VIRTUAL_ACCOUNT_ISSUED"),
@@ -78,8 +77,7 @@ def test_refunds(spark):
     items = spark.createDataFrame(
         [(1, 1, 10, "active"), (1, 2, 20, "active"), (2, 1, 10, "active"), (2, 2, 10, "refunded"), (3, 1, 5, "active"),
          (3, 2, 15, "active"), (4, 1, 10, "active"), (5, 1, 10, "active"), (6, 1, 10, "refunded"), (8, 1, 10, "active")],
-        "order_id bigint, line_no int, price int, item_status string") \
-        .withColumn("price", F.col("price").cast("decimal(18,2)"))
+        "order_id bigint, line_no int, price bigint, item_status string")
     refunds = spark.createDataFrame(
         [(1, 1, "admin"), (1, 1, "admin"), (2, None, "admin"), (3, None, "customer"), (4, None, "admin"), (5, None, "customer"),
          (6, 1, "admin"), (7, None, "admin"), (8, None, "admin")], "order_id bigint, line_no int, path string")
@@ -189,7 +187,7 @@ def test_counters_and_rewards(spark):
     events = spark.createDataFrame([(2, AT), (2, AT), (9, AT)], "id bigint, created_at timestamp_ntz")
     assert tuples(changes.add_counters(base, events, "id", "view_count"), "id", "view_count", "last_at") == [(1, 0, None), (2, 7, AT)]
     reviews = spark.createDataFrame([(4, 1, AT)], "review_id bigint, user_id bigint, created_at timestamp_ntz")
-    assert tuples(changes.review_rewards(reviews, 500), "user_id", "type", "amount", "entry_id") == [(1, "earn_review", Decimal(500), 4)]
+    assert tuples(changes.review_rewards(reviews, 500), "user_id", "type", "amount", "entry_id") == [(1, "earn_review", 500, 4)]
 
 
 def test_both_refund_spellings(spark):

@@ -60,12 +60,12 @@ def test_keyset_pages_join_up(shop):
 def events(spark):
     day = dt.date
     return spark.createDataFrame(
-        [(1, "percent", Decimal(10), day(2001, 6, 15), day(2001, 6, 15), Decimal(0), []),
-         (2, "amount", Decimal(500), day(2001, 1, 1), day(2001, 12, 31), Decimal(150), ["a"]),
-         (3, "percent", Decimal(150), day(2001, 1, 1), day(2001, 12, 31), Decimal(0), None),
-         (4, "percent", Decimal(10), day(2001, 6, 16), day(2001, 12, 31), Decimal(0), [])],
+        [(1, "percent", Decimal(10), day(2001, 6, 15), day(2001, 6, 15), 0, []),
+         (2, "amount", Decimal(500), day(2001, 1, 1), day(2001, 12, 31), 150, ["a"]),
+         (3, "percent", Decimal(150), day(2001, 1, 1), day(2001, 12, 31), 0, None),
+         (4, "percent", Decimal(10), day(2001, 6, 16), day(2001, 12, 31), 0, [])],
         "coupon_event_id bigint, discount_type string, discount_value decimal(10,2), start_date date, end_date date, "
-        "min_order_amount decimal(18,2), applicable_categories array<string>")
+        "min_order_amount bigint, applicable_categories array<string>")
 
 
 @pytest.fixture(scope="module")
@@ -90,9 +90,9 @@ def claims(spark):
     ([1, 77], 10, ("invalid_products", None, None, None, None)),
     ([], 10, ("no_products", None, None, None, None))])
 def test_price_orders(spark, events, claims, lines, claim, expected):
-    products = spark.createDataFrame([(1, Decimal(100), "a", True), (2, Decimal(200), "b", True), (3, Decimal(1), "a", False),
-                                      (4, Decimal(400), "c", True)],
-                                     "product_id bigint, price decimal(18,2), category string, is_active boolean")
+    products = spark.createDataFrame([(1, 100, "a", True), (2, 200, "b", True), (3, 1, "a", False),
+                                      (4, 400, "c", True)],
+                                     "product_id bigint, price bigint, category string, is_active boolean")
     requests = spark.createDataFrame([(1, 1, claim, DAY)], "request_id bigint, user_id bigint, claim_id bigint, created_at timestamp_ntz")
     asked = spark.createDataFrame([(1, p) for p in lines], "request_id bigint, product_id bigint")
     row = coupons.price_orders(requests, asked, products, claims, events).first()
@@ -104,8 +104,8 @@ def test_price_orders(spark, events, claims, lines, claim, expected):
     (40, 999, [], "unusable", None), (20, 149, ["a"], "below_minimum", None), (20, 150, ["a"], None, 150),
     (20, 999, ["b"], "category_mismatch", None), (20, 999, [], None, 500), (20, 999, None, None, 500)])
 def test_quote_coupons(spark, events, claims, claim, amount, categories, reason, discount):
-    requests = spark.createDataFrame([(1, 1, claim, Decimal(amount), categories, DAY)],
-                                     "request_id bigint, user_id bigint, claim_id bigint, amount decimal(18,2), "
+    requests = spark.createDataFrame([(1, 1, claim, amount, categories, DAY)],
+                                     "request_id bigint, user_id bigint, claim_id bigint, amount bigint, "
                                      "categories array<string>, created_at timestamp_ntz")
     row = coupons.quote_coupons(requests, claims, events).first()
     assert (row.reject_reason, row.discount) == (reason, discount)
@@ -132,9 +132,9 @@ def test_link_identities(spark):
 
 
 def test_reconciliation(spark):
-    orders = spark.createDataFrame([(i, Decimal(10)) for i in range(1, 7)], "order_id bigint, final_amount decimal(18,2)")
+    orders = spark.createDataFrame([(i, 10) for i in range(1, 7)], "order_id bigint, final_amount bigint")
     feed = [(1, 10, "PAID"), (2, 11, "PAID"), (3, 10, "FAILED"), (5, 10, "PAID"), (5, 10, "PAID"), (6, 10, "PAID"), (6, 12, "PAID"), (9, 10, "PAID")]
-    payments = spark.createDataFrame([(o, Decimal(a), s) for o, a, s in feed], "order_id bigint, amount decimal(18,2), payment_status string")
+    payments = spark.createDataFrame([(o, a, s) for o, a, s in feed], "order_id bigint, amount bigint, payment_status string")
     found = {r.order_id: r.result for r in joins.reconcile_payments(orders, payments).collect()}
     assert found == {1: "ok", 2: "mismatch", 3: "unpaid", 4: "missing_payment", 5: "duplicate", 6: "mismatch", 9: "missing_order"}
 
@@ -142,8 +142,8 @@ def test_reconciliation(spark):
 def test_manual_grades_and_inactive_users(spark):
     users = spark.createDataFrame([(1, True, "vip"), (2, False, None), (3, True, None)],
                                   "user_id bigint, is_active boolean, manual_grade string")
-    orders = spark.createDataFrame([(3, "paid", Decimal(60_000), DAY), (3, "refunded", Decimal(1), DAY), (2, "pending", Decimal(5), DAY)],
-                                   "user_id bigint, status string, final_amount decimal(18,2), paid_at timestamp_ntz")
+    orders = spark.createDataFrame([(3, "paid", 60_000, DAY), (3, "refunded", 1, DAY), (2, "pending", 5, DAY)],
+                                   "user_id bigint, status string, final_amount bigint, paid_at timestamp_ntz")
     by_hand = {r.user_id: r.grade for r in customers.customer_grades(users, orders, "2001-06-30").collect()}
     computed = customers.customer_grades(users, orders, "2001-06-30", honour_manual=False)
     assert by_hand == {1: "vip", 2: "new", 3: "regular"}
@@ -153,9 +153,9 @@ def test_manual_grades_and_inactive_users(spark):
 
 
 def test_sales_chart_fills_gaps(spark):
-    orders = spark.createDataFrame([("paid", Decimal(50), dt.datetime(2001, 6, 28)), ("paid", Decimal(200), dt.datetime(2001, 6, 30, 23)),
-                                    ("pending", Decimal(9), dt.datetime(2001, 6, 29)), ("paid", Decimal(9), dt.datetime(2001, 7, 1))],
-                                   "status string, final_amount decimal(18,2), paid_at timestamp_ntz")
+    orders = spark.createDataFrame([("paid", 50, dt.datetime(2001, 6, 28)), ("paid", 200, dt.datetime(2001, 6, 30, 23)),
+                                    ("pending", 9, dt.datetime(2001, 6, 29)), ("paid", 9, dt.datetime(2001, 7, 1))],
+                                   "status string, final_amount bigint, paid_at timestamp_ntz")
     chart = {r.label: (r.order_count, r.relative, r.is_today) for r in reports.daily_sales_filled(orders, "2001-06-30").collect()}
     assert len(chart) == 7
     assert chart["6/28"] == (1, 0.25, False) and chart["6/30"] == (1, 1.0, True) and chart["6/24"] == (0, 0.0, False)

@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 from collections import Counter, defaultdict
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -65,25 +64,25 @@ def ledger_rows(n=600, users=4, seed=5):
     rows = []
     for i in range(n):
         user = 0 if i % 3 == 0 else rng.randrange(users)
-        rows.append((i, user, start + dt.timedelta(minutes=rng.randrange(3000)), Decimal(rng.randrange(-300, 300))))
+        rows.append((i, user, start + dt.timedelta(minutes=rng.randrange(3000)), rng.randrange(-300, 300)))
     return rows
 
 
 def sequential(rows):
-    balances, steps = defaultdict(Decimal), {}
+    balances, steps = defaultdict(int), {}
     for i, user, at, amount in sorted(rows, key=lambda r: (r[2], r[0])):
-        balances[user] = max(Decimal(0), balances[user] + amount)
+        balances[user] = max(0, balances[user] + amount)
         steps[i] = balances[user]
     return balances, steps
 
 
 @pytest.mark.parametrize("rows", [
     ledger_rows(), ledger_rows(seed=9),
-    [(0, 1, dt.datetime(2024, 1, 1), Decimal(100)), (1, 1, dt.datetime(2024, 1, 1), Decimal(-500)),
-     (2, 1, dt.datetime(2024, 1, 1, 5), Decimal(50))],
-    [(i, 1, dt.datetime(2024, 1, 1, i), Decimal(-5)) for i in range(5)]], ids=["many", "more", "ties", "negative"])
+    [(0, 1, dt.datetime(2024, 1, 1), 100), (1, 1, dt.datetime(2024, 1, 1), -500),
+     (2, 1, dt.datetime(2024, 1, 1, 5), 50)],
+    [(i, 1, dt.datetime(2024, 1, 1, i), -5) for i in range(5)]], ids=["many", "more", "ties", "negative"])
 def test_balances_equal_sequential_clamping(spark, rows):
-    ledger = spark.createDataFrame(rows, "entry_id bigint, user_id bigint, created_at timestamp_ntz, amount decimal(18,2)")
+    ledger = spark.createDataFrame(rows, "entry_id bigint, user_id bigint, created_at timestamp_ntz, amount bigint")
     balances, steps = sequential(rows)
     assert {r.entry_id: r.balance for r in changes.running_balances(ledger).collect()} == steps
     final = changes.point_balances(ledger).collect()
@@ -93,7 +92,7 @@ def test_balances_equal_sequential_clamping(spark, rows):
 
 def test_running_sums_split_the_hot_key(spark):
     rows = ledger_rows()
-    ledger = spark.createDataFrame(rows, "entry_id bigint, user_id bigint, created_at timestamp_ntz, amount decimal(18,2)")
+    ledger = spark.createDataFrame(rows, "entry_id bigint, user_id bigint, created_at timestamp_ntz, amount bigint")
     summed = running_sums(ledger, "user_id", ["created_at", "entry_id"], changes.hour_number(), "amount")
     plain = ledger.withColumn("s", F.sum("amount").over(
         Window.partitionBy("user_id").orderBy("created_at", "entry_id").rowsBetween(Window.unboundedPreceding, 0)))
@@ -104,15 +103,15 @@ def test_running_sums_split_the_hot_key(spark):
 def hot_shop(spark):
     """One order with a third of all items, one user with a third of the reviews."""
     rng = random.Random(11)
-    orders = [(o, o % 5, "paid", Decimal(o * 10), "card", dt.datetime(2001, 6, 1) + dt.timedelta(hours=o), dt.datetime(2001, 6, 2))
+    orders = [(o, o % 5, "paid", o * 10, "card", dt.datetime(2001, 6, 1) + dt.timedelta(hours=o), dt.datetime(2001, 6, 2))
               for o in range(20)]
-    items = [(0 if i % 3 == 0 else rng.randrange(19), rng.randrange(8), i, Decimal(i), "active", i) for i in range(300)]
+    items = [(0 if i % 3 == 0 else rng.randrange(19), rng.randrange(8), i, i, "active", i) for i in range(300)]
     products = [(p, f"product {p}", "x", True) for p in range(8)]
     users = [(u, f"user {u}", f"u{u}@shop.example", "local", True, False, None) for u in range(6)]
     return {
-        "orders": spark.createDataFrame(orders, "order_id bigint, user_id bigint, status string, final_amount decimal(18,2), "
+        "orders": spark.createDataFrame(orders, "order_id bigint, user_id bigint, status string, final_amount bigint, "
                                                 "payment_method string, created_at timestamp_ntz, paid_at timestamp_ntz"),
-        "items": spark.createDataFrame(items, "order_id bigint, product_id bigint, line_no int, price decimal(18,2), "
+        "items": spark.createDataFrame(items, "order_id bigint, product_id bigint, line_no int, price bigint, "
                                               "item_status string, item_key bigint"),
         "products": spark.createDataFrame(products, "product_id bigint, name string, category string, is_active boolean"),
         "users": spark.createDataFrame(users, "user_id bigint, name string, email string, provider string, "
@@ -158,8 +157,8 @@ def test_customer_record_and_bundle_are_whole(spark, hot_shop, chunk_rows):
     at = dt.datetime(2001, 6, 3)
     reviews = spark.createDataFrame([(i, 0 if i % 3 == 0 else i % 6, i % 8, i % 5 + 1, at) for i in range(90)],
                                     "review_id bigint, user_id bigint, product_id bigint, rating int, created_at timestamp_ntz")
-    ledger = spark.createDataFrame([(i, i % 6, Decimal(i), "admin_add", at) for i in range(50)],
-                                   "entry_id bigint, user_id bigint, amount decimal(18,2), type string, created_at timestamp_ntz")
+    ledger = spark.createDataFrame([(i, i % 6, i, "admin_add", at) for i in range(50)],
+                                   "entry_id bigint, user_id bigint, amount bigint, type string, created_at timestamp_ntz")
     notes = spark.createDataFrame([(i, 1, f"note {i}", at) for i in range(20)],
                                   "note_id bigint, user_id bigint, content string, created_at timestamp_ntz")
     claims = spark.createDataFrame([(i, i % 2, 1, False, at) for i in range(8)],

@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 from collections import defaultdict
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from tallyhouse.operators import changes
 from tallyhouse.session import run_dir
 from tallyhouse.streaming import jobs, sinks
 
-EVENTS = "entry_id bigint, user_id bigint, item_id bigint, fingerprint string, amount decimal(18,2), created_at timestamp_ntz"
+EVENTS = "entry_id bigint, user_id bigint, item_id bigint, fingerprint string, amount bigint, created_at timestamp_ntz"
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +19,7 @@ def stored(spark, tmp_path_factory):
     """Events in four files, in time order but shuffled inside each file."""
     rng = random.Random(2)
     start = dt.datetime(2024, 1, 1)
-    rows = [(i, 0 if i % 3 == 0 else rng.randrange(5), rng.randrange(4), str(rng.randrange(6)), Decimal(rng.randrange(-50, 50)),
+    rows = [(i, 0 if i % 3 == 0 else rng.randrange(5), rng.randrange(4), str(rng.randrange(6)), rng.randrange(-50, 50),
              start + dt.timedelta(minutes=10 * i)) for i in range(800)]
     folder = str(tmp_path_factory.mktemp("events"))
     for n in range(4):
@@ -66,9 +65,9 @@ def test_balances_of_closed_buckets(spark, stored):
     table = sinks.run(jobs.ledger_buckets(stream(spark, folder), "1 hour", "4 hours"), "append", run_dir(spark, "t"))
     mark = max(r[5] for r in rows) - dt.timedelta(hours=4)
     closed = [r for r in rows if r[5].replace(minute=0) + dt.timedelta(hours=1) <= mark]
-    balances = defaultdict(Decimal)
+    balances = defaultdict(int)
     for r in sorted(closed, key=lambda r: (r[5], r[0])):
-        balances[r[1]] = max(Decimal(0), balances[r[1]] + r[4])
+        balances[r[1]] = max(0, balances[r[1]] + r[4])
     found = jobs.ledger_balances(sinks.appended(table)).collect()
     assert {r.user_id: r.balance for r in found} == dict(balances)
     assert sum(r.entries for r in found) == len(closed)
@@ -76,9 +75,9 @@ def test_balances_of_closed_buckets(spark, stored):
 
 def test_daily_sales_equal_batch(spark, tmp_path):
     day = dt.datetime(2001, 6, 1)
-    schema = "order_id bigint, status string, final_amount decimal(18,2), paid_at timestamp_ntz"
+    schema = "order_id bigint, status string, final_amount bigint, paid_at timestamp_ntz"
     for n in range(3):
-        rows = [(n * 10 + i, "paid" if i % 2 else "pending", Decimal(i), day + dt.timedelta(hours=5 * i)) for i in range(10)]
+        rows = [(n * 10 + i, "paid" if i % 2 else "pending", i, day + dt.timedelta(hours=5 * i)) for i in range(10)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "orders"))
     live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "orders"))
     table = sinks.run(jobs.daily_sales(live), "complete", run_dir(spark, "t"))
@@ -89,11 +88,11 @@ def test_daily_sales_equal_batch(spark, tmp_path):
 
 def test_payment_matching(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
-    orders = [(i, Decimal(10), start + dt.timedelta(hours=6 * i)) for i in range(60)]
-    payments = [(f"p{i}", i, Decimal(11 if i % 5 == 0 else 10), "FAILED" if i % 7 == 0 else "PAID",
+    orders = [(i, 10, start + dt.timedelta(hours=6 * i)) for i in range(60)]
+    payments = [(f"p{i}", i, 11 if i % 5 == 0 else 10, "FAILED" if i % 7 == 0 else "PAID",
                  start + dt.timedelta(hours=6 * i, days=4 if i % 11 == 0 else 1)) for i in range(60) if i % 3]
-    order_schema = "order_id bigint, final_amount decimal(18,2), created_at timestamp_ntz"
-    payment_schema = "payment_id string, order_id bigint, amount decimal(18,2), payment_status string, paid_at timestamp_ntz"
+    order_schema = "order_id bigint, final_amount bigint, created_at timestamp_ntz"
+    payment_schema = "payment_id string, order_id bigint, amount bigint, payment_status string, paid_at timestamp_ntz"
     spark.createDataFrame(orders, order_schema).write.parquet(str(tmp_path / "o"))
     spark.createDataFrame(payments, payment_schema).write.parquet(str(tmp_path / "p"))
     live = jobs.match_payments(spark.readStream.schema(order_schema).parquet(str(tmp_path / "o")),
