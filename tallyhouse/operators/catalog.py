@@ -88,7 +88,7 @@ def settings_map(settings: DataFrame, owner: list[str]) -> DataFrame:
     """Key/value rows to one map per owner.  The latest value of a key wins, so
     a map holds each key once and stays as small as the set of keys."""
     latest = settings.groupBy(*owner, "key").agg(F.max_by("value", "updated_at").alias("value"))
-    pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
+    pairs = F.sort_array(F.collect_list(F.struct("key", "value")))
     return latest.groupBy(*owner).agg(F.map_from_entries(pairs).alias("settings"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import dates, text
 from ..functions.fixed_values import VALID_STATUSES
 from ..functions.money import MONEY
-from .skew import bucket_starts, running_sums, top_n_per_key
+from .skew import bucket_starts, join_measured, running_sums, top_n_per_key
 
 REFUNDABLE = [s for s in VALID_STATUSES if s != "done"]
 
@@ -98,8 +98,8 @@ def refund_items(items: DataFrame, accepted: DataFrame, refunds: DataFrame) -> D
     """Items with their state after the refunds; ``refunded_now`` marks the change."""
     lines = refunds.filter(F.col("line_no").isNotNull()).select("order_id", "line_no").distinct() \
         .withColumn("_named", F.lit(True))
-    found = items.join(accepted.select("order_id", "whole"), "order_id", "left") \
-        .join(lines, ["order_id", "line_no"], "left")
+    found = join_measured(items, accepted.select("order_id", "whole"), ["order_id"], "left")
+    found = join_measured(found, lines, ["order_id", "line_no"], "left")
     hit = F.col("whole").isNotNull() & (F.col("whole") | F.coalesce("_named", F.lit(False))) \
         & (F.col("item_status") == "active")
     return found.withColumn("refunded_now", hit) \
@@ -126,7 +126,7 @@ def refund_orders(orders: DataFrame, refunded_items: DataFrame, accepted: DataFr
 
 def revoke_downloads(downloads: DataFrame, accepted: DataFrame) -> DataFrame:
     """Customer refunds take the rights back; admin refunds leave them."""
-    return downloads.join(accepted.filter("by_customer").select("order_id"), "order_id", "left_anti")
+    return join_measured(downloads, accepted.filter("by_customer").select("order_id"), ["order_id"], "left_anti")
 
 
 # Likes, points, counters ---------------------------------------------------
@@ -241,7 +241,7 @@ def cascade_delete(children: DataFrame, deleted: DataFrame, key: str) -> DataFra
 
 def set_null_on_delete(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     gone = deleted.select(key).distinct().withColumn("_gone", F.lit(True))
-    return children.join(gone, key, "left") \
+    return join_measured(children, gone, [key], "left") \
         .withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
 
 

@@ -8,6 +8,7 @@ from ..functions import money, text
 from ..functions.money import MONEY
 from . import filters
 from .joins import coupon_for_order
+from .skew import join_measured
 
 OFFER = ["coupon_event_id", "discount_type", "discount_value", "min_order_amount", "applicable_categories"]
 
@@ -77,7 +78,7 @@ def claim_coupons(requests: DataFrame, coupon_events: DataFrame, existing: DataF
     key = ["user_id", "coupon_event_id"]
     held = existing.select(*key).distinct().withColumn("_held", F.lit(True))
     windows = coupon_events.select("coupon_event_id", "start_date", "end_date")
-    checked = requests.join(windows, "coupon_event_id", "left").join(held, key, "left") \
+    checked = join_measured(requests.join(windows, "coupon_event_id", "left"), held, key, "left") \
         .withColumn("_runs", F.coalesce(filters.runs_on(F.col("created_at").cast("date")), F.lit(False))) \
         .withColumn("_held", F.coalesce("_held", F.lit(False)))
     # Winners by aggregate, then matched on the unique request id: a hot

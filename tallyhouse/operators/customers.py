@@ -95,9 +95,9 @@ def customer_360(users: DataFrame, orders: DataFrame, items: DataFrame, products
     further rows (``part_no`` 1, 2, ...) that carry the rest of the lists.
     """
     recent = latest_orders(orders.select("order_id", "user_id", "final_amount", "status", "payment_method", "created_at"), n)
-    kept_items = items.join(recent.select("order_id"), "order_id", "left_semi")
-    recent = recent.join(joins.first_item_per_order(kept_items, products), "order_id", "left") \
-        .join(item_counts(kept_items), "order_id", "left") \
+    # Both are summed per order before the join, so a hot order is one row in it.
+    recent = recent.join(joins.first_item_per_order(items, products), "order_id", "left") \
+        .join(item_counts(items), "order_id", "left") \
         .withColumn("item_count", F.coalesce("item_count", F.lit(0)))
     order_list = _capped_list(recent, "orders", ["order_id", "final_amount", "status", "payment_method", "created_at",
                                                  "first_product", "item_count"])
@@ -117,7 +117,7 @@ def customer_360(users: DataFrame, orders: DataFrame, items: DataFrame, products
 def _capped_list(ranked: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """At most n rows per user are left here, so the list is small."""
     return ranked.groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", *columns))).alias(name))
+        F.sort_array(F.collect_list(F.struct("position", *columns))).alias(name))
 
 
 def whole_lists(children: dict, key: str, chunk_rows: int) -> DataFrame:

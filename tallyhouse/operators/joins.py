@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from . import filters
-from .skew import CHUNK_ROWS, collect_parts, header_parts, hot_parts, tag_parts
+from .skew import CHUNK_ROWS, collect_parts, header_parts, hot_parts, join_measured, tag_parts
 
 
 def order_items_detail(items: DataFrame, products: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,8 +36,14 @@ def recent_orders(orders: DataFrame, users: DataFrame, items: DataFrame, product
 
 
 def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Every order, with or without items."""
-    return orders.join(items, "order_id", "left")
+    """Every order, with or without items.
+
+    An outer join cannot split a hot order on the items' side, so the orders
+    with items are joined inner and the others added.
+    """
+    filled = orders.join(items, "order_id")
+    empty = orders.join(items.select("order_id").distinct(), "order_id", "left_anti")
+    return filled.unionByName(empty, allowMissingColumns=True)
 
 
 def order_list(orders: DataFrame, users: DataFrame, items: DataFrame, products: DataFrame, search: str | None = None,
@@ -114,7 +120,7 @@ def link_identities(profiles: DataFrame, users: DataFrame) -> DataFrame:
     # One row per address, so that the profiles meet their e-mail in one join.
     addresses = found.filter(F.col("_by_id").isNull() & F.col("email").isNotNull()) \
         .groupBy("email").agg(F.min("profile_no").alias("_first")).join(by_email, "email", "left")
-    found = found.join(addresses, "email", "left")
+    found = join_measured(found, addresses, ["email"], "left")
     is_first = F.coalesce(F.col("_first") == F.col("profile_no"), F.lit(True))
     user_id = F.coalesce(F.col("_by_id"), F.col("_by_email.user_id"))
     action = F.when(F.col("_by_id").isNotNull(), "match") \

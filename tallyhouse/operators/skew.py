@@ -16,6 +16,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CHUNK_ROWS = 100_000
 
 
+def join_measured(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a right side that was itself grouped or joined by ``keys``.
+
+    A plain join would reuse that partitioning, and then adaptive execution
+    neither sees the right side's size (to broadcast it when small) nor splits
+    the left side's hot partitions.  Joining on the keys and their hash gives
+    the right side a shuffle of its own, which allows both.
+    """
+    tag = F.xxhash64(*keys)
+    return left.withColumn("_hash", tag).join(right.withColumn("_hash", tag), [*keys, "_hash"], how).drop("_hash")
+
+
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
                   rank: str = "position") -> DataFrame:
     """The first n rows per key, with their 1-based position.
@@ -39,7 +51,7 @@ def hot_parts(rows: DataFrame, keys: list[str], weight: Column | None = None,
 
 def tag_parts(rows: DataFrame, hot: DataFrame, keys: list[str], row_key: list[str]) -> DataFrame:
     """Give every row its ``part_no``: 0 for ordinary keys, a hash share for hot ones."""
-    return rows.join(hot, keys, "left").withColumn(
+    return join_measured(rows, hot, keys, "left").withColumn(
         "part_no", F.coalesce(F.pmod(F.xxhash64(*row_key), F.col("_parts")), F.lit(0).cast("bigint"))).drop("_parts")
 
 
@@ -47,14 +59,14 @@ def header_parts(headers: DataFrame, hot: DataFrame, keys: list[str]) -> DataFra
     """Repeat each header once per part of its key, so that a join on
     (keys, part_no) meets every tagged row and no task meets a whole hot key."""
     last = F.coalesce(F.col("_parts") - 1, F.lit(0).cast("bigint"))
-    return headers.join(hot, keys, "left") \
+    return join_measured(headers, hot, keys, "left") \
         .withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("_parts")
 
 
 def collect_parts(tagged: DataFrame, keys: list[str], items: Column, name: str, carry: list[str] = ()) -> DataFrame:
     """One sorted list per (keys, part_no)."""
     return tagged.groupBy(*keys, "part_no").agg(
-        *[F.any_value(c).alias(c) for c in carry], F.array_sort(F.collect_list(items)).alias(name))
+        *[F.any_value(c).alias(c) for c in carry], F.sort_array(F.collect_list(items)).alias(name))
 
 
 def chunked_lists(df: DataFrame, keys: list[str], row_key: list[str], items: Column, name: str,

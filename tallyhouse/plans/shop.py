@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.customer import GradeLimits
 from ..functions.fixed_values import REGULAR_MAX, SPROUT_MAX, VIP_MAX
+from ..operators.skew import join_measured
 from ..sources.tables import read_table, stream_table
 
 # Report dates: the orders end on 2001-08-01, the events on 2024-01-30.
@@ -172,8 +173,9 @@ class Shop:
     def requests(self):
         """Orders as requests that carry their buyer's last claim."""
         last = self.claims.groupBy("user_id").agg(F.max("claim_id").alias("claim_id"))
-        return self.orders.select(F.col("order_id").alias("request_id"), "user_id", "created_at",
-                                  F.col("final_amount").alias("amount")).join(last, "user_id", "left")
+        asked = self.orders.select(F.col("order_id").alias("request_id"), "user_id", "created_at",
+                                   F.col("final_amount").alias("amount"))
+        return join_measured(asked, last, ["user_id"], "left")
 
     @cached_property
     def request_lines(self):

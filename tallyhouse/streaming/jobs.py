@@ -64,7 +64,7 @@ def ledger_buckets(ledger: DataFrame, bucket: str = "1 hour", delay: str = "1 da
     """
     entry = F.struct("at", "entry_id", "amount")
     listed = with_event_time(ledger, delay=delay) \
-        .groupBy("user_id", F.window("at", bucket).alias("w")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        .groupBy("user_id", F.window("at", bucket).alias("w")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(None).cast("bigint").alias("low"))
 
     def step(state, e):
