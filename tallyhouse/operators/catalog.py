@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.money import MONEY, one_decimal_mean
-from .skew import (CHUNK_ROWS, chunked_lists, collect_parts, header_parts, hot_parts, tag_parts,
-                   top_n_per_key)
+from .skew import (CHUNK_ROWS, chunked_lists, collect_parts, header_parts, hot_parts, join_measured,
+                   tag_parts, top_n_per_key)
 
 
 def paid_order_counts(items: DataFrame, orders: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct paid orders per product.  The exact count is taken by
-    (product, order) first, so a hot product is spread over all tasks."""
-    paid = items.select("order_id", "product_id") \
-        .join(orders.filter(F.col("status") == "paid").select("order_id"), "order_id", "left_semi")
+    (product, order) first, in a shuffle of its own, so that neither a hot
+    product nor a hot order stays in one task."""
+    paid = join_measured(items.select("order_id", "product_id"),
+                         orders.filter(F.col("status") == "paid").select("order_id"), ["order_id"], "left_semi")
     count = F.approx_count_distinct("order_id") if approximate else F.count_distinct("order_id")
     return paid.groupBy("product_id").agg(count.alias("purchase_count"))
 

@@ -17,12 +17,13 @@ CHUNK_ROWS = 100_000
 
 
 def join_measured(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join with a right side that was itself grouped or joined by ``keys``.
+    """Join whose partitioning by ``keys`` is shared with no other step.
 
-    A plain join would reuse that partitioning, and then adaptive execution
-    neither sees the right side's size (to broadcast it when small) nor splits
-    the left side's hot partitions.  Joining on the keys and their hash gives
-    the right side a shuffle of its own, which allows both.
+    Where a side was itself grouped by the keys, or the result is grouped by
+    them next, Spark reuses the partitioning; adaptive execution then neither
+    sees the right side's size (to broadcast it when small) nor may split the
+    left side's hot partitions.  Joining on the keys and their hash keeps the
+    shuffles apart, which allows both.
     """
     tag = F.xxhash64(*keys)
     return left.withColumn("_hash", tag).join(right.withColumn("_hash", tag), [*keys, "_hash"], how).drop("_hash")
