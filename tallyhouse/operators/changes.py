@@ -52,7 +52,8 @@ def apply_payments(orders: DataFrame, payments: DataFrame) -> DataFrame:
         F.coalesce(paid, F.lit(False)).alias("newly_paid"))
 
 
-def _bought(paid_orders: DataFrame, items: DataFrame) -> DataFrame:
+def newly_bought(paid_orders: DataFrame, items: DataFrame) -> DataFrame:
+    """(user, product) pairs of newly paid orders, with the lowest order of each."""
     new = paid_orders.filter("newly_paid").select("order_id", "user_id")
     return items.select("order_id", "product_id").join(new, "order_id") \
         .groupBy("user_id", "product_id").agg(F.min("order_id").alias("order_id"))
@@ -61,12 +62,12 @@ def _bought(paid_orders: DataFrame, items: DataFrame) -> DataFrame:
 def grant_downloads(downloads: DataFrame, paid_orders: DataFrame, items: DataFrame) -> DataFrame:
     """Add (user, product) rights from newly paid orders where absent."""
     return insert_if_absent(downloads.select("user_id", "product_id", "order_id"),
-                            _bought(paid_orders, items), ["user_id", "product_id"], [F.col("order_id")])
+                            newly_bought(paid_orders, items), ["user_id", "product_id"], [F.col("order_id")])
 
 
 def clear_cart(cart: DataFrame, paid_orders: DataFrame, items: DataFrame) -> DataFrame:
     """Drop cart rows whose product the same user has just bought."""
-    return cart.join(_bought(paid_orders, items), ["user_id", "product_id"], "left_anti")
+    return cart.join(newly_bought(paid_orders, items), ["user_id", "product_id"], "left_anti")
 
 
 def use_claims(claims: DataFrame, paid_orders: DataFrame) -> DataFrame:

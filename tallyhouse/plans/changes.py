@@ -96,8 +96,7 @@ SELECT d.user_id, d.product_id, o.order_id FROM shop_downloads d JOIN shop_order
 WHERE NOT (o.status = 'paid' AND o.payment_method = '1-URGENT')
 """)
 def revoke_downloads(shop):
-    from ..operators.changes import _bought
-    bought = _bought(_paid(shop), shop.items)
+    bought = changes.newly_bought(_paid(shop), shop.items)
     older = shop.downloads.join(shop.orders.select("order_id"), "order_id", "left_semi")
     rights = bought.unionByName(older.select("user_id", "product_id", "order_id"))
     accepted = changes.refund_requests(shop.orders, shop.refunds)

@@ -32,18 +32,18 @@ def session_builder(app_name: str = "tallyhouse") -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a folder is made and recorded in
-    the session, which is only right on a single machine; a remote master
-    therefore gets an error instead of a machine-local folder.
+    Where the setting is absent, the folder set on the context counts.  Where
+    that is absent too (local tests), one is made; this is only right on a
+    single machine, so a remote master gets an error instead.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tallyhouse-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyhouse-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

@@ -72,14 +72,27 @@ def test_shared_folder_comes_from_the_session(spark):
     assert first.startswith(named + "/x-") and first != second
 
 
-def test_no_machine_local_folder_on_a_cluster():
-    class Conf:
-        def get(self, key, default=None):
-            return default
+class Unset:
+    """A session in which no checkpoint folder is named."""
+
+    def __init__(self, master):
+        self.master, self.folder, self.conf, self.sparkContext = master, None, self, self
+
+    def get(self, key, default=None):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
 
-    class Remote:
-        conf = Conf()
-        sparkContext = type("C", (), {"master": "yarn"})()
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
+
+def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
-        session.shared_dir(Remote())
+        session.shared_dir(Unset("yarn"))
+
+
+def test_local_session_gets_one_folder():
+    local = Unset("local[2]")
+    assert session.shared_dir(local) == session.shared_dir(local) == local.folder

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tallyhouse.operators import catalog, changes, customers, joins
-from tallyhouse.operators.skew import chunked_lists, running_sums, top_n_per_key
+from tallyhouse.operators.skew import chunked_lists, join_measured, running_sums, top_n_per_key
 from tallyhouse.sources import bundles
 
 
@@ -58,6 +58,37 @@ def test_top_n_limits_before_the_shuffle(hot_rows):
     assert {(r.k, r.id, r.position) for r in top.collect()} == expected
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_measured_join_is_a_plain_join(spark, hot_rows, how):
+    _, df = hot_rows
+    grouped = df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 8")
+    measured = join_measured(df, grouped, ["k"], how)
+    plain = df.join(grouped, "k", how)
+    assert measured.columns == plain.columns
+    assert sorted(map(tuple, measured.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_counting_does_not_share_the_join_partitioning(spark, shop):
+    """Otherwise a hot order could not be split."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.paid_order_counts(shop.items, shop.orders)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("product_id" in line and "order_id" in line for line in exchanges)
+    assert sum("_hash" in line for line in exchanges) == 2
+
+
+def test_optional_items_equal_a_left_join(spark, hot_shop):
+    tables, _ = hot_shop
+    orders, items = tables["orders"], tables["items"]
+    found = joins.orders_with_items(orders, items)
+    plain = orders.join(items, "order_id", "left")
+    assert found.columns == plain.columns
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
 def ledger_rows(n=600, users=4, seed=5):
     rng = random.Random(seed)
     start = dt.datetime(2024, 1, 1)
