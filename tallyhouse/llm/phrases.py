@@ -71,9 +71,10 @@ def spans_hash(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray, base:
     """A hash of the words from each start to each stop, from running sums."""
     n = len(hashes)
     powers = np.cumprod(np.r_[np.uint64(1), np.full(n, base)])
+    inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(pow(int(base), -1, 1 << 64)))])
     sums = np.r_[np.uint64(0), np.cumsum(hashes * powers[:n])]
-    # Scaling every span to the highest power makes it independent of where it stands.
-    return mixed((sums[stops] - sums[starts]) * powers[n - starts])
+    # Dividing by the power of the start makes a span's hash independent of where it stands.
+    return mixed((sums[stops] - sums[starts]) * inverse[starts])
 
 
 def neighbourhoods(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
