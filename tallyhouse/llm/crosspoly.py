@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, SEED = 12, 24, 48, 2_048, 11
+TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, SEED = 10, 16, 48, 2_048, 11
 
 KEYS = "vec_id bigint, slot int, bucket bigint, vector array<double>"
 

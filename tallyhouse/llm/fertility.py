@@ -3,7 +3,7 @@
 For every text, each word is encoded as in running text (with a blank before it) by two public vocabularies: the piece
 vocabulary gives characters per token, the share of byte-fallback tokens and the entropy of the tokens; the byte-level
 vocabulary gives characters per token.  The values are held against bands that are learnt per language from all texts: a
-band reaches from ``LOW`` to ``HIGH`` times the language's median.  Texts with fewer than ``FEW_TOKENS`` tokens have no
+band reaches between two multiples of the language's median (``BANDS``).  Texts with fewer than ``FEW_TOKENS`` tokens have no
 reliable value and pass.
 
 Beside it stand the plain rules on words, symbols, repeated lines and repeated five-word windows.
@@ -32,7 +32,8 @@ PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: The byte-level vocabulary never sees more than a blank and one word, so the split pattern has no say.
 ONE_PIECE = r"[\s\S]+"
 
-LOW, HIGH, FEW_TOKENS = 0.5, 2.0, 50
+FEW_TOKENS = 200
+BANDS = {"chars_per_token": (0.7, 1.5), "chars_per_byte_token": (0.85, 1.5), "entropy": (0.5, 1.6)}
 #: The most byte-fallback tokens a text may have in any language, and the room above three times the median share.
 MOST_FALLBACK, FALLBACK_ROOM = 0.5, 0.1
 #: Medians are read from counts of values rounded to this step, so they are exact to it and need no sample.
@@ -47,7 +48,7 @@ COLUMNS = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()
 MEASURES = ("doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
             "n_repeat_words bigint, n_tokens bigint, chars_per_token double, chars_per_byte_token double, "
             "fallback_share double, entropy double")
-BANDED = ("chars_per_token", "chars_per_byte_token", "entropy", "fallback_share")
+BANDED = (*BANDS, "fallback_share")
 
 
 class Encodings:
@@ -163,8 +164,8 @@ def judge(measures: DataFrame, medians: DataFrame) -> DataFrame:
     wide = wide.select("band_lang", *(F.col(c).alias(f"{c}_median") for c in BANDED))
     held = measures.join(wide, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     inside = F.lit(True)
-    for c in BANDED[:3]:
-        inside = inside & F.col(c).between(F.col(f"{c}_median") * LOW, F.col(f"{c}_median") * HIGH)
+    for c, (low, high) in BANDS.items():
+        inside = inside & F.col(c).between(F.col(f"{c}_median") * low, F.col(f"{c}_median") * high)
     most = F.least(F.lit(MOST_FALLBACK), F.col("fallback_share_median") * 3 + FALLBACK_ROOM)
     inside = inside & (F.col("fallback_share") <= most)
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)

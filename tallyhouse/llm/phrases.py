@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from .words import ODD, WordHashes, ascii_words, mixed, run_hashes
+from .words import ODD, WordHashes, ascii_words, mixed, ranges, run_hashes
 
 WINDOW, GRAM = 50, 8
 BLOCK = WINDOW // 2
@@ -107,17 +107,21 @@ def seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of the single windows in the listed ranges of each document."""
+    """The keys of the single windows in the listed neighbourhoods of each document."""
     known = WordHashes()
     names = ["key", "key2", "doc_id", "row", "low"]
     for batch in batches:
         for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans")):
             text = text.as_py()
             row = row_key(text)
-            starts = [np.arange(s["low"], s["high"] + 1) for s in spans.as_py() if s["row"] == row]
-            if not starts:
+            listed = [s["low"] for s in spans.as_py() if s["row"] == row]
+            if not listed:
                 continue
-            hashes, at = known.of(ascii_words(text)), np.unique(np.concatenate(starts))
+            hashes = known.of(ascii_words(text))
+            _, near, near2, low, high = neighbourhoods(hashes)
+            # A neighbourhood that repeats in its first document is listed once; its repeats are looked up here.
+            same = np.isin(near, near[np.searchsorted(low, listed)])
+            at = ranges(low[same], high[same] - low[same] + 1)
             key = spans_hash(hashes, at, at + WINDOW, ODD).view(np.int64)
             key2 = (spans_hash(mixed(hashes), at, at + WINDOW, OTHER) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -147,8 +151,8 @@ def piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if s["row"] == row:
                     wanted.setdefault((s["shard"], s["kind"]), []).append((s["low"], s["high"]))
             words, rows = ascii_words(text) if wanted else [], []
-            for (shard, kind), ranges in wanted.items():
-                for low, high in merged(ranges):
+            for (shard, kind), parts in wanted.items():
+                for low, high in merged(parts):
                     for at in range(low, high + 1, PIECE):
                         part = words[at:min(at + PIECE - 1, high) + WINDOW]
                         rows.append({"shard": shard, "kind": kind, "doc_id": doc_id, "row": row, "low": at, "n_words": len(part),
@@ -308,8 +312,8 @@ class Located:
         whole = near.where("first.doc_id < last").select("near", "near2", "first")
         claims = seeds.join(whole, ["near", "near2"]).where("doc_id > first.doc_id").select("doc_id", "row", "low", "high", "first")
         several = near.groupBy("seed").agg(F.min("first.doc_id").alias("low_doc"), F.max("first.doc_id").alias("high_doc")).where("low_doc < high_doc")
-        apart = near.join(several.select("seed"), "seed").select("first.doc_id", "first.row", "first.low", "first.high")
-        windows = self.spans_of(apart, "row", "low", "high").mapInArrow(window_batches, WINDOWS)
+        apart = near.join(several.select("seed"), "seed").select("first.doc_id", "first.row", "first.low")
+        windows = self.spans_of(apart, "row", "low").mapInArrow(window_batches, WINDOWS)
         windows = self.written(windows, "windows")
         single = F.struct("doc_id", "row", "low", F.col("low").alias("high"))
         keyed = windows.groupBy("key", "key2").agg(F.min(single).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
