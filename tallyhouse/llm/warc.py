@@ -216,8 +216,9 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The chunk table of the archives.  One archive is one row of the manifest; they are dealt out by name."""
-    return manifest.select("archive").repartition("archive").mapInArrow(read_chunks, CHUNKS)
+    """The chunk table of the archives.  One archive is one row of the manifest, and each is read by a task of its own: the
+    manifest is tiny, so its partitions would otherwise be put together."""
+    return manifest.select("archive").repartition(max(1, manifest.count())).mapInArrow(read_chunks, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
