@@ -16,6 +16,7 @@ input are ignored.  The vocabulary folder is a parameter; every executor must ha
 from __future__ import annotations
 
 import base64
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from .words import MEMO_WORDS, ascii_words, ranges, run_hashes, mixed
+from .words import MEMO_WORDS, Grown, ascii_words, mixed, ranges, run_hashes
 
 VOCABULARIES = "/opt/tokenizers"
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -67,20 +68,17 @@ class Encodings:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids, self.start, self.length, self.byte_tokens = np.empty(0, np.int32), *([np.empty(0, np.int64)] * 3)
+        self.ids, self.start, self.length, self.byte_tokens = Grown(np.int32), Grown(np.int64), Grown(np.int64), Grown(np.int64)
 
     def add(self, words: list[bytes]) -> None:
-        if len(self.number) + len(words) > MEMO_WORDS:
-            self.clear()
         texts = [w.decode("utf-8", "replace") for w in words]
         ids = self.pieces.encode(texts, num_threads=1)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))])
-        self.start, self.length = np.concatenate([self.start, begin]), np.concatenate([self.length, lengths])
+        self.start.add(self.ids.size + np.cumsum(lengths) - lengths)
+        self.length.add(lengths)
+        self.ids.add(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())))
         encode = self.bytes.encode_ordinary
-        tokens = np.fromiter((len(encode(" " + t)) for t in texts), np.int64, len(texts))
-        self.byte_tokens = np.concatenate([self.byte_tokens, tokens])
+        self.byte_tokens.add([len(encode(" " + t)) for t in texts])
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:

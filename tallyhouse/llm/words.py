@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: A words memo is emptied when it holds this many entries, so its memory is bounded; results do not depend on it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,3 +64,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+class Grown:
+    """An array that is added to at its end, with room kept for more."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, values) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            self.room = np.concatenate([self.room[:self.size], np.empty(max(end, self.size), self.room.dtype)])
+        self.room[self.size:end] = values
+        self.size = end
+
+    def __getitem__(self, at):
+        return self.room[at]
