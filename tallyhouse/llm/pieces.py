@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import MEMO_WORDS, ranges
+from .words import MEMO_WORDS, Grown, ranges
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, FALLBACK, NONE = "▁", 10.0, -1e30
@@ -56,9 +57,10 @@ class Vocabulary:
                 self.bytes[i] = piece.replace(MARK, " ").encode("utf-8")
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.id):
             raise ValueError("the vocabulary has pieces across words or lines")
-        self.longest = max(map(len, self.id))
         self.unknown = min(s for s in self.score.values() if s > UNUSED) - FALLBACK
         self.score = {p: s if s > UNUSED else self.unknown for p, s in self.score.items()}
+        #: The score of every piece, and ``NONE`` for what only begins longer pieces.
+        self.begins = {p[:n]: NONE for p in self.score for n in range(1, len(p))} | self.score
 
     def ids(self, pieces: list[str]) -> list[int]:
         """A path's ids; characters without a piece become byte pieces."""
@@ -75,19 +77,21 @@ class Vocabulary:
 
 def lattice(chunk: str, words: Vocabulary) -> tuple[list[float], list[tuple[int, int, float]]]:
     """Forward Viterbi: each node's best score, and all edges in the order of their starts."""
-    n, get, longest = len(chunk), words.score.get, words.longest
+    n, get, unknown = len(chunk), words.begins.get, words.unknown
     forward, edges = [0.0] + [NONE] * n, []
     for i in range(n):
         at = forward[i]
-        for j in range(i + 1, min(n, i + longest) + 1):
+        for j in range(i + 1, n + 1):
             s = get(chunk[i:j])
-            if s is None:
-                if j > i + 1:
-                    continue
-                s = words.unknown
+            if s is None or s == NONE:
+                if j == i + 1:
+                    edges.append((i, j, unknown))
+                    forward[j] = max(forward[j], at + unknown)
+                if s is None:
+                    break
+                continue
             edges.append((i, j, s))
-            if at + s > forward[j]:
-                forward[j] = at + s
+            forward[j] = max(forward[j], at + s)
     return forward, edges
 
 
@@ -115,22 +119,35 @@ def search(chunk: str, words: Vocabulary, count: int) -> list[tuple[float, list[
 
 
 def best_and_loss(chunk: str, words: Vocabulary) -> tuple[float, list[str], float]:
-    """The best score and path, and how much worse the second-best path is (infinite if there is none)."""
-    forward, edges = lattice(chunk, words)
-    n, best = len(chunk), forward[-1]
-    backward, after = [NONE] * n + [0.0], [0] * (n + 1)
-    for i, j, s in reversed(edges):
-        v = s + backward[j]
-        if v > backward[i]:
-            backward[i], after[i] = v, j
-    on, pieces, at = set(), [], 0
-    while at < n:
-        on.add((at, after[at]))
-        pieces.append(chunk[at:after[at]])
-        at = after[at]
-    best = backward[0]
-    loss = min((best - (forward[i] + s + backward[j]) for i, j, s in edges if (i, j) not in on), default=float("inf"))
-    return best, pieces, max(0.0, loss)
+    """The best score and path, and how much worse the second-best path is (infinite if there is none): forward Viterbi
+    that keeps the two best scores of every node."""
+    n, get, unknown = len(chunk), words.begins.get, words.unknown
+    best, second, back = [0.0] + [NONE] * n, [NONE] * (n + 1), [0] * (n + 1)
+    for i in range(n):
+        at, less = best[i], second[i]
+        for j in range(i + 1, n + 1):
+            s = get(chunk[i:j])
+            if s is None or s == NONE:
+                if j > i + 1:
+                    if s is None:
+                        break
+                    continue
+                known, s = s, unknown
+            else:
+                known = s
+            v, f = at + s, best[j]
+            if v > f:
+                best[j], back[j] = v, i
+                second[j] = f if f > less + s else less + s
+            elif v > second[j]:
+                second[j] = v
+            if known is None:
+                break
+    pieces, at = [], n
+    while at:
+        pieces.append(chunk[back[at]:at])
+        at = back[at]
+    return best[n], pieces[::-1], best[n] - second[n] if second[n] > NONE / 2 else float("inf")
 
 
 class Chunks:
@@ -142,8 +159,8 @@ class Chunks:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids, self.start, self.length = np.empty(0, np.int32), *([np.empty(0, np.int64)] * 2)
-        self.best, self.loss = np.empty(0), np.empty(0)
+        self.ids, self.start, self.length = Grown(np.int32), Grown(np.int64), Grown(np.int64)
+        self.best, self.loss = Grown(np.float64), Grown(np.float64)
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         new = list({c: None for c in chunks if c not in self.number})
@@ -154,11 +171,11 @@ class Chunks:
             solved = [best_and_loss(c, self.words) for c in new]
             ids = [self.words.ids(pieces) for _, pieces, _ in solved]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))])
-            self.length = np.concatenate([self.length, lengths])
-            self.best = np.concatenate([self.best, [b for b, _, _ in solved]])
-            self.loss = np.concatenate([self.loss, [x for _, _, x in solved]])
+            self.start.add(self.ids.size + np.cumsum(lengths) - lengths)
+            self.length.add(lengths)
+            self.ids.add(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())))
+            self.best.add([b for b, _, _ in solved])
+            self.loss.add([x for _, _, x in solved])
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 

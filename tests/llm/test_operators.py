@@ -156,7 +156,7 @@ def all_paths(chunk, vocabulary):
     if not chunk:
         yield 0.0, []
         return
-    for j in range(1, min(len(chunk), vocabulary.longest) + 1):
+    for j in range(1, min(len(chunk), 16) + 1):
         s = vocabulary.score.get(chunk[:j], vocabulary.unknown if j == 1 else None)
         if s is not None:
             for rest, path in all_paths(chunk[j:], vocabulary):
