@@ -47,7 +47,8 @@ def phrase_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; the last one of a source's quota gives its first words only."""
+    """Every document as often as the mix takes it; the last one of a source's quota gives its first words only,
+    joined by one blank."""
     docs = columns(docs)
     path = run_dir(spark, "mixed")
     mixing.mixed_blocks(docs).where("pass_no IS NOT NULL") \
@@ -55,8 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = spark.read.parquet(path)
     keyed = mixing.keyed(docs)
     joined = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tie") == F.col("of_tie")) & (F.col("nth") == F.col("of_nth")))
-    pattern = r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)"
-    first = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(pattern + "{"), (F.col("words") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+")), F.lit(0))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
     text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))
     mixed = joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return columns(mixing.locally_shuffled(mixed))

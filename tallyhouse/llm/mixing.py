@@ -145,5 +145,5 @@ def per_document(copies: DataFrame) -> DataFrame:
 
 
 def locally_shuffled(copies: DataFrame) -> DataFrame:
-    """The mix itself, ordered by position within each shard; a shard may span several partitions."""
-    return copies.where("pass_no IS NOT NULL").repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
+    """Taken rows ordered by position within each shard; a shard may span several partitions."""
+    return copies.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
