@@ -33,6 +33,8 @@ from .components import components
 from .words import WordHashes, ascii_words, run_hashes
 
 SKETCH, BLOCK = 64, 512
+#: How many buckets of doc_ids the sieve before the texts' shuffle has; where all are in use it keeps nothing out.
+SIEVE = 1 << 20
 #: How many standard deviations of the overlap are allowed for.
 DEVIATIONS = 6.5
 
@@ -79,31 +81,36 @@ def least_shared(n: str, per_cent: int) -> F.Column:
     return F.when(size <= small_set(per_cent), F.ceil(size * per_cent / 100)).otherwise(shared_values(per_cent))
 
 
-def clusters(nodes: DataFrame, per_cent: int) -> DataFrame:
-    """(hub, node): who meets whom, from nodes (node, n_shingles, sketch)."""
-    values = nodes.select("node", "n_shingles", F.explode("sketch").alias("value"))
+def inverted_lists(nodes: DataFrame, per_cent: int) -> DataFrame:
+    """(value, node): the retained values that count for each node, from nodes (node, n_shingles, sketch)."""
+    values = nodes.select("node", F.explode("sketch").alias("value"))
     frequency = values.groupBy("value").agg(F.count("*").alias("held_by")).where("held_by > 1")
-    shared = values.join(frequency, "value")
+    shared = values.join(frequency, "value").join(nodes.select("node", "n_shingles"), "node")
     own = Window.partitionBy("node")
     kept = F.least(F.col("n_shingles"), F.lit(SKETCH))
     prefix = kept - least_shared("n_shingles", per_cent) + 1
     ranked = shared.withColumn("unique", kept - F.count("*").over(own)) \
         .withColumn("place", F.row_number().over(own.orderBy("held_by", "value")) + F.col("unique")).where(F.col("place") <= prefix)
-    lists = ranked.select("value", "node")
+    return ranked.select("value", "node")
+
+
+def clusters(lists: DataFrame) -> DataFrame:
+    """(hub, node): who meets whom; lists with the same smallest node are one cluster."""
     hubs = lists.groupBy("value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     return lists.join(hubs, "value").select("hub", "node").distinct()
 
 
-def similar(a: str, b: str, per_cent: int) -> F.Column:
-    """Estimate from the union sketch first, exact Jaccard on the full sets behind it."""
-    x, y = F.slice(a, 1, SKETCH), F.slice(b, 1, SKETCH)
+def maybe_similar(x: str, y: str, per_cent: int) -> F.Column:
+    """The estimate from two sketches: how much of the union's sketch both hold."""
     union = F.slice(F.array_sort(F.array_union(x, y)), 1, SKETCH)
     seen = F.size(F.array_intersect(F.array_intersect(x, y), union))
-    maybe = seen * SKETCH >= F.size(union) * shared_values(per_cent)
-    sizes = F.size(a) + F.size(b)
-    near_size = (F.least(F.size(a), F.size(b)) * 100 >= F.greatest(F.size(a), F.size(b)) * per_cent)
+    return seen * SKETCH >= F.size(union) * shared_values(per_cent)
+
+
+def similar(a: str, b: str, per_cent: int) -> F.Column:
+    """The exact Jaccard on two full sets."""
     common = F.size(F.array_intersect(a, b))
-    return near_size & F.when(maybe, common * 100 >= (sizes - common) * per_cent).otherwise(False)
+    return common * 100 >= (F.size(a) + F.size(b) - common) * per_cent
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -175,14 +182,23 @@ def near_duplicates(documents: DataFrame, width: int = 5, per_cent: int = 80) ->
     # One node per class: its smallest doc_id, and where that stands for several classes the digest tells them apart.
     numbered = sets.join(classes, "digest").where("doc_id = first_doc").dropDuplicates(["digest"]) \
         .withColumn("node", F.xxhash64("digest")).select("node", "digest", "doc_id", "n_shingles", "sketch")
-    met = written(clusters(numbered, per_cent), "clusters")
+    numbered = written(numbered, "nodes")
+    met = written(clusters(written(inverted_lists(numbered, per_cent), "lists")), "clusters")
     asked = met.select("node").distinct()
-    wanted = numbered.join(asked, "node").select("node", F.col("doc_id").alias("of_doc"), "digest")
-    shingles = texts.join(wanted, F.col("doc_id") == F.col("of_doc")).select("node", "digest", "text") \
+    wanted = written(numbered.join(asked, "node").select("node", F.col("doc_id").alias("of_doc"), "digest"), "wanted")
+    # A broadcast of at most ``SIEVE`` rows keeps most of the other texts out of the shuffle.
+    sieve = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE)).alias("sieve")
+    near = texts.join(F.broadcast(wanted.select(sieve("of_doc")).distinct()), sieve("doc_id") == F.col("sieve"), "left_semi")
+    shingles = near.join(wanted, F.col("doc_id") == F.col("of_doc")).select("node", "digest", "text") \
         .mapInArrow(checked_setter(width), "node bigint, shingles array<bigint>").dropDuplicates(["node"])
     shingles = written(shingles, "sets")
+    sketches = numbered.select("node", "n_shingles", "sketch")
+    hub_sketches = sketches.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("sketch").alias("hub_sketch"))
+    near_size = F.least("n_shingles", "hub_size") * 100 >= F.greatest("n_shingles", "hub_size") * per_cent
+    maybe = met.where("hub != node").join(sketches, "node").join(hub_sketches, "hub") \
+        .where(near_size & maybe_similar("sketch", "hub_sketch", per_cent)).select("hub", "node")
     hub_sets = shingles.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    first = met.where("hub != node").join(shingles, "node").join(hub_sets, "hub").where(similar("shingles", "hub_shingles", per_cent)) \
+    first = maybe.join(shingles, "node").join(hub_sets, "hub").where(similar("shingles", "hub_shingles", per_cent)) \
         .select(F.col("hub").alias("a"), F.col("node").alias("b"))
     first = components(first)
     placed = met.join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
