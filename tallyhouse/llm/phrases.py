@@ -129,7 +129,7 @@ def window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges of window starts, joined where they touch."""
+    """Ranges, joined where they touch."""
     out: list[tuple[int, int]] = []
     for low, high in sorted(spans):
         if out and low <= out[-1][1] + 1:
@@ -206,7 +206,7 @@ class Shard:
                 reached[number, start - at] = start + high
                 if low + high >= WINDOW:
                     out.append((start - low, start + high))
-        return out
+        return merged(out)
 
 
 def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
