@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.money import MONEY, one_decimal_mean
 from .skew import (CHUNK_ROWS, chunked_lists, collect_parts, header_parts, hot_parts, join_measured,
@@ -53,7 +54,7 @@ def linked_ids(parents: DataFrame, links: DataFrame, parent: str, child: str, na
     lists = chunked_lists(links.filter(F.col(child).isNotNull()).select(parent, child), [parent], [child],
                           F.struct(child), name, chunk_rows=chunk_rows)
     found = parents.join(lists, parent, "left").withColumn("part_no", F.coalesce("part_no", F.lit(0)))
-    return found.withColumn(name, F.coalesce(F.transform(name, lambda s: s[child]), F.array().cast("array<bigint>")))
+    return found.withColumn(name, F.coalesce(F.transform(name, lambda s: s[child]), F.array().cast(ArrayType(links.schema[child].dataType))))
 
 
 def orders_with_items(orders: DataFrame, items: DataFrame, products: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -70,12 +70,17 @@ def clear_cart(cart: DataFrame, paid_orders: DataFrame, items: DataFrame) -> Dat
     return cart.join(newly_bought(paid_orders, items), ["user_id", "product_id"], "left_anti")
 
 
+def _own(df: DataFrame, name: str) -> Column:
+    """A column the table may have already; null where it has not."""
+    return F.col(name) if name in df.columns else F.lit(None)
+
+
 def use_claims(claims: DataFrame, paid_orders: DataFrame) -> DataFrame:
     """Mark the claims that newly paid orders carry as used."""
     used = paid_orders.filter(F.col("newly_paid") & F.col("claim_id").isNotNull()) \
         .groupBy("claim_id", "user_id").agg(F.min("order_id").alias("_order"))
     return claims.join(used, ["claim_id", "user_id"], "left") \
-        .withColumn("used_by_order", F.when(~F.col("is_used"), F.col("_order"))) \
+        .withColumn("used_by_order", F.when(~F.col("is_used"), F.col("_order")).otherwise(_own(claims, "used_by_order"))) \
         .withColumn("is_used", F.col("is_used") | F.col("_order").isNotNull()).drop("_order")
 
 
@@ -249,16 +254,21 @@ def set_null_on_delete(children: DataFrame, deleted: DataFrame, key: str) -> Dat
 # Accounts ------------------------------------------------------------------
 
 def flag_dormant(users: DataFrame, logins: DataFrame, as_of) -> DataFrame:
-    """Active accounts whose last login is over a year old become dormant; a
-    login within the year clears the flag; no login changes nothing."""
+    """Active accounts whose last login is over a year old become dormant as of
+    now; a login within the year that is later than ``dormant_at`` clears the
+    flag, so a suspension stays; no login changes nothing."""
     now = dates.as_datetime(as_of)
     limit = now.replace(year=now.year - 1) if (now.month, now.day) != (2, 29) else dt.datetime(now.year - 1, 2, 28)
-    last = logins.filter(F.col("created_at") <= dates.ntz(now)).groupBy("user_id") \
-        .agg(F.max("created_at").alias("last_login_at"))
+    last = logins.filter(F.col("created_at") <= dates.ntz(now)).groupBy("user_id").agg(F.max("created_at").alias("_login"))
+    seen = F.greatest("_login", "last_login_at") if "last_login_at" in users.columns else F.col("_login")
+    since = _own(users, "dormant_at")
+    found = users.join(last, "user_id", "left").withColumn("last_login_at", seen).drop("_login")
     lapsed = F.col("is_active") & (F.col("last_login_at") < dates.ntz(limit))
-    current = F.col("last_login_at") >= dates.ntz(limit)
-    return users.join(last, "user_id", "left").withColumn(
-        "is_dormant", F.when(lapsed, True).when(current, False).otherwise(F.col("is_dormant")))
+    current = (F.col("last_login_at") >= dates.ntz(limit)) & (since.isNull() | (F.col("last_login_at") > since))
+    if "dormant_at" in users.columns:
+        found = found.withColumn("_since", F.when(lapsed, F.coalesce(since, dates.ntz(now))).when(~current | current.isNull(), since))
+    found = found.withColumn("is_dormant", F.when(lapsed, True).when(current, False).otherwise(F.col("is_dormant")))
+    return found.withColumn("dormant_at", F.col("_since")).drop("_since") if "dormant_at" in users.columns else found
 
 
 def account_actions(users: DataFrame, actions: DataFrame) -> DataFrame:
@@ -270,7 +280,8 @@ def account_actions(users: DataFrame, actions: DataFrame) -> DataFrame:
         F.bool_or(F.col("action") == "deactivate").alias("_off"))
     last_action = F.col("_last.action")
     return users.join(latest, "user_id", "left") \
-        .withColumn("dormant_at", F.when(last_action == "suspend", F.col("_last.created_at"))) \
+        .withColumn("dormant_at", F.when(last_action == "suspend", F.col("_last.created_at"))
+                    .when(last_action.isNull(), _own(users, "dormant_at"))) \
         .withColumn("is_dormant", F.coalesce(last_action == "suspend", F.col("is_dormant"))) \
         .withColumn("is_active", F.col("is_active") & ~F.coalesce("_off", F.lit(False))) \
         .drop("_last", "_off")

@@ -100,7 +100,7 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
     before the join, so a hot key is one row in it; null keys are no orphans."""
     keys = child.filter(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("_key")) \
         .agg(F.count(F.lit(1)).alias("n_rows"))
-    return keys.join(parent.select(F.col(parent_key).cast("bigint").alias("_key")), "_key", "left_anti")
+    return keys.join(parent.select(F.col(parent_key).cast(keys.schema["_key"].dataType).alias("_key")), "_key", "left_anti")
 
 
 def check_foreign_keys(references: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:

@@ -93,7 +93,9 @@ def order_item_counts(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def settled(orders: DataFrame, first, last) -> DataFrame:
-    return orders.filter(F.col("status").isin(SETTLED_STATUSES) & dates.in_days(F.col("paid_at"), first, last))
+    """Settled orders of the days from first to last; of all time if both are None."""
+    chosen = orders.filter(F.col("status").isin(SETTLED_STATUSES))
+    return chosen if first is None and last is None else chosen.filter(dates.in_days(F.col("paid_at"), first, last))
 
 
 def _is_refund(col: str = "status") -> Column:

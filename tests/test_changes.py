@@ -193,3 +193,33 @@ def test_counters_and_rewards(spark):
 def test_both_refund_spellings(spark):
     df = spark.createDataFrame([("refund",), ("refunded",), ("paid",)], "s string")
     assert [r[0] for r in df.select(changes.normal_status(F.col("s"))).collect()] == ["refund", "refund", "paid"]
+
+
+def test_second_runs_and_own_columns_keep_their_values(spark):
+    claims = spark.createDataFrame([(1, 7, False)], "claim_id long, user_id long, is_used boolean")
+    paid = spark.createDataFrame([(70, 7, 1, True)], "order_id long, user_id long, claim_id long, newly_paid boolean")
+    once = changes.use_claims(claims, paid)
+    assert [r.used_by_order for r in changes.use_claims(once, paid).collect()] == [70]
+
+    day = dt.datetime
+    users = spark.createDataFrame(
+        [(1, True, True, day(2020, 5, 1), day(2020, 4, 1)), (2, True, False, None, day(2018, 1, 1)), (3, True, True, day(2020, 1, 1), None)],
+        "user_id long, is_active boolean, is_dormant boolean, dormant_at timestamp_ntz, last_login_at timestamp_ntz")
+    logins = spark.createDataFrame([(3, day(2020, 3, 1))], "user_id long, created_at timestamp_ntz")
+    flagged = changes.flag_dormant(users, logins, "2020-06-01")
+    found = {r.user_id: (r.is_dormant, r.dormant_at) for r in flagged.collect()}
+    assert found == {1: (True, day(2020, 5, 1)), 2: (True, day(2020, 6, 1)), 3: (False, None)}
+    again = {r.user_id: (r.is_dormant, r.dormant_at) for r in changes.flag_dormant(flagged, logins, "2020-06-01").collect()}
+    assert again == found
+    none = spark.createDataFrame([], "user_id long, action string, created_at timestamp_ntz, action_id long")
+    assert {r.user_id: r.dormant_at for r in changes.account_actions(users, none).collect()} == {1: day(2020, 5, 1), 2: None, 3: day(2020, 1, 1)}
+
+
+def test_keys_may_be_strings(spark):
+    from tallyhouse.operators import quality
+
+    child = spark.createDataFrame([("a1",), ("zz",)], "k string")
+    parent = spark.createDataFrame([("a1",), ("b2",)], "id string")
+    assert [tuple(r) for r in quality.orphans(child, "k", parent, "id").collect()] == [("zz", 1)]
+    links = spark.createDataFrame([("a1", "x")], "id string, other string")
+    assert {r.id: r.linked for r in catalog.linked_ids(parent, links, "id", "other").collect()} == {"a1": ["x"], "b2": []}
