@@ -82,7 +82,7 @@ class Encodings:
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        new = list({w: None for w in words if w not in self.number})
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
         if new:
             if len(self.number) + len(new) > MEMO_WORDS:
                 self.clear()

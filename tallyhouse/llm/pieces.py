@@ -23,7 +23,7 @@ import heapq
 import itertools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,14 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, FALLBACK, NONE = "▁", 10.0, -1e30
 #: Scores at or below this mark pieces that no merge of the model makes (blank marks); they score like the fallback.
 UNUSED = -1e8
+#: Texts of about so many characters are solved together; chunks above ``LONG`` characters one by one.
+GROUP_CHARS, LONG = 1_000_000, 64
 CHUNKS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
 class Vocabulary:
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=os.fspath(path))
@@ -59,6 +62,15 @@ class Vocabulary:
             raise ValueError("the vocabulary has pieces across words or lines")
         self.unknown = min(s for s in self.score.values() if s > UNUSED) - FALLBACK
         self.score = {p: s if s > UNUSED else self.unknown for p, s in self.score.items()}
+        #: An automaton of all pieces, which names them by number; the last number is a character's fallback.
+        self.automaton = ahocorasick.Automaton()
+        for number, piece in enumerate(self.score):
+            self.automaton.add_word(piece, number)
+        self.automaton.make_automaton()
+        self.piece_score = np.array([*self.score.values(), self.unknown])
+        self.piece_length = np.array([*map(len, self.score), 1])
+        self.piece_id = np.array([*(self.id[p] for p in self.score), -1], np.int32)
+        self.byte_id = np.array(self.byte, np.int32)
         #: The score of every piece, and ``NONE`` for what only begins longer pieces.
         self.begins = {p[:n]: NONE for p in self.score for n in range(1, len(p))} | self.score
 
@@ -150,6 +162,61 @@ def best_and_loss(chunk: str, words: Vocabulary) -> tuple[float, list[str], floa
     return best[n], pieces[::-1], best[n] - second[n] if second[n] > NONE / 2 else float("inf")
 
 
+def solved_at_once(chunks: list[str], words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``best_and_loss`` gives, of many short chunks: (best scores, losses, all ids one after the other, how many of them each
+    chunk has).  The automaton finds the edges of all lattices, and each step of forward Viterbi takes one depth of all chunks."""
+    text = "\n".join(chunks)
+    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    # Node p stands before character p of the joined text; a chunk's last node falls on the line break behind it.
+    last = np.cumsum(lengths + 1) - 1
+    first = last - lengths
+    nodes = len(text) + 1
+    found = np.fromiter(itertools.chain.from_iterable(words.automaton.iter(text)), np.int64)
+    stop, piece = found[::2] + 1, found[1::2]
+    start = stop - words.piece_length[piece]
+    alone = np.ones(nodes, bool)
+    alone[last], alone[start[stop - start == 1]] = False, False
+    alone = np.flatnonzero(alone)
+    start, stop, piece = np.r_[start, alone], np.r_[stop, alone + 1], np.r_[piece, np.full(len(alone), len(words.piece_id) - 1)]
+    depth = np.arange(nodes) - np.repeat(first, lengths + 1)
+    order = np.lexsort((start, stop, depth[stop]))
+    start, stop, piece = start[order], stop[order], piece[order]
+    score = words.piece_score[piece]
+    best, second, back = np.full(nodes, NONE), np.full(nodes, NONE), np.zeros(nodes, np.int64)
+    best[first] = 0.0
+    levels = np.searchsorted(depth[stop], np.arange(1, int(lengths.max()) + 2))
+    for low, high in itertools.pairwise(levels.tolist()):
+        target = stop[low:high]
+        group = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        size = np.diff(np.r_[group, high - low])
+        value = best[start[low:high]] + score[low:high]
+        top = np.maximum.reduceat(value, group)
+        # Of equal values the first, which has the longest last piece, is the best one; the others compete for the second place.
+        equal = np.flatnonzero(value == np.repeat(top, size))
+        chosen = equal[np.unique(np.repeat(np.arange(len(group)), size)[equal], return_index=True)[1]]
+        value[chosen] = second[start[low + chosen]] + score[low + chosen]
+        at = target[group]
+        best[at], second[at], back[at] = top, np.maximum.reduceat(value, group), low + chosen
+    owner, now, steps = np.arange(len(chunks)), last, []
+    while len(owner):
+        edge = back[now]
+        steps.append((owner, edge))
+        now = start[edge]
+        more = now > first[owner]
+        owner, now = owner[more], now[more]
+    owner, edge = (np.concatenate(x)[::-1] for x in zip(*steps))
+    order = np.argsort(owner, kind="stable")
+    owner, edge = owner[order], edge[order]
+    ids, count = words.piece_id[piece[edge]], np.ones(len(edge), np.int64)
+    bare = np.flatnonzero(ids < 0)
+    data = [text[at].encode("utf-8", "surrogatepass") for at in start[edge[bare]].tolist()]
+    count[bare] = np.fromiter(map(len, data), np.int64, len(data))
+    ids, at = np.repeat(ids, count), np.cumsum(count) - count
+    ids[ranges(at[bare], count[bare])] = words.byte_id[np.frombuffer(b"".join(data), np.uint8)]
+    loss = np.where(second[last] > NONE / 2, best[last] - second[last], np.inf)
+    return best[last], loss, ids, np.bincount(owner, count, len(chunks)).astype(np.int64)
+
+
 class Chunks:
     """The best path, score and loss of every distinct chunk met so far."""
 
@@ -162,21 +229,31 @@ class Chunks:
         self.ids, self.start, self.length = Grown(np.int32), Grown(np.int64), Grown(np.int64)
         self.best, self.loss = Grown(np.float64), Grown(np.float64)
 
+    def add(self, chunks: list[str]) -> None:
+        short = [c for c in chunks if len(c) <= LONG]
+        if short:
+            self.keep(short, *solved_at_once(short, self.words))
+        for chunk in (c for c in chunks if len(c) > LONG):
+            best, pieces, loss = best_and_loss(chunk, self.words)
+            ids = self.words.ids(pieces)
+            self.keep([chunk], [best], [loss], ids, np.array([len(ids)]))
+
+    def keep(self, chunks: list[str], best, loss, ids, lengths: np.ndarray) -> None:
+        self.start.add(self.ids.size + np.cumsum(lengths) - lengths)
+        self.length.add(lengths)
+        self.ids.add(ids)
+        self.best.add(best)
+        self.loss.add(loss)
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks))))
+
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        new = list({c: None for c in chunks if c not in self.number})
+        """The numbers hold until the next call, which may empty the memo."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self.number]
         if new and len(self.number) + len(new) > MEMO_WORDS:
             self.clear()
             new = list(dict.fromkeys(chunks))
         if new:
-            solved = [best_and_loss(c, self.words) for c in new]
-            ids = [self.words.ids(pieces) for _, pieces, _ in solved]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start.add(self.ids.size + np.cumsum(lengths) - lengths)
-            self.length.add(lengths)
-            self.ids.add(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())))
-            self.best.add([b for b, _, _ in solved])
-            self.loss.add([x for _, _, x in solved])
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.add(new)
         return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
 
@@ -187,10 +264,31 @@ def chunked(text: str | None) -> list[str]:
 def n_best(text: str | None, known: Chunks, count: int) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, list[int]]]]]]:
     """The ids of the best segmentation, and for each of the ``count`` best its score and its changes to the best: chunk
     number and the chunk's other ids."""
-    chunks = chunked(text)
+    return next(n_best_of_all([text], known, count))
+
+
+def n_best_of_all(texts: Iterable[str | None], known: Chunks, count: int) -> Iterator[tuple]:
+    """``n_best`` of each text; the new chunks of texts of ``GROUP_CHARS`` characters are solved at once."""
+    group, room = [], GROUP_CHARS
+    for text in texts:
+        group.append(chunked(text))
+        room -= len(text or "")
+        if room <= 0:
+            yield from n_best_of_group(group, known, count)
+            group, room = [], GROUP_CHARS
+    yield from n_best_of_group(group, known, count)
+
+
+def n_best_of_group(group: list[list[str]], known: Chunks, count: int) -> Iterator[tuple]:
+    numbers, at = known.numbers(list(itertools.chain.from_iterable(group))), 0
+    for chunks in group:
+        yield best_paths(chunks, numbers[at:at + len(chunks)], known, count)
+        at += len(chunks)
+
+
+def best_paths(chunks: list[str], numbers: np.ndarray, known: Chunks, count: int) -> tuple:
     if not chunks:
         return np.empty(0, np.int32), [(0.0, [])]
-    numbers = known.numbers(chunks)
     ids = known.ids[ranges(known.start[numbers], known.length[numbers])]
     best, losses = float(known.best[numbers].sum()), known.loss[numbers]
     if count == 1:
@@ -228,7 +326,7 @@ def encoder(path: str, count: int):
         kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                rows = [n_best(t.as_py(), known, count) for t in batch.column("text")[i:i + 64]]
+                rows = list(n_best_of_all(batch.column("text")[i:i + 64].to_pylist(), known, count))
                 found = [[{"score": s, "changes": [{"chunk": at, "ids": x} for at, x in c]} for s, c in r[1]] for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[i:i + 64], pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array(found, kind)],
@@ -242,9 +340,9 @@ def digester(path: str, count: int):
         known = Chunks(Vocabulary(path))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py() or ""
-                ids, found = n_best(text, known, count)
+            texts = (t.as_py() or "" for t in batch.column("text"))
+            ahead, texts = itertools.tee(texts)
+            for doc_id, text, (ids, found) in zip(batch.column("doc_id").to_pylist(), texts, n_best_of_all(ahead, known, count)):
                 score, changes = found[-1]
                 rows.append({"doc_id": doc_id, "n_pieces": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(),
                              "best_score": found[0][0], "n_found": len(found), "nth_score": score, "nth_changes": str(changes),
