@@ -45,10 +45,11 @@ LOWER = bytes.maketrans(UPPER, UPPER.lower())
 
 def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
     """The sorted distinct shingle hashes, as signed integers in the order of the hash."""
-    words = [w.translate(LOWER) for w in ascii_words(text)]
+    words = ascii_words(text, LOWER)
     if not words:
         return np.empty(0, np.int64)
-    return np.sort(np.unique(run_hashes(hashes.of(words), min(width, len(words)))).view(np.int64))
+    found = np.sort(run_hashes(hashes.of(words), min(width, len(words))).view(np.int64))
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def featurer(width: int):

@@ -11,9 +11,10 @@ MEMO_WORDS = 800_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """The words ``[^\\x20\\x09-\\x0D]+`` in UTF-8; ``bytes.split`` cuts at exactly those six bytes."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def ascii_words(text: str | None, table: bytes | None = None) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` in UTF-8, their bytes replaced by ``table`` if there is one; ``bytes.split`` cuts at
+    exactly those six bytes."""
+    return text.encode("utf-8", "surrogatepass").translate(table).split() if text else []
 
 
 class WordHashes(dict):
