@@ -18,6 +18,7 @@ long texts are read whole; repeated rows give one result each; an empty table gi
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import itertools
@@ -162,6 +163,12 @@ def best_and_loss(chunk: str, words: Vocabulary) -> tuple[float, list[str], floa
     return best[n], pieces[::-1], best[n] - second[n] if second[n] > NONE / 2 else float("inf")
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """Loaded once for each Python worker, which runs many tasks."""
+    return Vocabulary(path)
+
+
 def solved_at_once(chunks: list[str], words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What ``best_and_loss`` gives, of many short chunks: (best scores, losses, all ids one after the other, how many of them each
     chunk has).  The automaton finds the edges of all lattices, and each step of forward Viterbi takes one depth of all chunks."""
@@ -248,13 +255,15 @@ class Chunks:
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The numbers hold until the next call, which may empty the memo."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.number]
+        coded = pa.array(chunks, pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [c for c in distinct if c not in self.number]
         if new and len(self.number) + len(new) > MEMO_WORDS:
             self.clear()
-            new = list(dict.fromkeys(chunks))
+            new = distinct
         if new:
             self.add(new)
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        return np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
 
 
 def chunked(text: str | None) -> list[str]:
@@ -321,7 +330,7 @@ DIGESTS = ("doc_id bigint, n_pieces bigint, ids_sha256 string, best_score double
 
 def encoder(path: str, count: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Chunks(Vocabulary(path))
+        known = Chunks(vocabulary(path))
         change = pa.struct([("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))])
         kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
         for batch in batches:
@@ -337,7 +346,7 @@ def encoder(path: str, count: int):
 
 def digester(path: str, count: int):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Chunks(Vocabulary(path))
+        known = Chunks(vocabulary(path))
         for batch in batches:
             rows = []
             texts = (t.as_py() or "" for t in batch.column("text"))
@@ -356,7 +365,7 @@ def digester(path: str, count: int):
 
 def decoder(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(path)
+        words = vocabulary(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([words.decode(x.as_py() or []) for x in batch.column("ids")], pa.string())],
