@@ -16,6 +16,7 @@ input are ignored.  The vocabulary folder is a parameter; every executor must ha
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 import os
 from collections.abc import Iterator
@@ -52,17 +53,23 @@ MEASURES = ("doc_id bigint, lang string, n_words bigint, word_chars bigint, n_sy
 BANDED = (*BANDS, "fallback_share")
 
 
+@functools.lru_cache(maxsize=2)
+def vocabularies(folder: str) -> tuple:
+    """The piece vocabulary and the byte-level one, loaded once for each Python worker, which runs many tasks."""
+    import sentencepiece
+    import tiktoken
+
+    with open(os.path.join(folder, BYTES), "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return (sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, PIECES)),
+            tiktoken.Encoding("fertility", pat_str=ONE_PIECE, mergeable_ranks=ranks, special_tokens={}))
+
+
 class Encodings:
     """For each distinct word its pieces, and how many byte-level tokens it has."""
 
     def __init__(self, folder: str):
-        import sentencepiece
-        import tiktoken
-
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, PIECES))
-        with open(os.path.join(folder, BYTES), "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.bytes = tiktoken.Encoding("fertility", pat_str=ONE_PIECE, mergeable_ranks=ranks, special_tokens={})
+        self.pieces, self.bytes = vocabularies(folder)
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
         self.clear()
 
