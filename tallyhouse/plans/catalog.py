@@ -108,12 +108,12 @@ def settings_map(shop):
 
 
 @query("A25", sql="""
-SELECT o.order_id, o.status, count(*) FILTER (WHERE i.item_status = 'active')::BIGINT AS remaining,
+SELECT o.order_id, o.status, CASE WHEN count(i.order_id) > 0 THEN count(*) FILTER (WHERE i.item_status = 'active') END::BIGINT AS remaining,
        CASE WHEN count(i.order_id) > 0 AND count(*) FILTER (WHERE i.item_status = 'active') = 0 THEN 'refund' ELSE o.status END AS new_status
-FROM shop_orders o JOIN shop_items i ON i.order_id = o.order_id GROUP BY o.order_id, o.status
+FROM shop_orders o LEFT JOIN shop_items i ON i.order_id = o.order_id GROUP BY o.order_id, o.status
 """)
 def state_after_refund(shop):
-    return catalog.state_after_refund(shop.orders, shop.items).filter(F.col("remaining").isNotNull()) \
+    return catalog.state_after_refund(shop.orders, shop.items) \
         .select("order_id", "status", "remaining", "new_status")
 
 

@@ -33,8 +33,9 @@ def read_table(spark: SparkSession, folder: str, name: str, declared: bool = Tru
     return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def stream_table(spark: SparkSession, folder: str, name: str, **options) -> DataFrame:
+    """A table as a stream, be it one file or a folder of part files.  A stream's plain path has to be a folder; a pattern may be either."""
+    return spark.readStream.schema(SCHEMAS[name]).options(**options).parquet(f"{folder.rstrip('/')}/{name}.parque[t]")
 
 
 def load_tables(spark: SparkSession, folder: str, names=TABLES) -> dict[str, DataFrame]:

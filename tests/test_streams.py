@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import tempfile
 from collections import defaultdict
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators import changes
 from tallyhouse.session import run_dir
+from tallyhouse.sources import tables
 from tallyhouse.streaming import jobs, sinks
 
 EVENTS = "entry_id bigint, user_id bigint, item_id bigint, fingerprint string, amount bigint, created_at timestamp_ntz"
@@ -115,3 +117,12 @@ def test_replayed_batch_replaces_itself(spark, stored):
     count = first.count()
     again = sinks.run(jobs.like_toggles(stream(spark, folder)), "update", path)
     assert again.count() == count
+
+
+def test_stream_reads_a_table_that_is_a_folder(spark, data_dir, tmp_path):
+    events = tables.read_table(spark, data_dir, "events")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for folder in (data_dir, str(tmp_path)):
+        stream = tables.stream_table(spark, folder, "events", maxFilesPerTrigger=1).select("event_id")
+        found = sinks.run(stream, "append", tempfile.mkdtemp(dir=tmp_path))
+        assert sorted(r.event_id for r in found.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
