@@ -2,7 +2,9 @@
 
 All ranges are half-open and compare the bare column with a literal.  The plan
 lists them as pushed filters, but Spark's Parquet reader does not skip row
-groups by TIMESTAMP_NTZ columns; only a partition or DATE column would prune.
+groups by TIMESTAMP_NTZ columns.  Where a table also holds the date of the
+column as a DATE column, best as its partition, name it as ``day``: the range
+then filters by it too, which prunes partitions and row groups.
 """
 
 from __future__ import annotations
@@ -41,21 +43,31 @@ def month_end_day(value) -> dt.date:
     return (next_month(value) - dt.timedelta(days=1)).date()
 
 
-def in_days(col: Column, first, last) -> Column:
+def days_between(day: str | None, first=None, last=None) -> Column:
+    """first <= day <= last on a DATE column; open ends and no column add no condition."""
+    found = F.lit(True)
+    if day and first is not None:
+        found = found & (F.col(day) >= F.lit(as_datetime(first).date()))
+    if day and last is not None:
+        found = found & (F.col(day) <= F.lit(as_datetime(last).date()))
+    return found
+
+
+def in_days(col: Column, first, last, day: str | None = None) -> Column:
     """first <= col < last + 1 day."""
-    return (col >= ntz(day_start(first))) & (col < ntz(day_start(last) + dt.timedelta(days=1)))
+    return (col >= ntz(day_start(first))) & (col < ntz(day_start(last) + dt.timedelta(days=1))) & days_between(day, first, last)
 
 
-def on_day(col: Column, day) -> Column:
-    return in_days(col, day, day)
+def on_day(col: Column, date, day: str | None = None) -> Column:
+    return in_days(col, date, date, day)
 
 
-def in_month_of(col: Column, as_of) -> Column:
-    return (col >= ntz(month_start(as_of))) & (col < ntz(next_month(as_of)))
+def in_month_of(col: Column, as_of, day: str | None = None) -> Column:
+    return in_days(col, month_start(as_of), month_end_day(as_of), day)
 
 
-def in_year(col: Column, year: int) -> Column:
-    return (col >= ntz(dt.date(year, 1, 1))) & (col < ntz(dt.date(year + 1, 1, 1)))
+def in_year(col: Column, year: int, day: str | None = None) -> Column:
+    return in_days(col, dt.date(year, 1, 1), dt.date(year, 12, 31), day)
 
 
 def day_text(col: Column) -> Column:

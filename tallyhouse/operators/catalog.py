@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType
 
 from ..functions.money import MONEY, one_decimal_mean
-from .skew import (CHUNK_ROWS, chunked_lists, collect_parts, header_parts, hot_parts, join_measured,
-                   tag_parts, top_n_per_key)
+from .skew import PAGE_LINES, collect_pages, join_measured, page_of, top_n_per_key
 
 
 def paid_order_counts(items: DataFrame, orders: DataFrame, approximate: bool = False) -> DataFrame:
@@ -48,24 +46,21 @@ def cart_totals(cart: DataFrame, owner: str = "user_id") -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("checked"), F.col("price"))), zero).alias("checked_total"))
 
 
-def linked_ids(parents: DataFrame, links: DataFrame, parent: str, child: str, name: str = "linked",
-               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Sorted ids linked to every parent, an empty array where there are none."""
-    lists = chunked_lists(links.filter(F.col(child).isNotNull()).select(parent, child), [parent], [child],
-                          F.struct(child), name, chunk_rows=chunk_rows)
-    found = parents.join(lists, parent, "left").withColumn("part_no", F.coalesce("part_no", F.lit(0)))
-    return found.withColumn(name, F.coalesce(F.transform(name, lambda s: s[child]), F.array().cast(ArrayType(links.schema[child].dataType))))
-
-
-def orders_with_items(orders: DataFrame, items: DataFrame, products: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Orders that have items, with a nested item list; very large orders come in parts."""
-    hot = hot_parts(items, ["order_id"], chunk_rows=chunk_rows)
-    rows = items.select("order_id", "line_no", "product_id", "price", "item_key") \
-        .join(products.select("product_id", "name", "category"), "product_id")
-    headers = header_parts(orders, hot, ["order_id"])
-    nested = headers.join(tag_parts(rows, hot, ["order_id"], ["item_key"]), ["order_id", "part_no"])
-    return collect_parts(nested, ["order_id"], F.struct("line_no", "product_id", "name", "price", "category"), "items",
-                         carry=[c for c in orders.columns if c != "order_id"])
+def linked_ids(parents: DataFrame, links: DataFrame, parent: str, child: str) -> DataFrame:
+    """One row per link of a parent, and one with a null child for a parent
+    without any.  Flat, so that a parent with very many links is no list in one task."""
+    found = links.filter(F.col(child).isNotNull()).select(parent, child)
+    bare = parents.join(found.select(parent).distinct(), parent, "left_anti")
+    return join_measured(parents, found, [parent]).unionByName(bare, allowMissingColumns=True)
+
+
+def orders_with_items(orders: DataFrame, items: DataFrame, products: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:
+    """Orders that have items, with a nested item list per page of ``page_lines`` line numbers (``page_no``)."""
+    rows = items.select("order_id", "line_no", "product_id", "price") \
+        .join(products.select("product_id", "name", "category"), "product_id") \
+        .withColumn("page_no", page_of(page_lines=page_lines))
+    pages = collect_pages(rows, ["order_id"], F.struct("line_no", "product_id", "name", "price", "category"), "items")
+    return join_measured(orders, pages, ["order_id"])
 
 
 def items_json(items_column: str = "items"):

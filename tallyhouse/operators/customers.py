@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import customer, dates
 from ..functions.fixed_values import GRADES, REFUND_STATUSES
 from ..functions.money import MONEY
 from . import joins
-from .reports import item_counts
-from .skew import CHUNK_ROWS, chunked_lists, top_n_per_key
+from .skew import join_measured, top_n_per_key
 
 
 def rfm(orders: DataFrame, as_of) -> DataFrame:
@@ -86,45 +87,47 @@ def latest_points(ledger: DataFrame, n: int = 30) -> DataFrame:
 
 def customer_360(users: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame, reviews: DataFrame,
                  ledger: DataFrame, notes: DataFrame, coupons: DataFrame, as_of,
-                 limits: customer.GradeLimits = customer.GradeLimits(), n: int = 30,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One nested record per customer.
+                 limits: customer.GradeLimits = customer.GradeLimits(), n: int = 30) -> DataFrame:
+    """The record of every customer, as rows of sections.
 
-    Orders and ledger hold the newest ``n`` rows.  Reviews, notes and coupons
-    are whole: a customer with more than ``chunk_rows`` of one of them gets
-    further rows (``part_no`` 1, 2, ...) that carry the rest of the lists.
+    The ``profile`` row holds grade and measures and, as lists, the newest
+    ``n`` orders and ledger entries.  Reviews, notes and coupons have no bound
+    and come as one row each, with ``created_at``, ``entry_id`` and a struct
+    named like the section; sorted by these, a customer's rows are the record.
     """
     recent = latest_orders(orders.select("order_id", "user_id", "final_amount", "status", "payment_method", "created_at"), n)
-    # Both are summed per order before the join, so a hot order is one row in it.
-    recent = recent.join(joins.first_item_per_order(items, products), "order_id", "left") \
-        .join(item_counts(items), "order_id", "left") \
+    recent = recent.join(listed_items(recent, items, products), "order_id", "left") \
         .withColumn("item_count", F.coalesce("item_count", F.lit(0)))
     order_list = _capped_list(recent, "orders", ["order_id", "final_amount", "status", "payment_method", "created_at",
                                                  "first_product", "item_count"])
     point_list = _capped_list(latest_points(ledger, n), "points", ["entry_id", "amount", "type", "created_at"])
-    profile = customer_grades(users, orders, as_of, limits) \
-        .join(order_list, "user_id", "left").join(point_list, "user_id", "left") \
-        .withColumn("part_no", F.lit(0).cast("bigint"))
+    profile = customer_grades(users, orders, as_of, limits).drop("created_at") \
+        .join(order_list, "user_id", "left").join(point_list, "user_id", "left").withColumn("section", F.lit("profile"))
     named = joins.order_items_detail(reviews, products, ["name"])
-    lists = whole_lists({
-        "reviews": (named, ["created_at", "review_id", "product_id", "name", "rating"], "review_id"),
-        "notes": (notes, ["created_at", "note_id", "content"], "note_id"),
-        "coupons": (coupons, ["created_at", "claim_id", "coupon_event_id", "is_used"], "claim_id"),
-    }, "user_id", chunk_rows).join(users.select("user_id"), "user_id", "left_semi")
-    return profile.join(lists, ["user_id", "part_no"], "full")
+    entries = [section(named, "reviews", "review_id", ["product_id", "name", "rating"]),
+               section(notes, "notes", "note_id", ["content"]),
+               section(coupons, "coupons", "claim_id", ["coupon_event_id", "is_used"])]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                  [profile, *(e.join(users.select("user_id"), "user_id", "left_semi") for e in entries)])
+
+
+def listed_items(recent: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """Number of items and first known product per order in ``recent``, from one
+    grouping of these orders' items only."""
+    lines = join_measured(items.select("order_id", "line_no", "product_id"), recent.select("order_id"), ["order_id"], "left_semi")
+    named = lines.join(products.select("product_id", "name", F.lit(True).alias("_known")), "product_id", "left")
+    first = F.min(F.when(F.col("_known"), F.struct("line_no", "product_id", "name")))
+    return named.groupBy("order_id").agg(F.count(F.lit(1)).alias("item_count"), first.alias("_f")) \
+        .select("order_id", "item_count", F.col("_f.name").alias("first_product"))
+
+
+def section(rows: DataFrame, name: str, entry_id: str, columns: list[str], at: str = "created_at") -> DataFrame:
+    """Rows of one kind of child, with the same leading columns for all kinds."""
+    return rows.select("user_id", F.lit(name).alias("section"), F.col(at).alias("created_at"),
+                       F.col(entry_id).cast("string").alias("entry_id"), F.struct(*columns).alias(name))
 
 
 def _capped_list(ranked: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """At most n rows per user are left here, so the list is small."""
     return ranked.groupBy("user_id").agg(
         F.sort_array(F.collect_list(F.struct("position", *columns))).alias(name))
-
-
-def whole_lists(children: dict, key: str, chunk_rows: int) -> DataFrame:
-    """Several child lists per key, aligned on (key, part_no).  A child is
-    (rows, columns of an entry, row key) and, where rows differ in size, a weight."""
-    result = None
-    for name, (rows, columns, row_key, *weight) in children.items():
-        part = chunked_lists(rows, [key], [row_key], F.struct(*columns), name, *weight, chunk_rows=chunk_rows)
-        result = part if result is None else result.join(part, [key, "part_no"], "full")
-    return result

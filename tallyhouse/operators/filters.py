@@ -15,25 +15,30 @@ def _chosen(value) -> bool:
 
 
 def filter_orders(orders: DataFrame, status=None, payment_method=None,
-                  date_from=None, date_to=None) -> DataFrame:
-    """Order list conditions; the date range covers whole days, half-open."""
+                  date_from=None, date_to=None, day: str | None = None) -> DataFrame:
+    """Order list conditions; the date range covers whole days, half-open.
+    ``day`` names the date of ``created_at`` as a DATE column, by which the scan prunes."""
     if _chosen(status):
         orders = orders.filter(F.col("status") == status)
     if _chosen(payment_method):
         orders = orders.filter(F.col("payment_method") == payment_method)
     if _chosen(date_from):
-        orders = orders.filter(F.col("created_at") >= dates.ntz(date_from))
+        orders = orders.filter((F.col("created_at") >= dates.ntz(date_from)) & dates.days_between(day, date_from, None))
     if _chosen(date_to):
         end = dates.day_start(date_to) + dates.dt.timedelta(days=1)
-        orders = orders.filter(F.col("created_at") < dates.ntz(end))
+        orders = orders.filter((F.col("created_at") < dates.ntz(end)) & dates.days_between(day, None, date_to))
     return orders
 
 
-def search_wild(df: DataFrame, columns: list[str], pattern: str) -> DataFrame:
-    """Case-insensitive substring in any column; wildcards live."""
+def matches_wild(columns: list[str], pattern: str | None) -> Column:
+    """Case-insensitive substring in any column, wildcards live; no pattern matches all, a null value nothing."""
     if not _chosen(pattern):
-        return df
-    return df.filter(text.any_of([text.contains_wild(F.col(c), pattern) for c in columns]))
+        return F.lit(True)
+    return F.coalesce(text.any_of([text.contains_wild(F.col(c), pattern) for c in columns]), F.lit(False))
+
+
+def search_wild(df: DataFrame, columns: list[str], pattern: str | None) -> DataFrame:
+    return df.filter(matches_wild(columns, pattern))
 
 
 def search_keyword(df: DataFrame, columns: list[str], keyword: str) -> DataFrame:

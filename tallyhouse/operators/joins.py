@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
 from . import filters
-from .skew import CHUNK_ROWS, collect_parts, header_parts, hot_parts, join_measured, tag_parts
+from .skew import PAGE_LINES, collect_pages, join_measured, page_of
 
 
 def order_items_detail(items: DataFrame, products: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,25 +47,28 @@ def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def order_list(orders: DataFrame, users: DataFrame, items: DataFrame, products: DataFrame, search: str | None = None,
-               chunk_rows: int = CHUNK_ROWS, **conditions) -> DataFrame:
+               page_lines: int = PAGE_LINES, **conditions) -> DataFrame:
     """Order list with buyer and product names.
 
     The search runs on buyer name, e-mail and product name before the names
     are gathered, so an order found by product lists the matching ones only.
+    Names stand in the order of the lines, one row per page of ``page_lines``
+    line numbers (``page_no``); an order without named items is one row of page 0.
     """
     chosen = filters.filter_orders(orders, **conditions).join(
         users.select("user_id", F.col("name").alias("buyer_name"), F.col("email").alias("buyer_email")), "user_id")
-    hot = hot_parts(items, ["order_id"], chunk_rows=chunk_rows)
-    named = order_items_detail(items.select("order_id", "line_no", "product_id", "item_key"), products, ["name"]) \
-        .withColumnRenamed("name", "product_name")
-    rows = header_parts(chosen, hot, ["order_id"]) \
-        .join(tag_parts(named, hot, ["order_id"], ["item_key"]), ["order_id", "part_no"], "left") \
-        .filter((F.col("part_no") == 0) | F.col("product_name").isNotNull())
-    rows = filters.search_wild(rows, ["buyer_name", "buyer_email", "product_name"], search)
-    item = F.when(F.col("product_name").isNotNull(), F.struct("product_name", "line_no", "product_id"))
-    lists = collect_parts(rows, ["order_id"], item, "_items", carry=[c for c in chosen.columns if c != "order_id"])
-    names = F.array_join(F.transform("_items", lambda i: i["product_name"]), ", ")
-    return lists.withColumn("product_names", F.when(F.size("_items") > 0, names)).drop("_items")
+    # The buyer is judged once per order, and only lines of chosen orders travel on.
+    chosen = chosen.withColumn("_by_buyer", filters.matches_wild(["buyer_name", "buyer_email"], search))
+    lines = join_measured(items.select("order_id", "line_no", "product_id"), chosen.select("order_id", "_by_buyer"), ["order_id"])
+    named = order_items_detail(lines, products.filter(F.col("name").isNotNull()), ["name"]) \
+        .filter(F.col("_by_buyer") | filters.matches_wild(["name"], search)) \
+        .withColumn("page_no", page_of(page_lines=page_lines))
+    pages = collect_pages(named, ["order_id"], F.struct("line_no", "product_id", "name"), "_names") \
+        .withColumn("product_names", F.array_join("_names.name", ", ")).drop("_names")
+    known = items.join(products.filter(F.col("name").isNotNull()).select("product_id"), "product_id", "left_semi")
+    bare = chosen.filter("_by_buyer").join(known.select("order_id").distinct(), "order_id", "left_anti") \
+        .withColumns({"page_no": F.lit(0).cast("bigint"), "product_names": F.lit(None).cast("string")})
+    return join_measured(chosen, pages, ["order_id"]).unionByName(bare).drop("_by_buyer")
 
 
 def left_with_filtered_right(left: DataFrame, right: DataFrame, on: list[str], condition: Column) -> DataFrame:

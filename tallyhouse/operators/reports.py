@@ -2,6 +2,9 @@
 
 Two revenue notions exist and are kept apart: the dashboard counts paid orders
 only, the settlement counts every settled status and splits off refunds.
+
+``day`` names the date of ``paid_at`` as a DATE column of orders, if it has one; date
+ranges then prune the scan by it (see ``functions.dates``).
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ def _paid(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("status") == "paid")
 
 
-def day_kpi(orders: DataFrame, as_of) -> DataFrame:
-    return _paid(orders).filter(dates.on_day(F.col("paid_at"), as_of)) \
+def day_kpi(orders: DataFrame, as_of, day: str | None = None) -> DataFrame:
+    return _paid(orders).filter(dates.on_day(F.col("paid_at"), as_of, day)) \
         .agg(F.count(F.lit(1)).alias("order_count"), _sum("final_amount").alias("amount"))
 
 
-def month_kpi(orders: DataFrame, as_of) -> DataFrame:
-    return _paid(orders).filter(dates.in_month_of(F.col("paid_at"), as_of)) \
+def month_kpi(orders: DataFrame, as_of, day: str | None = None) -> DataFrame:
+    return _paid(orders).filter(dates.in_month_of(F.col("paid_at"), as_of, day)) \
         .agg(F.count(F.lit(1)).alias("order_count"), _sum("final_amount").alias("amount"))
 
 
@@ -42,22 +45,22 @@ def pending_count(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("status") == "pending").agg(F.count(F.lit(1)).alias("pending"))
 
 
-def daily_sales(orders: DataFrame, as_of, days: int = 7) -> DataFrame:
+def daily_sales(orders: DataFrame, as_of, days: int = 7, day: str | None = None) -> DataFrame:
     """Paid orders per date from ``as_of`` minus ``days`` up to ``as_of``; touches days + 1 dates."""
     now = dates.as_datetime(as_of)
-    paid_at = F.col("paid_at")
+    paid_at, first = F.col("paid_at"), now - dt.timedelta(days=days)
     return _paid(orders) \
-        .filter((paid_at >= dates.ntz(now - dt.timedelta(days=days))) & (paid_at <= dates.ntz(now))) \
+        .filter((paid_at >= dates.ntz(first)) & (paid_at <= dates.ntz(now)) & dates.days_between(day, first, now)) \
         .groupBy(paid_at.cast("date").alias("day")) \
         .agg(F.count(F.lit(1)).alias("order_count"), _sum("final_amount").alias("amount"))
 
 
-def daily_sales_filled(orders: DataFrame, as_of, days: int = 7) -> DataFrame:
+def daily_sales_filled(orders: DataFrame, as_of, days: int = 7, day: str | None = None) -> DataFrame:
     """Exactly ``days`` dates ending today, zero-filled, each relative to the
     largest amount (at least 1)."""
     today = dates.as_datetime(as_of).date()
     first = today - dt.timedelta(days=days - 1)
-    sold = _paid(orders).filter(dates.in_days(F.col("paid_at"), first, today)) \
+    sold = _paid(orders).filter(dates.in_days(F.col("paid_at"), first, today, day)) \
         .groupBy(F.col("paid_at").cast("date").alias("day")) \
         .agg(F.count(F.lit(1)).alias("order_count"), _sum("final_amount").alias("amount"))
     calendar = orders.sparkSession.range(days).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
@@ -92,19 +95,19 @@ def order_item_counts(orders: DataFrame, items: DataFrame) -> DataFrame:
         .withColumn("item_count", F.coalesce("item_count", F.lit(0)))
 
 
-def settled(orders: DataFrame, first, last) -> DataFrame:
+def settled(orders: DataFrame, first, last, day: str | None = None) -> DataFrame:
     """Settled orders of the days from first to last; of all time if both are None."""
     chosen = orders.filter(F.col("status").isin(SETTLED_STATUSES))
-    return chosen if first is None and last is None else chosen.filter(dates.in_days(F.col("paid_at"), first, last))
+    return chosen if first is None and last is None else chosen.filter(dates.in_days(F.col("paid_at"), first, last, day))
 
 
 def _is_refund(col: str = "status") -> Column:
     return F.col(col).isin(REFUND_STATUSES)
 
 
-def settlement_summary(orders: DataFrame, first, last) -> DataFrame:
+def settlement_summary(orders: DataFrame, first, last, day: str | None = None) -> DataFrame:
     """One row; ``gross`` includes refunded orders."""
-    return settled(orders, first, last).agg(
+    return settled(orders, first, last, day).agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count_if(~_is_refund()).alias("valid_count"),
         F.count_if(_is_refund()).alias("refund_count"),
@@ -112,9 +115,9 @@ def settlement_summary(orders: DataFrame, first, last) -> DataFrame:
         _when(_is_refund()).alias("refund_amount"))
 
 
-def settlement_monthly(orders: DataFrame, year: int) -> DataFrame:
+def settlement_monthly(orders: DataFrame, year: int, day: str | None = None) -> DataFrame:
     """Months with settled orders only."""
-    return orders.filter(F.col("status").isin(SETTLED_STATUSES) & dates.in_year(F.col("paid_at"), year)) \
+    return orders.filter(F.col("status").isin(SETTLED_STATUSES) & dates.in_year(F.col("paid_at"), year, day)) \
         .groupBy(F.month("paid_at").alias("month")).agg(
             F.count_if(~_is_refund()).alias("valid_count"),
             F.count_if(_is_refund()).alias("refund_count"),
@@ -122,13 +125,13 @@ def settlement_monthly(orders: DataFrame, year: int) -> DataFrame:
             _when(_is_refund()).alias("refund_amount"))
 
 
-def settlement_by_product(items: DataFrame, orders: DataFrame, products: DataFrame, first, last) -> DataFrame:
+def settlement_by_product(items: DataFrame, orders: DataFrame, products: DataFrame, first, last, day: str | None = None) -> DataFrame:
     """Item-level settlement per product; partial refunds count.
 
     Orders only filter (their id is unique), products only name, so the sums
     are taken per product id before the product join.
     """
-    lines = items.join(settled(orders, first, last).select("order_id"), "order_id", "left_semi")
+    lines = items.join(settled(orders, first, last, day).select("order_id"), "order_id", "left_semi")
     active, refunded = F.col("item_status") == "active", F.col("item_status") == "refunded"
     sums = lines.groupBy("product_id").agg(
         F.count_if(active).alias("sale_count"),
@@ -138,9 +141,9 @@ def settlement_by_product(items: DataFrame, orders: DataFrame, products: DataFra
     return sums.join(products.select("product_id", "name"), "product_id")
 
 
-def payment_mix(orders: DataFrame, first, last) -> DataFrame:
+def payment_mix(orders: DataFrame, first, last, day: str | None = None) -> DataFrame:
     """Settled orders without refunds per payment method, with each one's share."""
-    mix = orders.filter(F.col("status").isin(VALID_STATUSES) & dates.in_days(F.col("paid_at"), first, last)) \
+    mix = orders.filter(F.col("status").isin(VALID_STATUSES) & dates.in_days(F.col("paid_at"), first, last, day)) \
         .groupBy("payment_method").agg(F.count(F.lit(1)).alias("order_count"), _sum("final_amount").alias("amount"))
     # A window over one row per payment method.
     total = F.sum("amount").over(Window.partitionBy(F.lit(1))).cast("double")

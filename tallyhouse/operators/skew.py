@@ -8,12 +8,10 @@ handled here, exactly and without dropping rows.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK_ROWS = 100_000
+#: Lines of a page of a list that cannot be bounded otherwise.
+PAGE_LINES = 1000
 
 
 def join_measured(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -41,53 +39,17 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def hot_parts(rows: DataFrame, keys: list[str], weight: Column | None = None,
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Keys with more than ``chunk_rows`` rows (or weight) and the number of
-    parts each is cut into.  The counts combine on the map side."""
-    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return rows.groupBy(*keys).agg(total.alias("_n")).filter(F.col("_n") > chunk_rows) \
-        .select(*keys, F.ceil(F.col("_n") / chunk_rows).alias("_parts"))
-
-
-def tag_parts(rows: DataFrame, hot: DataFrame, keys: list[str], row_key: list[str]) -> DataFrame:
-    """Give every row its ``part_no``: 0 for ordinary keys, a hash share for hot ones."""
-    return join_measured(rows, hot, keys, "left").withColumn(
-        "part_no", F.coalesce(F.pmod(F.xxhash64(*row_key), F.col("_parts")), F.lit(0).cast("bigint"))).drop("_parts")
-
-
-def header_parts(headers: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """Repeat each header once per part of its key, so that a join on
-    (keys, part_no) meets every tagged row and no task meets a whole hot key."""
-    last = F.coalesce(F.col("_parts") - 1, F.lit(0).cast("bigint"))
-    return join_measured(headers, hot, keys, "left") \
-        .withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("_parts")
+def page_of(line: str = "line_no", page_lines: int = PAGE_LINES) -> Column:
+    """The page a line stands on.  Only the line's own number decides, so the
+    lists of all keys are cut alike and none has to be counted first.  Lines
+    are unique within a key; one without a number stands on page 0."""
+    return F.coalesce(F.floor(F.col(line) / page_lines), F.lit(0)).cast("bigint")
 
 
-def collect_parts(tagged: DataFrame, keys: list[str], items: Column, name: str, carry: list[str] = ()) -> DataFrame:
-    """One sorted list per (keys, part_no)."""
-    return tagged.groupBy(*keys, "part_no").agg(
-        *[F.any_value(c).alias(c) for c in carry], F.sort_array(F.collect_list(items)).alias(name))
-
-
-def chunked_lists(df: DataFrame, keys: list[str], row_key: list[str], items: Column, name: str,
-                  weight: Column | None = None, sized_by: DataFrame | None = None,
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Collect ``items`` (a struct, sorted by its leading fields) per key.
-
-    A key with at most ``chunk_rows`` rows gives one row with ``part_no`` 0.  A
-    larger one gives several rows, numbered by ``part_no`` and together whole;
-    each is sorted in itself.  ``row_key`` identifies a row within its key.
-    ``weight`` is a row's size where rows are not alike.  ``sized_by`` is a
-    cheaper table to count instead of ``df``, with at least as many rows per
-    key.  Rows without a key belong to no list.
-    """
-    df = df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
-    hot = hot_parts(df if sized_by is None else sized_by, keys, weight, chunk_rows)
-    # The repartition is what spreads a hot key: without it the join's
-    # partitioning by key alone would be reused for the grouping.
-    tagged = tag_parts(df, hot, keys, row_key).repartition(*keys, "part_no")
-    return collect_parts(tagged, keys, items, name)
+def collect_pages(lines: DataFrame, keys: list[str], entry: Column, name: str) -> DataFrame:
+    """One sorted list per (keys, page_no).  Read in the order of the pages,
+    the lists of a key are the whole list, where ``entry`` starts with the line."""
+    return lines.groupBy(*keys, "page_no").agg(F.sort_array(F.collect_list(entry)).alias(name))
 
 
 def running_sums(df: DataFrame, key: str, order: list[str], bucket: Column, value: str) -> DataFrame:

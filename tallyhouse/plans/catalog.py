@@ -9,14 +9,15 @@ from .registry import query
 
 
 @query("A7", sql="""
-SELECT o.order_id, 0::BIGINT AS part_no, string_agg(p.name, ', ' ORDER BY p.name) AS product_names
+SELECT o.order_id, coalesce(i.line_no // 1000, 0)::BIGINT AS page_no,
+       string_agg(p.name, ', ' ORDER BY i.line_no, i.product_id, p.name) AS product_names
 FROM shop_orders o JOIN shop_users u ON u.user_id = o.user_id
 LEFT JOIN (shop_items i JOIN shop_products p ON p.product_id = i.product_id) ON i.order_id = o.order_id
-GROUP BY o.order_id
+GROUP BY ALL
 """)
 def order_product_names(shop):
     return joins.order_list(shop.orders, shop.users, shop.items, shop.products) \
-        .select("order_id", "part_no", "product_names")
+        .select("order_id", "page_no", "product_names")
 
 
 @query("A17 J5", sql=f"WITH {STATS} SELECT product_id, view_count, purchase_count::BIGINT AS purchase_count FROM stats")
@@ -51,27 +52,23 @@ def cart_totals(shop):
 
 
 @query("A20", sql="""
-SELECT u.user_id, 0::BIGINT AS part_no, count(o.order_id)::BIGINT AS n,
-       coalesce(string_agg(CAST(o.order_id AS VARCHAR), ',' ORDER BY o.order_id), '') AS linked
-FROM shop_users u LEFT JOIN shop_orders o ON o.user_id = u.user_id AND o.status = 'refund' GROUP BY u.user_id
+SELECT u.user_id, o.order_id FROM shop_users u LEFT JOIN shop_orders o ON o.user_id = u.user_id AND o.status = 'refund'
 """)
 def linked_ids(shop):
     links = shop.orders.filter(F.col("status") == "refund").select("user_id", "order_id")
-    return catalog.linked_ids(shop.users.select("user_id"), links, "user_id", "order_id").select(
-        "user_id", "part_no", F.size("linked").cast("bigint").alias("n"),
-        F.array_join(F.col("linked").cast("array<string>"), ",").alias("linked"))
+    return catalog.linked_ids(shop.users.select("user_id"), links, "user_id", "order_id")
 
 
 @query("A21 X22", sql="""
-SELECT o.order_id, 0::BIGINT AS part_no, '[' || string_agg('{"line_no":' || i.line_no || ',"product_id":' || i.product_id || ',"name":"'
+SELECT o.order_id, (i.line_no // 1000)::BIGINT AS page_no, '[' || string_agg('{"line_no":' || i.line_no || ',"product_id":' || i.product_id || ',"name":"'
          || p.name || '","price":' || i.price || ',"category":"' || p.category || '"}', ','
          ORDER BY i.line_no, i.product_id, p.name, i.price) || ']' AS items
 FROM shop_orders o JOIN shop_items i ON i.order_id = o.order_id JOIN shop_products p ON p.product_id = i.product_id
-GROUP BY o.order_id
+GROUP BY ALL
 """)
 def orders_with_items_json(shop):
     nested = catalog.orders_with_items(shop.orders.select("order_id"), shop.items, shop.products)
-    return nested.select("order_id", "part_no", catalog.items_json().alias("items"))
+    return nested.select("order_id", "page_no", catalog.items_json().alias("items"))
 
 
 @query("A22", sql="""

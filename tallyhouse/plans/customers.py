@@ -111,7 +111,7 @@ reviews AS (SELECT o.user_id, count(*) AS reviews, sum(r.rating) AS stars
             FROM shop_reviews r JOIN shop_orders o USING (order_id) GROUP BY o.user_id),
 notes AS (SELECT user_id, count(*) AS notes FROM shop_events WHERE event_type = 'view' GROUP BY user_id),
 coupons AS (SELECT user_id, count(*) AS coupons FROM shop_claims GROUP BY user_id)
-SELECT g.user_id, 0::BIGINT AS part_no, g.grade, g.total_spent::BIGINT AS total_spent, coalesce(ol.orders, 0)::BIGINT AS orders,
+SELECT g.user_id, g.grade, g.total_spent::BIGINT AS total_spent, coalesce(ol.orders, 0)::BIGINT AS orders,
        coalesce(ol.first_products, '') AS first_products, coalesce(c.listed_items, 0)::BIGINT AS listed_items,
        coalesce(p.points, 0)::BIGINT AS points, coalesce(r.reviews, 0)::BIGINT AS reviews, coalesce(r.stars, 0)::BIGINT AS stars,
        coalesce(n.notes, 0)::BIGINT AS notes, coalesce(k.coupons, 0)::BIGINT AS coupons
@@ -124,12 +124,19 @@ def customer_360(shop):
     full = customers.customer_360(shop.users, shop.orders, shop.items, shop.products, shop.user_reviews,
                                   shop.typed_ledger, notes, shop.claims, ORDERS_AS_OF, LIMITS)
 
-    def size(name):
+    def listed(name):
         return F.coalesce(F.size(name), F.lit(0)).cast("bigint").alias(name)
 
-    total = lambda field: F.coalesce(F.aggregate(field, F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(0).cast("bigint"))
-    return plain(full.select(
-        "user_id", "part_no", "grade", "total_spent", size("orders"),
-        F.coalesce(F.array_join("orders.first_product", "|"), F.lit("")).alias("first_products"),
-        total("orders.item_count").alias("listed_items"), size("points"), size("reviews"),
-        total("reviews.rating").alias("stars"), size("notes"), size("coupons")))
+    def entries(name):
+        return F.count_if(F.col("section") == name).alias(name)
+
+    counted = F.aggregate("orders.item_count", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    rows = full.select("user_id", "section", "grade", "total_spent", listed("orders"),
+                       F.array_join("orders.first_product", "|").alias("first_products"), counted.alias("listed_items"),
+                       listed("points"), F.col("reviews.rating").cast("bigint").alias("stars"))
+    zero = F.lit(0).cast("bigint")
+    return plain(rows.groupBy("user_id").agg(
+        F.max("grade").alias("grade"), F.max("total_spent").alias("total_spent"), F.max("orders").alias("orders"),
+        F.coalesce(F.max("first_products"), F.lit("")).alias("first_products"),
+        F.coalesce(F.max("listed_items"), zero).alias("listed_items"), F.max("points").alias("points"),
+        entries("reviews"), F.coalesce(F.sum("stars"), zero).alias("stars"), entries("notes"), entries("coupons")))

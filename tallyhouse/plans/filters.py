@@ -22,8 +22,8 @@ def orders_filtered(shop):
 
 @query("F1 F2 A7 J3", sql="""
 SELECT o.order_id, o.status, o.final_amount::BIGINT AS final_amount, o.payment_method, o.created_at, u.name AS buyer_name,
-       u.email AS buyer_email, 0::BIGINT AS part_no,
-       string_agg(p.name, ', ' ORDER BY p.name, i.line_no, i.product_id) AS product_names
+       u.email AS buyer_email, coalesce(i.line_no // 1000, 0)::BIGINT AS page_no,
+       string_agg(p.name, ', ' ORDER BY i.line_no, i.product_id, p.name) AS product_names
 FROM shop_orders o JOIN shop_users u ON u.user_id = o.user_id
 LEFT JOIN (shop_items i JOIN shop_products p ON p.product_id = i.product_id) ON i.order_id = o.order_id
 WHERE o.status = 'paid' AND (u.name ILIKE '%r_d g%' OR u.email ILIKE '%r_d g%' OR p.name ILIKE '%r_d g%')
@@ -32,7 +32,7 @@ GROUP BY ALL
 def order_list_by_product_search(shop):
     found = joins.order_list(shop.orders, shop.users, shop.items, shop.products, search="r_d g", status="paid")
     return plain(found, "order_id", "status", "final_amount", "payment_method", "created_at", "buyer_name",
-                 "buyer_email", "part_no", "product_names")
+                 "buyer_email", "page_no", "product_names")
 
 
 @query("F2", sql="""

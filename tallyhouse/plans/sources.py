@@ -95,7 +95,7 @@ WITH bought AS (SELECT o.user_id, count(DISTINCT o.order_id) AS orders, count(*)
 rights AS (SELECT user_id, count(*) AS downloads FROM shop_downloads d JOIN shop_products p USING (product_id) GROUP BY user_id),
 written AS (SELECT o.user_id, count(*) AS reviews FROM shop_reviews r JOIN shop_orders o USING (order_id) GROUP BY o.user_id),
 points AS (SELECT user_id, count(*) AS points FROM shop_ledger GROUP BY user_id)
-SELECT u.user_id, 0::BIGINT AS part_no, u.email, coalesce(b.orders, 0)::BIGINT AS orders, coalesce(b.items, 0)::BIGINT AS items,
+SELECT u.user_id, u.email, coalesce(b.orders, 0)::BIGINT AS orders, coalesce(b.items, 0)::BIGINT AS items,
        coalesce(b.spent, 0)::BIGINT AS spent, coalesce(r.downloads, 0)::BIGINT AS downloads,
        coalesce(w.reviews, 0)::BIGINT AS reviews, coalesce(p.points, 0)::BIGINT AS point_history
 FROM shop_users u LEFT JOIN bought b USING (user_id) LEFT JOIN rights r USING (user_id)
@@ -108,21 +108,22 @@ def user_bundles(shop):
     bundles.write_bundles(full, path, buckets=4)
     stored = shop.spark.read.schema(full.schema).json(path)
 
-    def size(name):
-        return F.coalesce(F.size(name), F.lit(0)).cast("bigint").alias(name)
+    def entries(name):
+        return F.count_if(F.col("section") == name).alias(name)
 
-    items = F.flatten("orders.items")
+    items = F.col("orders.items")
     spent = F.aggregate(items, F.lit(0).cast("bigint"), lambda a, i: a + i["price"])
-    return plain(stored.select(
-        "user_id", "part_no", F.col("profile.email").alias("email"), size("orders"),
-        F.coalesce(F.size(items), F.lit(0)).cast("bigint").alias("items"), F.coalesce(spent, F.lit(0)).alias("spent"),
-        size("downloads"), size("reviews"), size("point_history")))
+    zero = F.lit(0).cast("bigint")
+    return plain(stored.withColumns({"_items": F.size(items).cast("bigint"), "_spent": spent}).groupBy("user_id").agg(
+        F.max("profile.email").alias("email"), F.count_distinct("orders.order_id").alias("orders"),
+        F.coalesce(F.sum("_items"), zero).alias("items"), F.coalesce(F.sum("_spent"), zero).alias("spent"),
+        entries("downloads"), entries("reviews"), entries("point_history")))
 
 
 @query("A20 A21", sql="""
 SELECT order_id, count(*)::BIGINT AS items FROM shop_items JOIN shop_products USING (product_id) GROUP BY order_id
 """)
 def order_item_parts(shop):
-    """Item lists cut into small parts; together they hold every item."""
-    parts = catalog_operators.orders_with_items(shop.orders.select("order_id"), shop.items, shop.products, chunk_rows=2)
+    """Item lists cut into small pages; together they hold every item."""
+    parts = catalog_operators.orders_with_items(shop.orders.select("order_id"), shop.items, shop.products, page_lines=2)
     return parts.groupBy("order_id").agg(F.sum(F.size("items")).alias("items"))

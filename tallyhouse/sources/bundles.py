@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import ntz
-from ..operators.customers import whole_lists
+from ..operators.catalog import orders_with_items
+from ..operators.customers import section
 from ..operators.joins import order_items_detail
-from ..operators.skew import CHUNK_ROWS, chunked_lists
+from ..operators.skew import PAGE_LINES
 
 
 def user_bundles(users: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame, downloads: DataFrame,
-                 reviews: DataFrame, ledger: DataFrame, exported_at, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Profile, orders with items, downloads, reviews and points per user.
+                 reviews: DataFrame, ledger: DataFrame, exported_at, page_lines: int = PAGE_LINES) -> DataFrame:
+    """Profile, orders with items, downloads, reviews and points per user, as rows of sections.
 
-    Users have one row, with ``part_no`` 0; those with very long lists have
-    further rows that carry the rest.  Orders without items are left out.
+    One row per profile, page of an order's items, download, review and point
+    entry, each in the struct named like its section.  Orders without items are left out.
     """
-    named = order_items_detail(items.select("order_id", "line_no", "product_id", "price", "item_key"), products, ["name"])
-    lists = chunked_lists(named, ["order_id"], ["item_key"], F.struct("line_no", "name", "price"), "items",
-                          sized_by=items, chunk_rows=chunk_rows).withColumnRenamed("part_no", "items_part")
-    full_orders = orders.select("order_id", "user_id", "final_amount", "status", "paid_at", "created_at") \
-        .join(lists, "order_id") \
-        .withColumn("order_part", F.concat_ws("/", "order_id", "items_part"))
-    bundle = whole_lists({
-        "orders": (full_orders, ["created_at", "order_id", "items_part", "final_amount", "status", "paid_at", "items"], "order_part", F.size("items")),
-        "downloads": (order_items_detail(downloads, products, ["name"]), ["product_id", "name", "created_at"], "product_id"),
-        "reviews": (order_items_detail(reviews, products, ["name"]), ["review_id", "name", "rating", "created_at"], "review_id"),
-        "point_history": (ledger, ["created_at", "entry_id", "type", "amount"], "entry_id"),
-    }, "user_id", chunk_rows)
-    profile = users.select("user_id", F.lit(0).cast("bigint").alias("part_no"),
+    full = orders_with_items(orders.select("order_id", "user_id", "final_amount", "status", "paid_at", "created_at"),
+                             items, products, page_lines)
+    entries = [section(full, "orders", "order_id", ["order_id", "page_no", "final_amount", "status", "paid_at", "items"]),
+               section(order_items_detail(downloads, products, ["name"]), "downloads", "product_id", ["product_id", "name"]),
+               section(order_items_detail(reviews, products, ["name"]), "reviews", "review_id", ["name", "rating"]),
+               section(ledger, "point_history", "entry_id", ["type", "amount"])]
+    profile = users.select("user_id", F.lit("profile").alias("section"),
                            F.struct("user_id", "email", "name", "provider").alias("profile"))
-    known = bundle.join(users.select("user_id"), "user_id", "left_semi")
-    return profile.join(known, ["user_id", "part_no"], "full").withColumn("exported_at", ntz(exported_at))
+    known = [e.join(users.select("user_id"), "user_id", "left_semi") for e in entries]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [profile, *known]) \
+        .withColumn("exported_at", ntz(exported_at))
 
 
 def write_bundles(bundles: DataFrame, path: str, buckets: int = 64) -> None:
-    """JSON lines in ``buckets`` folders by user, so one user's parts lie together."""
+    """JSON lines in ``buckets`` folders by user, so one user's rows lie together."""
     bundles.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets))) \
         .write.mode("errorifexists").partitionBy("bucket").json(path)

@@ -1,4 +1,4 @@
-"""Hot keys: a third of all rows on one key, small part sizes, results whole."""
+"""Hot keys: a third of all rows on one key, small pages, results whole."""
 
 import datetime as dt
 import random
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tallyhouse.operators import catalog, changes, customers, joins
-from tallyhouse.operators.skew import chunked_lists, join_measured, running_sums, top_n_per_key
+from tallyhouse.operators.skew import collect_pages, join_measured, page_of, running_sums, top_n_per_key
 from tallyhouse.sources import bundles
 
 
@@ -20,29 +20,33 @@ def hot_rows(spark):
     return rows, spark.createDataFrame(rows, "k bigint, id bigint, v int").repartition(5)
 
 
-def test_lists_are_whole_and_bounded(hot_rows):
+def test_pages_are_whole_and_cut_alike(spark, hot_rows):
     rows, df = hot_rows
-    lists = chunked_lists(df, ["k"], ["id"], F.struct("v", "id"), "entries", chunk_rows=50).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pages = collect_pages(df.withColumn("page_no", page_of("id", 50)), ["k"], F.struct("id", "v"), "entries") \
+            .withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(e.id // 50 == r.page_no for r in pages for e in r.entries)
     found = defaultdict(list)
-    for r in lists:
-        entries = [(e.v, e.id) for e in r.entries]
-        assert entries == sorted(entries) and len(entries) <= 150
-        found[r.k] += entries
+    for r in sorted(pages, key=lambda r: r.page_no):
+        found[r.k] += [(e.id, e.v) for e in r.entries]
     expected = defaultdict(list)
-    for k, i, v in rows:
-        if k is not None:
-            expected[k].append((v, i))
-    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
-    parts = Counter(r.k for r in lists)
-    assert parts[0] > 10 and all(n == 1 for k, n in parts.items() if k != 0)
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        expected[k].append((i, v))
+    assert found == expected
+    # The hot key is the work of several tasks, none of which holds most of it.
+    by_task = Counter()
+    for r in pages:
+        if r.k == 0:
+            by_task[r.task] += len(r.entries)
+    assert len(by_task) > 3 and max(by_task.values()) < 500
 
 
-def test_weighted_lists(hot_rows):
-    _, df = hot_rows
-    lists = chunked_lists(df.filter("k = 0"), ["k"], ["id"], F.struct("id"), "entries", weight=F.col("v"), chunk_rows=5_000)
-    total = df.filter("k = 0").agg(F.sum("v")).first()[0]
-    assert lists.count() <= -(-total // 5_000)
-    assert lists.select(F.sum(F.size("entries"))).first()[0] == 1000
+def test_lines_without_a_number_stand_on_the_first_page(spark):
+    df = spark.createDataFrame([(1, None), (1, 999), (1, 1000)], "k int, line_no int").withColumn("page_no", page_of())
+    assert sorted((r.page_no, len(r.e)) for r in collect_pages(df, ["k"], F.struct("line_no"), "e").collect()) == [(0, 2), (1, 1)]
 
 
 def test_top_n_limits_before_the_shuffle(hot_rows):
@@ -150,40 +154,58 @@ def hot_shop(spark):
     }, items
 
 
-@pytest.mark.parametrize("chunk_rows", [4, 1_000_000])
-def test_order_list_is_whole(hot_shop, chunk_rows):
+@pytest.mark.parametrize("page_lines", [4, 1000])
+def test_order_list_is_whole(hot_shop, page_lines):
     tables, items = hot_shop
-    found = joins.order_list(tables["orders"], tables["users"], tables["items"], tables["products"], chunk_rows=chunk_rows).collect()
+    found = joins.order_list(tables["orders"], tables["users"], tables["items"], tables["products"], page_lines=page_lines).collect()
     names = defaultdict(list)
-    for r in found:
+    for r in sorted(found, key=lambda r: r.page_no):
         names[r.order_id] += r.product_names.split(", ") if r.product_names else []
     expected = defaultdict(list)
     for order, product, *_ in items:
         expected[order].append(f"product {product}")
     assert set(names) == set(range(20))
-    assert {o: Counter(n) for o, n in names.items() if n} == {o: Counter(n) for o, n in expected.items()}
-    if chunk_rows > 300:
+    assert {o: n for o, n in names.items() if n} == expected
+    if page_lines > 300:
         assert len(found) == 20
 
 
+def test_order_list_reads_the_lines_twice_at_most(shop):
+    for found in (joins.order_list(shop.orders, shop.users, shop.items, shop.products, search="r_d"),
+                  catalog.orders_with_items(shop.orders, shop.items, shop.products)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) <= 2
+
+
 def test_search_lists_matching_products_only(hot_shop):
     tables, items = hot_shop
     found = joins.order_list(tables["orders"], tables["users"], tables["items"], tables["products"],
-                             search="product 3", chunk_rows=4).collect()
+                             search="product 3", page_lines=4).collect()
     assert {n for r in found for n in r.product_names.split(", ")} == {"product 3"}
     assert sum(len(r.product_names.split(", ")) for r in found) == sum(1 for i in items if i[1] == 3)
 
 
-@pytest.mark.parametrize("chunk_rows", [4, 1_000_000])
-def test_nested_items_are_whole(hot_shop, chunk_rows):
+def test_search_by_buyer_keeps_orders_without_items(spark, hot_shop):
+    tables, items = hot_shop
+    found = joins.order_list(tables["orders"], tables["users"], tables["items"].filter("order_id <> 3"),
+                             tables["products"].withColumn("name", F.when(F.col("product_id") != 2, F.col("name"))),
+                             search="USER 3").collect()
+    assert {r.order_id for r in found} == {3, 8, 13, 18}
+    assert [r.product_names for r in found if r.order_id == 3] == [None]
+    listed = {r.order_id: len(r.product_names.split(", ")) for r in found if r.product_names}
+    assert listed == Counter(i[0] for i in items if i[0] in (8, 13, 18) and i[1] != 2)
+
+
+@pytest.mark.parametrize("page_lines", [4, 1000])
+def test_nested_items_are_whole(hot_shop, page_lines):
     tables, items = hot_shop
-    found = catalog.orders_with_items(tables["orders"], tables["items"], tables["products"], chunk_rows).collect()
+    found = catalog.orders_with_items(tables["orders"], tables["items"], tables["products"], page_lines).collect()
     assert sorted((r.order_id, i.line_no) for r in found for i in r["items"]) == sorted((o, n) for o, _, n, *_ in items)
     assert all(r.user_id == r.order_id % 5 for r in found)
 
 
-@pytest.mark.parametrize("chunk_rows", [3, 1_000_000])
-def test_customer_record_and_bundle_are_whole(spark, hot_shop, chunk_rows):
+@pytest.mark.parametrize("page_lines", [3, 1000])
+def test_customer_record_and_bundle_are_whole(spark, hot_shop, page_lines):
     tables, items = hot_shop
     at = dt.datetime(2001, 6, 3)
     reviews = spark.createDataFrame([(i, 0 if i % 3 == 0 else i % 6, i % 8, i % 5 + 1, at) for i in range(90)],
@@ -195,29 +217,32 @@ def test_customer_record_and_bundle_are_whole(spark, hot_shop, chunk_rows):
     claims = spark.createDataFrame([(i, i % 2, 1, False, at) for i in range(8)],
                                    "claim_id bigint, user_id bigint, coupon_event_id bigint, is_used boolean, created_at timestamp_ntz")
     record = customers.customer_360(tables["users"], tables["orders"], tables["items"], tables["products"], reviews, ledger,
-                                    notes, claims, "2001-06-30", chunk_rows=chunk_rows).collect()
-    assert sorted(r.user_id for r in record if r.part_no == 0) == list(range(6))
-    assert all((r.name is not None) == (r.part_no == 0) for r in record)
-    assert sorted(e.review_id for r in record for e in r.reviews or []) == list(range(90))
-    assert sorted(e.note_id for r in record for e in r.notes or []) == list(range(20))
-    assert sorted(e.claim_id for r in record for e in r.coupons or []) == list(range(8))
-    assert sum(len(r.orders or []) for r in record) == 20
+                                    notes, claims, "2001-06-30").collect()
+    by_section = defaultdict(list)
+    for r in record:
+        by_section[r.section].append(r)
+    assert sorted(r.user_id for r in by_section["profile"]) == list(range(6))
+    for name, n in (("reviews", 90), ("notes", 20), ("coupons", 8)):
+        assert sorted(int(r.entry_id) for r in by_section[name]) == list(range(n))
+        assert all(r[name] is not None and r.name is None for r in by_section[name])
+    listed = [o for r in by_section["profile"] for o in r.orders or []]
+    assert {o.order_id: o.item_count for o in listed} == {o: Counter(i[0] for i in items)[o] for o in range(20)}
+    first = {o: min((n, p) for order, p, n, *_ in items if order == o)[1] for o in {i[0] for i in items}}
+    assert {o.order_id: o.first_product for o in listed if o.first_product} == {o: f"product {p}" for o, p in first.items()}
     rights = spark.createDataFrame([(u, p, at) for u in range(6) for p in range(u)],
                                    "user_id bigint, product_id bigint, created_at timestamp_ntz")
     bundle = bundles.user_bundles(tables["users"], tables["orders"], tables["items"], tables["products"], rights, reviews,
-                                  ledger, "2024-01-31", chunk_rows=chunk_rows).collect()
-    assert sorted(i.price for r in bundle for o in r.orders or [] for i in o["items"]) == sorted(i[3] for i in items)
-    assert sorted(e.entry_id for r in bundle for e in r.point_history or []) == list(range(50))
-    assert sum(len(r.downloads or []) for r in bundle) == 15
-    if chunk_rows > 1000:
-        assert len(bundle) == len(record) == 6
+                                  ledger, "2024-01-31", page_lines=page_lines).collect()
+    assert sorted(i.price for r in bundle if r.orders for i in r.orders["items"]) == sorted(i[3] for i in items)
+    assert sorted(int(r.entry_id) for r in bundle if r.section == "point_history") == list(range(50))
+    assert Counter(r.section for r in bundle)["downloads"] == 15
+    assert Counter(r.section for r in bundle)["profile"] == 6
 
 
 def test_linked_ids_cover_every_parent(spark):
     parents = spark.range(4).withColumnRenamed("id", "p")
-    links = spark.createDataFrame([(1, c) for c in range(30)] + [(2, 5), (2, None)], "p bigint, c bigint")
-    found = catalog.linked_ids(parents, links, "p", "c", chunk_rows=10).collect()
-    merged = defaultdict(list)
-    for r in found:
-        merged[r.p] += r.linked
-    assert {k: sorted(v) for k, v in merged.items()} == {0: [], 1: list(range(30)), 2: [5], 3: []}
+    links = spark.createDataFrame([(1, c) for c in range(30)] + [(2, 5), (2, None), (9, 1)], "p bigint, c bigint")
+    found = sorted(map(tuple, catalog.linked_ids(parents, links, "p", "c").collect()), key=str)
+    assert found == sorted([(0, None), (3, None), (2, 5)] + [(1, c) for c in range(30)], key=str)
+    named = catalog.linked_ids(parents.selectExpr("concat('id-', p) AS p"), links.selectExpr("concat('id-', p) AS p", "c"), "p", "c")
+    assert named.count() == 33
