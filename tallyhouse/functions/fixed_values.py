@@ -14,14 +14,6 @@ CATEGORY_LABELS = {
     "program": "프로그램 제작",
 }
 
-# Order status -> label.
-STATUS_LABELS = {
-    "paid": "결제완료",
-    "pending": "대기중",
-    "cancelled": "취소됨",
-    "refunded": "환불됨",
-}
-
 # Support inquiry code -> label.
 INQUIRY_LABELS = {
     "refund": "결제/환불",
@@ -68,9 +60,8 @@ DEFAULT_EMOJI = "📦"
 ANONYMOUS_NAME = "익명"
 DEFAULT_PROVIDER = "portone"
 
-# Rate limits as (requests, window).
+# Rate limit as (requests, window).
 LOGIN_LIMIT = (10, "15 minutes")
-REGISTER_LIMIT = (5, "1 hour")
 
 # Login id format.
 LOGIN_ID_PATTERN = "^[a-zA-Z][a-zA-Z0-9]{2,19}$"

@@ -19,10 +19,6 @@ def money(col: Column) -> Column:
     return col.cast(MONEY)
 
 
-def zero_if_null(col: Column) -> Column:
-    return F.coalesce(col, F.lit(0))
-
-
 def default_if_falsy(col: Column, default, empty=0) -> Column:
     """Null and the empty value (0, '' or false) both take the default."""
     return F.coalesce(F.nullif(col, F.lit(empty)), F.lit(default))
@@ -36,11 +32,11 @@ def coupon_discount(kind: Column, value: Column, total: Column) -> Column:
 
 
 def final_amount(total: Column, discount: Column) -> Column:
-    return F.greatest(F.lit(0).cast(MONEY), total - discount)
+    return never_negative(total - discount)
 
 
-def never_negative(col: Column) -> Column:
-    return F.greatest(F.lit(0), col)
+def never_negative(amount: Column) -> Column:
+    return F.greatest(F.lit(0).cast(MONEY), amount)
 
 
 def in_usd(amount: Column, rate: int = WON_PER_USD) -> Column:

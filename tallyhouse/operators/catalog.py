@@ -24,8 +24,10 @@ def product_stats(products: DataFrame, items: DataFrame, orders: DataFrame, appr
         .withColumn("purchase_count", F.coalesce("purchase_count", F.lit(0)))
 
 
-def review_summary(products: DataFrame, reviews: DataFrame, empty: str | None = "0.0") -> DataFrame:
-    """Count, mean with one decimal and a count per star; ``empty`` is the mean of no reviews."""
+def review_summary(products: DataFrame, reviews: DataFrame, empty: str | None = "0.0", shown_only: bool = False) -> DataFrame:
+    """Count, mean with one decimal and a count per star; ``empty`` is the mean of no reviews.
+    ``shown_only`` leaves out reviews that are not active, as a product's page does."""
+    reviews = reviews.filter("is_active") if shown_only else reviews
     stars = [F.count_if(F.col("rating") == s).alias(f"stars_{s}") for s in range(1, 6)]
     sums = reviews.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("total"), F.sum(F.col("rating").cast("bigint")).alias("_sum"), *stars)

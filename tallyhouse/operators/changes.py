@@ -89,20 +89,22 @@ def use_claims(claims: DataFrame, paid_orders: DataFrame) -> DataFrame:
 def refund_requests(orders: DataFrame, refunds: DataFrame) -> DataFrame:
     """One accepted request per order.  ``refunds`` holds order_id, line_no
     (null: the whole order) and path ('admin' or 'customer').  Customers can
-    only return paid orders, and always whole."""
-    wanted = refunds.groupBy("order_id").agg(
-        F.bool_or(F.col("line_no").isNull()).alias("whole"),
-        F.bool_or(F.col("path") == "customer").alias("by_customer"))
-    states = orders.select("order_id", "status")
-    by_customer = F.col("by_customer") & (F.col("status") == "paid")
-    return wanted.join(states, "order_id").filter(F.col("status").isin(REFUNDABLE)) \
-        .filter(~F.col("by_customer") | by_customer) \
-        .select("order_id", (F.col("whole") | F.col("by_customer")).alias("whole"), "by_customer")
+    only return paid orders, and always whole.  Each path is judged by itself,
+    so a wish that is not admissible takes nothing from one that is.  Where
+    orders hold ``payment_key``, one without it cannot be refunded."""
+    wanted = refunds.withColumn("by_customer", F.coalesce(F.col("path") == "customer", F.lit(False))) \
+        .groupBy("order_id", "by_customer").agg(F.bool_or(F.col("line_no").isNull()).alias("whole"))
+    paid_by = F.col("payment_key").isNotNull() if "payment_key" in orders.columns else F.lit(True)
+    states = orders.filter(F.col("status").isin(REFUNDABLE) & paid_by).select("order_id", "status")
+    return wanted.join(states, "order_id").filter(~F.col("by_customer") | (F.col("status") == "paid")) \
+        .groupBy("order_id").agg(F.bool_or(F.col("whole") | F.col("by_customer")).alias("whole"),
+                                 F.bool_or("by_customer").alias("by_customer"))
 
 
 def refund_items(items: DataFrame, accepted: DataFrame, refunds: DataFrame) -> DataFrame:
     """Items with their state after the refunds; ``refunded_now`` marks the change."""
-    lines = refunds.filter(F.col("line_no").isNotNull()).select("order_id", "line_no").distinct() \
+    by_admin = F.coalesce(F.col("path") != "customer", F.lit(True))
+    lines = refunds.filter(F.col("line_no").isNotNull() & by_admin).select("order_id", "line_no").distinct() \
         .withColumn("_named", F.lit(True))
     found = join_measured(items, accepted.select("order_id", "whole"), ["order_id"], "left")
     found = join_measured(found, lines, ["order_id", "line_no"], "left")
@@ -174,16 +176,24 @@ def point_buckets(ledger: DataFrame, bucket: Column | None = None) -> DataFrame:
         .agg(F.sum("amount").alias("total"), F.min("_sum").alias("low"), F.count(F.lit(1)).alias("entries"))
 
 
-def balances_from_buckets(buckets: DataFrame) -> DataFrame:
-    """Final clamped balance per user from bucket sums and lows."""
-    carried = bucket_starts(buckets, "user_id")
-    return carried.groupBy("user_id").agg(
-        F.sum("entries").alias("entries"),
-        (F.sum("total") - F.least(F.lit(0), F.min("_low"))).alias("balance"))
-
-
-def point_balances(ledger: DataFrame, bucket: Column | None = None) -> DataFrame:
-    return balances_from_buckets(point_buckets(ledger, bucket))
+def balances_from_buckets(buckets: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """Final clamped balance per user from bucket sums and lows, from 0 or
+    from ``opening`` (user_id, balance), whose users without entries keep theirs."""
+    sums = bucket_starts(buckets, "user_id").groupBy("user_id").agg(
+        F.sum("entries").alias("entries"), F.sum("total").alias("_total"), F.min("_low").alias("_low"))
+    if opening is None:
+        return sums.select("user_id", "entries", (F.col("_total") - F.least(F.lit(0), F.col("_low"))).alias("balance"))
+    zero = F.lit(0)
+    start, total, low = F.coalesce("_start", zero), F.coalesce("_total", zero), F.coalesce("_low", zero)
+    return sums.join(opening.select("user_id", F.col("balance").alias("_start")), "user_id", "full").select(
+        "user_id", F.coalesce("entries", zero).cast("bigint").alias("entries"),
+        (start + total - F.least(zero, start + low)).alias("balance"))
+
+
+def point_balances(ledger: DataFrame, bucket: Column | None = None, opening: DataFrame | None = None) -> DataFrame:
+    """Final balance per user.  With the balances of an earlier run as
+    ``opening``, ``ledger`` needs the entries since that run only."""
+    return balances_from_buckets(point_buckets(ledger, bucket), opening)
 
 
 def review_rewards(reviews: DataFrame, points: int) -> DataFrame:

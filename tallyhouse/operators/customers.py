@@ -31,8 +31,10 @@ def rfm(orders: DataFrame, as_of) -> DataFrame:
 
 
 def customer_rfm(users: DataFrame, orders: DataFrame, as_of) -> DataFrame:
+    """Measures of every customer; where users have a ``role``, staff is left out."""
     zero = F.lit(0).cast(MONEY)
-    return users.join(rfm(orders, as_of), "user_id", "left") \
+    customers = users.filter(F.col("role") == "user") if "role" in users.columns else users
+    return customers.join(rfm(orders, as_of), "user_id", "left") \
         .withColumn("total_spent", F.coalesce("total_spent", zero)) \
         .withColumn("monthly_amount", F.coalesce("monthly_amount", zero)) \
         .withColumn("total_orders", F.coalesce("total_orders", F.lit(0))) \

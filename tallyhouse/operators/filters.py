@@ -41,12 +41,14 @@ def search_wild(df: DataFrame, columns: list[str], pattern: str | None) -> DataF
     return df.filter(matches_wild(columns, pattern))
 
 
-def search_keyword(df: DataFrame, columns: list[str], keyword: str) -> DataFrame:
-    """Literal case-insensitive substring in any column; a blank keyword finds nothing."""
+def matches_keyword(columns: list[str], keyword: str) -> Column:
+    """Literal case-insensitive substring in any column; a blank keyword matches nothing."""
     keyword = keyword.strip()
-    if not keyword:
-        return df.filter(F.lit(False))
-    return df.filter(text.any_of([text.contains_literal(F.col(c), keyword) for c in columns]))
+    return text.any_of([text.contains_literal(F.col(c), keyword) for c in columns]) if keyword else F.lit(False)
+
+
+def search_keyword(df: DataFrame, columns: list[str], keyword: str) -> DataFrame:
+    return df.filter(matches_keyword(columns, keyword))
 
 
 def name_contains(df: DataFrame, keyword: str, column: str = "name") -> DataFrame:

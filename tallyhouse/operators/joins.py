@@ -26,12 +26,12 @@ def first_item_per_order(items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def recent_orders(orders: DataFrame, users: DataFrame, items: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
-    """The n newest orders with buyer and first product."""
-    latest = orders.join(users.select("user_id", F.col("name").alias("buyer_name"), F.col("email").alias("buyer_email")),
-                         "user_id") \
-        .orderBy(F.col("created_at").desc(), F.col("order_id").desc()).limit(n)
-    # At most n rows: safe to broadcast whatever the size of the tables.
-    wanted = items.join(F.broadcast(latest.select("order_id")), "order_id", "left_semi")
+    """The n newest orders that have a buyer, with the buyer and the first product.
+    ``user_id`` refers to a user or is null, so the n orders are taken before any join."""
+    newest = orders.filter(F.col("user_id").isNotNull()).orderBy(F.col("created_at").desc(), F.col("order_id").desc()).limit(n)
+    latest = newest.join(users.select("user_id", F.col("name").alias("buyer_name"), F.col("email").alias("buyer_email")), "user_id")
+    # At most n rows, a number the caller names: a page, not a table.
+    wanted = items.join(F.broadcast(newest.select("order_id")), "order_id", "left_semi")
     return latest.join(first_item_per_order(wanted, products), "order_id", "left")
 
 

@@ -17,6 +17,7 @@ from ..functions import dates
 from ..functions.fixed_values import REFUND_STATUSES, SETTLED_STATUSES, VALID_STATUSES
 from ..functions.money import MONEY
 from . import joins
+from .ordering import top_k
 
 
 def _sum(col: str | Column) -> Column:
@@ -79,8 +80,8 @@ def top_products(items: DataFrame, orders: DataFrame, products: DataFrame, k: in
     join, so the join sees one row per product."""
     sold = items.join(_paid(orders).select("order_id"), "order_id", "left_semi") \
         .groupBy("product_id").agg(F.count(F.lit(1)).alias("sales"), _sum("price").alias("revenue"))
-    best = sold.join(products.select("product_id", "name"), "product_id") \
-        .orderBy(F.col("sales").desc(), F.col("product_id").asc()).limit(k)
+    best = top_k(sold.join(products.select("product_id", "name"), "product_id"),
+                 [F.col("sales").desc(), F.col("product_id").asc()], k)
     # Ranks k rows.
     return best.withColumn("position", F.row_number().over(
         Window.partitionBy(F.lit(1)).orderBy(F.col("sales").desc(), F.col("product_id").asc())))

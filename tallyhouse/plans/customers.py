@@ -81,20 +81,20 @@ def customer_kpis(shop):
 SELECT user_id, order_id, created_at, position FROM (
   SELECT user_id, order_id, created_at,
          row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, order_id DESC)::BIGINT AS position FROM shop_orders)
-WHERE position <= 5
+WHERE position <= 30
 """)
 def latest_orders_per_user(shop):
-    return plain(customers.latest_orders(shop.orders, 5), "user_id", "order_id", "created_at", "position")
+    return plain(customers.latest_orders(shop.orders), "user_id", "order_id", "created_at", "position")
 
 
 @query("W2", sql="""
 SELECT user_id, entry_id, amount::BIGINT AS amount, position FROM (
   SELECT user_id, entry_id, amount,
          row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, entry_id DESC)::BIGINT AS position FROM shop_ledger)
-WHERE position <= 10
+WHERE position <= 30
 """)
 def latest_points_per_user(shop):
-    return plain(customers.latest_points(shop.ledger, 10), "user_id", "entry_id", "amount", "position")
+    return plain(customers.latest_points(shop.ledger), "user_id", "entry_id", "amount", "position")
 
 
 @query("A27 W1 W2 J7 J4", sql="""

@@ -8,14 +8,12 @@ from .registry import query
 
 
 @query("X9", sql="""
-WITH names AS (SELECT doc_id, split_part(text, ' ', 1) AS name FROM documents)
-SELECT doc_id, CASE WHEN name = '' THEN '익*' WHEN length(name) = 1 THEN name || '***'
+SELECT user_id, CASE WHEN name = '' THEN '익*' WHEN length(name) = 1 THEN name || '***'
                     ELSE substr(name, 1, 1) || repeat('*', least(length(name) - 1, 3)::INTEGER) END AS masked
-FROM names
+FROM shop_users
 """)
 def masked_names(shop):
-    first_word = F.element_at(F.split("text", " "), 1)
-    return shop.table("documents").select("doc_id", text.masked_name(first_word).alias("masked"))
+    return shop.users.select("user_id", text.masked_name(F.col("name")).alias("masked"))
 
 
 @query("X11 X12", sql="""

@@ -52,8 +52,7 @@ WHERE p.is_active AND (contains(lower(p.name), 'ring') OR contains(lower(p.descr
 def catalog_keyword_search(shop):
     labelled = joins.attach_label(filters.active_only(shop.products), shop.category_labels, "category")
     columns = ["name", "description", "label", "category"]
-    return filters.search_keyword(labelled, columns, " Ring ") \
-        .unionByName(filters.search_keyword(labelled, ["label"], "ECON")).distinct() \
+    return labelled.filter(filters.matches_keyword(columns, " Ring ") | filters.matches_keyword(["label"], "ECON")) \
         .select("product_id", "name", "label")
 
 

@@ -20,10 +20,9 @@ def table_inventory(shop):
     return reduce(DataFrame.unionByName, counts)
 
 
-def _catalog(shop):
+def _catalog(shop, products=None):
     """Products in the catalog file's layout."""
-    p = shop.products
-    return p.select(
+    return (shop.products if products is None else products).select(
         F.col("product_id").cast("string").alias("id"), F.col("name"), F.col("category").alias("cat"),
         "price", F.col("discount_price").alias("discount"),
         F.col("sale_type").alias("type"), F.col("is_active").alias("visible"),
@@ -80,9 +79,7 @@ FROM shop_products p LEFT JOIN shop_category_labels l ON l.code = p.category
 def catalog_csv(shop):
     path = run_dir(shop.spark, "catalog-csv")
     quoted = shop.products.withColumn("name", F.concat("name", F.lit(' "'), "description", F.lit('", new')))
-    rows = catalog.normalize_catalog(_catalog(shop).drop("name").join(
-        quoted.select(F.col("product_id").cast("string").alias("id"), "name"), "id"))
-    catalog.export_csv(rows, path, CATEGORIES)
+    catalog.export_csv(catalog.normalize_catalog(_catalog(shop, quoted)), path, CATEGORIES)
     id_, name, category, price, _, sale, shown, date = [F.col(h) for h in catalog.CSV_HEADER]
     return catalog.read_csv_export(shop.spark, path).select(
         id_.alias("id"), name.alias("name"), category.alias("category"), price.alias("price"), shown.alias("shown"),

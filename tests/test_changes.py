@@ -223,3 +223,15 @@ def test_keys_may_be_strings(spark):
     assert [tuple(r) for r in quality.orphans(child, "k", parent, "id").collect()] == [("zz", 1)]
     links = spark.createDataFrame([("a1", "x")], "id string, other string")
     assert {r.id: r.linked for r in catalog.linked_ids(parent, links, "id", "other").collect()} == {"a1": ["x"], "b2": []}
+
+
+def test_each_refund_wish_is_judged_by_itself(spark):
+    orders = spark.createDataFrame([(1, "sent", "k"), (2, "paid", "k"), (3, "paid", None)], "order_id bigint, status string, payment_key string")
+    wishes = spark.createDataFrame([(1, 1, "admin"), (1, 2, "customer"), (2, 1, "customer"), (3, None, "admin")],
+                                   "order_id bigint, line_no int, path string")
+    items = spark.createDataFrame([(o, n, "active", 5) for o in (1, 2, 3) for n in (1, 2)],
+                                  "order_id bigint, line_no int, item_status string, price bigint")
+    accepted = changes.refund_requests(orders, wishes)
+    assert sorted(map(tuple, accepted.collect())) == [(1, False, False), (2, True, True)]
+    done = changes.refund_items(items, accepted, wishes).filter("refunded_now")
+    assert sorted((r.order_id, r.line_no) for r in done.collect()) == [(1, 1), (2, 1), (2, 2)]

@@ -125,6 +125,15 @@ def test_balances_equal_sequential_clamping(spark, rows):
     assert all(r.balance >= 0 for r in final) and sum(r.entries for r in final) == len(rows)
 
 
+def test_balances_go_on_from_an_earlier_run(spark):
+    ledger = spark.createDataFrame(ledger_rows(), "entry_id bigint, user_id bigint, created_at timestamp_ntz, amount bigint")
+    day = F.col("created_at") < F.lit("2024-01-02").cast("timestamp_ntz")
+    first = changes.point_balances(ledger.filter(day)).select("user_id", "balance") \
+        .union(spark.createDataFrame([(99, 7)], "user_id bigint, balance bigint"))
+    found = {r.user_id: r.balance for r in changes.point_balances(ledger.filter(~day), opening=first).collect()}
+    assert found == {r.user_id: r.balance for r in changes.point_balances(ledger).collect()} | {99: 7}
+
+
 def test_running_sums_split_the_hot_key(spark):
     rows = ledger_rows()
     ledger = spark.createDataFrame(rows, "entry_id bigint, user_id bigint, created_at timestamp_ntz, amount bigint")
