@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A unit vector is turned by pseudo-rotations (three rounds of random signs and a fast Hadamard transform) and hashed to
-the nearest signed axis.  A table's bucket is the axis of one rotation and, to keep buckets about ``bucket_rows`` long as the table
-grows, that of a second rotation among fewer dimensions.  A query looks into the buckets with the smallest loss of projection in each table
-(multiprobe), and all vectors found there are scored exactly.
+the nearest signed axis.  A table's bucket is the axis of one rotation and, to keep buckets from growing with the table (``bucket_rows``),
+that of a second rotation among fewer dimensions.  A query looks into the buckets with the smallest loss of projection in each table
+(multiprobe), and all vectors found there are scored exactly.  Split buckets part near vectors more often, so the probes grow with the
+square root of the number of buckets an axis is split into.
 
 The index rows of a bucket are dealt out in blocks of at most ``block_rows``; the queries that probe the bucket meet every
 block, and each meeting yields no more than the ``count`` nearest.  So no vector is left out and no bucket lies in one task.
@@ -16,6 +17,7 @@ recall is meant for vectors of about equal norm; the score is always the inner p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, SEED = 10, 16, 48, 2_048, 11
+TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, SEED = 10, 16, 192, 2_048, 11
 
 KEYS = "vec_id bigint, slot int, bucket bigint, vector array<double>"
 
@@ -57,6 +59,11 @@ def fine_dims(rows: int, dims: int, bucket_rows: int) -> int:
     return 0 if buckets < 2 else min(wide, 1 << int(np.log2(buckets / 2)))
 
 
+def probes_for(probes: int, fine: int) -> int:
+    """How many buckets a table is probed in: ``probes``, and more where ``fine`` splits the buckets of an axis."""
+    return math.ceil(probes * math.sqrt(max(1, 2 * fine)))
+
+
 def axes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every row all signed axes by falling projection, and how far each falls short of the best."""
     both = np.concatenate([turned, -turned], axis=1)
@@ -73,13 +80,18 @@ def buckets(unit: np.ndarray, table: int, fine: int, probes: int, seed: int) ->
         return order.astype(np.int64)
     second, lack = axes(rotated(unit, 2 * table + 1, seed)[:, :fine])
     second, lack = second[:, :probes], lack[:, :probes] * np.sqrt(fine / unit.shape[1])
-    loss = (short[:, :, None] ** 2 + lack[:, None, :] ** 2).reshape(len(unit), -1)
-    both = (order[:, :, None] * (2 * fine) + second[:, None, :]).reshape(len(unit), -1)
+    # Both lists rise, so a pair has (i + 1)(j + 1) - 1 pairs at least before it.
+    i, j = np.divmod(np.arange(short.shape[1] * lack.shape[1]), lack.shape[1])
+    near = (i + 1) * (j + 1) <= probes
+    i, j = i[near], j[near]
+    loss = short[:, i] ** 2 + lack[:, j] ** 2
+    both = order[:, i] * (2 * fine) + second[:, j]
     best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
     return np.take_along_axis(both, best, axis=1).astype(np.int64)
 
 
-def hasher(fines: dict[int, int], tables: int, probes: int, seed: int):
+def hasher(fines: dict[int, int], tables: int, probes: dict[int, int], seed: int):
+    """``fines`` and ``probes`` by vector length."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector")
@@ -89,15 +101,16 @@ def hasher(fines: dict[int, int], tables: int, probes: int, seed: int):
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
-                for at in range(0, len(rows), 1_000):
-                    some = rows[at:at + 1_000]
+                step = max(1, min(1_000, 16_000 // probes[int(d)]))
+                for at in range(0, len(rows), step):
+                    some = rows[at:at + step]
                     mine = vectors.take(pa.array(some))
                     x = mine.flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
                     largest = np.abs(x).max(axis=1, keepdims=True)
                     unit = x / largest
                     unit /= np.sqrt((unit ** 2).sum(axis=1, keepdims=True))
                     for t in range(tables):
-                        found = buckets(unit, t, fines[int(d)], probes, seed)
+                        found = buckets(unit, t, fines[int(d)], probes[int(d)], seed)
                         k = found.shape[1]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.repeat(ids[some], k)), pa.array(np.full(len(some) * k, t + tables * int(d), np.int32)),
@@ -128,10 +141,11 @@ def nearest_in(count: int):
             found = scores(np.stack(some["vector"].to_numpy()), v)
             for query_id, row in zip(some["vec_id"].to_numpy(), found):
                 row = np.where(ids == query_id, -np.inf, row)
-                best = np.lexsort((ids, -row))[:count]
+                best = np.flatnonzero(row >= np.partition(row, -count)[-count]) if len(row) > count else np.arange(len(row))
+                best = best[np.lexsort((ids[best], -row[best]))][:count]
                 best = best[row[best] > -np.inf]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": row[best]}))
-        return pd.concat(out)[names]
+                out.append((np.full(len(best), query_id), ids[best], row[best]))
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
 
     return nearest
 
@@ -149,8 +163,9 @@ def search(embeddings: DataFrame, is_query: F.Column, count: int = 20, tables: i
     vectors = usable(embeddings)
     lengths = vectors.groupBy(F.size("vector").alias("d")).count().collect()
     fines = {r["d"]: fine_dims(r["count"], r["d"], bucket_rows) for r in lengths}
-    index = vectors.mapInArrow(hasher(fines, tables, 1, seed), KEYS)
-    asked = vectors.where(is_query).mapInArrow(hasher(fines, tables, probes, seed), KEYS)
+    index = vectors.mapInArrow(hasher(fines, tables, dict.fromkeys(fines, 1), seed), KEYS)
+    wide = {d: probes_for(probes, fine) for d, fine in fines.items()}
+    asked = vectors.where(is_query).mapInArrow(hasher(fines, tables, wide, seed), KEYS)
     filled = index.groupBy("slot", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     asked = asked.join(filled, ["slot", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     index = index.join(filled, ["slot", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")

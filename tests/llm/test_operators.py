@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.llm import chat, components, crosspoly, fertility, langid, minhash, mixing, phrases, pieces, queries, tagpaths, warc
 from tallyhouse.sources.tables import read_table
@@ -385,6 +386,26 @@ def test_recall_is_measured(spark, data_dir):
     assert all(got[k] == pytest.approx(want[k], abs=1e-14) for k in set(got) & set(want))
 
 
+def recall_on_a_made_table(spark, rows, every, bucket_rows=crosspoly.BUCKET_ROWS):
+    """Recall against brute force on directions drawn evenly, as Spark makes them."""
+    frame = spark.range(rows).select(F.col("id").alias("vec_id"), F.array(*(F.randn(100 + i).cast("float") for i in range(64))).alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
+    frame = frame.select("vec_id", F.transform("raw", lambda x: (x / norm).cast("float")).alias("embedding"))
+    frame = frame.localCheckpoint()
+    known = frame.toPandas().sort_values("vec_id")
+    v = np.stack(known["embedding"].to_numpy()).astype(float)
+    score = v[::every] @ v.T
+    score[np.arange(len(score)), np.arange(0, rows, every)] = -np.inf
+    want = {(i * every, int(j)) for i, near in enumerate(np.argpartition(-score, 20, axis=1)[:, :20]) for j in near}
+    found = {(r.query_id, r.vec_id) for r in crosspoly.search(frame, F.col("vec_id") % every == 0, bucket_rows=bucket_rows).collect()}
+    assert crosspoly.fine_dims(rows, 64, bucket_rows)
+    return len(want & found) / len(want)
+
+
+def test_recall_holds_where_buckets_are_split(spark):
+    assert recall_on_a_made_table(spark, 12_500, 50, bucket_rows=12) >= 0.9
+
+
 def test_nearest_of_awkward_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (20, [0.5, 0.5]), (21, [1.0, 2.0, 3.0]),
             (40, [3.0, 2.0, 1.0]), (None, [1.0, 1.0]), (7, []), (8, [float("inf"), 0.0]), (0, [1.0, 0.0])]
