@@ -9,6 +9,9 @@ square root of the number of buckets an axis is split into.
 The index rows of a bucket are dealt out in blocks of at most ``block_rows``; the queries that probe the bucket meet every
 block, and each meeting yields no more than the ``count`` nearest.  So no vector is left out and no bucket lies in one task.
 
+A query that has met fewer than ``count`` vectors though there are more looks again, into ``WIDER`` times the buckets each round
+and at last into all of them, so that small tables and lonely vectors lose no neighbour.
+
 Vectors that are null, empty, all zero or hold null or non-finite components take no part.  Only vectors of one length are
 compared with each other.  Equal scores are ordered by vec_id; rows with the same vec_id and vector count as one, and a query's own vec_id is never its
 neighbour; an empty table gives no rows.  Other columns are ignored.  Vectors are hashed by direction, so
@@ -25,9 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import run_dir
+
 TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, SEED = 10, 16, 192, 2_048, 11
+#: How many times the buckets the next round probes for queries with too few hits.
+WIDER = 8
 
-KEYS = "vec_id bigint, slot int, bucket bigint, vector array<double>"
+#: ``digest`` tells apart vectors that share a vec_id.
+KEYS = "vec_id bigint, digest bigint, slot int, bucket bigint, vector array<double>"
+FOUND = "query_id bigint, digest bigint, vec_id bigint, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -98,7 +107,7 @@ def hasher(fines: dict[int, int], tables: int, probes: dict[int, int], seed: int
             if not batch.num_rows:
                 continue
             sizes = np.asarray(vectors.value_lengths())
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            ids, digests = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "digest"))
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
                 step = max(1, min(1_000, 16_000 // probes[int(d)]))
@@ -113,9 +122,9 @@ def hasher(fines: dict[int, int], tables: int, probes: dict[int, int], seed: int
                         found = buckets(unit, t, fines[int(d)], probes[int(d)], seed)
                         k = found.shape[1]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(ids[some], k)), pa.array(np.full(len(some) * k, t + tables * int(d), np.int32)),
+                            [pa.array(np.repeat(ids[some], k)), pa.array(np.repeat(digests[some], k)), pa.array(np.full(len(some) * k, t + tables * int(d), np.int32)),
                              pa.array(found.ravel()), mine.take(pa.array(np.repeat(np.arange(len(some)), k)))],
-                            ["vec_id", "slot", "bucket", "vector"])
+                            ["vec_id", "digest", "slot", "bucket", "vector"])
 
     return hashed
 
@@ -132,45 +141,83 @@ def nearest_in(count: int):
     def nearest(key, queries, vectors):
         import pandas as pd
 
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "digest", "vec_id", "score"]
         if not len(queries) or not len(vectors):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in names})
+        vectors = vectors.drop_duplicates(["vec_id", "digest"])
         ids, v, out = vectors["vec_id"].to_numpy(), np.stack(vectors["vector"].to_numpy()), []
         for at in range(0, len(queries), 256):
             some = queries.iloc[at:at + 256]
             found = scores(np.stack(some["vector"].to_numpy()), v)
-            for query_id, row in zip(some["vec_id"].to_numpy(), found):
+            for query_id, digest, row in zip(some["vec_id"].to_numpy(), some["digest"].to_numpy(), found):
                 row = np.where(ids == query_id, -np.inf, row)
                 best = np.flatnonzero(row >= np.partition(row, -count)[-count]) if len(row) > count else np.arange(len(row))
                 best = best[np.lexsort((ids[best], -row[best]))][:count]
                 best = best[row[best] > -np.inf]
-                out.append((np.full(len(best), query_id), ids[best], row[best]))
+                out.append((np.full(len(best), query_id), np.full(len(best), digest), ids[best], row[best]))
         return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
 
     return nearest
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, vector) of the vectors that take part."""
+    """(vec_id, vector, digest) of the vectors that take part."""
     vectors = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
     sound = F.expr("size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND abs(x) < double('Infinity')) AND exists(vector, x -> x != 0)")
-    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
+    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).withColumn("digest", F.xxhash64("vector"))
+
+
+def met(vectors: DataFrame, asked: DataFrame, fines: dict[int, int], tables: int, probes: dict[int, int], count: int, block_rows: int,
+        seed: int) -> DataFrame:
+    """(query_id, digest, vec_id, score): the nearest in the probed buckets."""
+    index = vectors.mapInArrow(hasher(fines, tables, dict.fromkeys(fines, 1), seed), KEYS)
+    asked = asked.mapInArrow(hasher(fines, tables, probes, seed), KEYS)
+    filled = index.groupBy("slot", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    asked = asked.join(filled, ["slot", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    index = index.join(filled, ["slot", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
+    key = ["slot", "bucket", "block"]
+    found = asked.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(nearest_in(count), FOUND)
+    best = Window.partitionBy("query_id", "digest").orderBy(F.col("score").desc(), "vec_id")
+    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count).drop("rank")
+
+
+def too_few(vectors: DataFrame, asked: DataFrame, found: DataFrame, count: int) -> DataFrame:
+    """(vec_id, digest) of the queries with fewer hits than ``count`` and than there are other vectors of their length."""
+    hits = found.groupBy(F.col("query_id").alias("vec_id"), "digest").agg(F.count("*").alias("hits"))
+    few = asked.select("vec_id", "digest", F.size("vector").alias("d")).distinct().join(hits, ["vec_id", "digest"], "left") \
+        .withColumn("hits", F.coalesce("hits", F.lit(0))).where(F.col("hits") < count)
+    if few.isEmpty():
+        return few.select("vec_id", "digest")
+    known = vectors.select("vec_id", "digest", F.size("vector").alias("d")).distinct()
+    own = known.groupBy("vec_id", "d").agg(F.count("*").alias("own"))
+    every = known.groupBy("d").agg(F.count("*").alias("every"))
+    return few.join(every, "d").join(own, ["vec_id", "d"]).where(F.col("hits") < F.col("every") - F.col("own")).select("vec_id", "digest")
 
 
 def search(embeddings: DataFrame, is_query: F.Column, count: int = 20, tables: int = TABLES, probes: int = PROBES,
            bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest found.  ``is_query`` is a condition on vec_id."""
+    spark, path = embeddings.sparkSession, run_dir(embeddings.sparkSession, "nearest")
     vectors = usable(embeddings)
     lengths = vectors.groupBy(F.size("vector").alias("d")).count().collect()
     fines = {r["d"]: fine_dims(r["count"], r["d"], bucket_rows) for r in lengths}
-    index = vectors.mapInArrow(hasher(fines, tables, dict.fromkeys(fines, 1), seed), KEYS)
-    wide = {d: probes_for(probes, fine) for d, fine in fines.items()}
-    asked = vectors.where(is_query).mapInArrow(hasher(fines, tables, wide, seed), KEYS)
-    filled = index.groupBy("slot", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    asked = asked.join(filled, ["slot", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    index = index.join(filled, ["slot", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-    key = ["slot", "bucket", "block"]
-    found = asked.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(nearest_in(count), "query_id bigint, vec_id bigint, score double")
+    whole = {d: 2 * max(2, 1 << (d - 1).bit_length()) * max(1, 2 * fine) for d, fine in fines.items()}
+    wide = {d: min(whole[d], probes_for(probes, fine)) for d, fine in fines.items()}
+    asked, rounds = vectors.where(is_query), 0
+    while True:
+        everywhere = wide == whole
+        met(vectors, asked, fines, 1 if everywhere else tables, wide, count, block_rows, seed).write.parquet(f"{path}/found-{rounds}")
+        rounds += 1
+        if everywhere:
+            break
+        found = spark.read.schema(FOUND).parquet(f"{path}/found-{rounds - 1}")
+        too_few(vectors, asked, found, count).write.parquet(f"{path}/few-{rounds}")
+        few = spark.read.schema("vec_id bigint, digest bigint").parquet(f"{path}/few-{rounds}")
+        if few.isEmpty():
+            break
+        asked = asked.join(few, ["vec_id", "digest"], "left_semi").select("vec_id", "vector", "digest")
+        wide = {d: min(whole[d], WIDER * n) for d, n in wide.items()}
+    found = spark.read.schema(FOUND).parquet(*(f"{path}/found-{n}" for n in range(rounds))).drop("digest").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count) \
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count) \
         .select("query_id", "rank", "vec_id", "score")

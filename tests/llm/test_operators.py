@@ -406,6 +406,21 @@ def test_recall_holds_where_buckets_are_split(spark):
     assert recall_on_a_made_table(spark, 12_500, 50, bucket_rows=12) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [15, 30])
+def test_small_tables_lose_no_neighbour(spark, rows):
+    rng = np.random.default_rng(4)
+    known = [(i, rng.normal(size=64).tolist()) for i in range(rows)]
+    known += [(7, known[7][1])] * 25 + [(100 + i, rng.normal(size=32).tolist()) for i in range(3)]
+    frame = spark.createDataFrame(known, "vec_id long, embedding array<double>")
+    found = {}
+    for r in crosspoly.search(frame, F.col("vec_id") % 5 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest_by_hand(known, lambda i: i % 5 == 0, 20)
+    assert {i: len(near) for i, near in found.items()} == {i: len(near) for i, near in want.items()}
+    if rows < 20:
+        assert found == {i: {j for j, _ in near} for i, near in want.items()}
+
+
 def test_nearest_of_awkward_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (20, [0.5, 0.5]), (21, [1.0, 2.0, 3.0]),
             (40, [3.0, 2.0, 1.0]), (None, [1.0, 1.0]), (7, []), (8, [float("inf"), 0.0]), (0, [1.0, 0.0])]
