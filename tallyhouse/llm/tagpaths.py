@@ -3,8 +3,11 @@
 A page is read into text nodes, each with its path of tags from the root.  For every path the lengths and the punctuation of its nodes
 are added up and divided by the number of nodes; along the page the two ratios are smoothed over neighbouring nodes and multiplied; paths
 whose mean product reaches ``THRESHOLD`` times the length-weighted mean of the page are content paths.  The smallest element that
-holds ``MASS`` of the content paths' text is the article, and all blocks in it count, so that short
-paragraphs and headings stay; where that is only the body itself, content paths and headings count.
+holds ``MASS`` of the content paths' text points at the article: the outermost ``article`` around it, else the next ``main``, else
+the outermost element below the body that holds more text of content paths or headings than those within it.  All blocks in it
+count, so that short paragraphs, headings and what stands beside one dominating block stay.  Where that is only the body
+itself, all from the first to the last content path or heading counts, the elements these stand in, and lists, tables and the like
+that are not mainly links.
 
 Menus, footers, sidebars, adverts, notices, forms, comments and the like are set aside beforehand by element, role, class or id, and
 take no part in the ratios.  White space in a block becomes one blank, blocks are joined in page order by one blank, character
@@ -42,6 +45,10 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising adsense s
                   "comment commentlist disqus respond replies reply pagination pager copyright toolbar search skip paywall".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CONTENT = frozenset("content main article post entry story body page wrapper container layout".split())
+#: Never an article by themselves.
+PARTIAL = INLINE | HEADINGS | frozenset("p li td th tr tbody thead tfoot table ul ol dl dt dd blockquote pre figure figcaption section".split())
+LISTED = frozenset("ul ol dl table blockquote pre".split())
+BODIES = ("", "html", "body")
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"),
                   "option": ("select",)}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -164,6 +171,41 @@ def content_paths(lengths: np.ndarray, marks: np.ndarray, paths: np.ndarray) ->
     return (by_path >= THRESHOLD * np.average(by_path[which], weights=lengths))[which]
 
 
+def summed(parents: list[int], owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For every element the sum over the nodes in it."""
+    held = np.zeros(len(parents))
+    np.add.at(held, owner, values)
+    for n in range(len(parents) - 1, 0, -1):
+        held[parents[n]] += held[n]
+    return held
+
+
+def within(parents: list[int], tags: list[str], names) -> np.ndarray:
+    """For every element the outermost one of these names around it or itself, or -1."""
+    out = [-1]
+    for n in range(1, len(parents)):
+        around = out[parents[n]]
+        out.append(around if around >= 0 else n if tags[n] in names else -1)
+    return np.array(out)
+
+
+def article_of(root: int, parents: list[int], tags: list[str], telling: np.ndarray) -> int:
+    """The article around the element that holds most of the text; ``telling`` is each element's text of content paths and headings."""
+    around = [root]
+    while around[-1]:
+        around.append(parents[around[-1]])
+    for n in reversed(around):
+        if tags[n] == "article":
+            return n
+    for n in around:
+        if tags[n] == "main":
+            return n
+    for n in around:
+        if tags[root] in PARTIAL or telling[n] > telling[root]:
+            root = n
+    return root
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -174,25 +216,31 @@ def main_text(page: str | None) -> str:
     lengths = np.array([len(nodes[i][0].strip()) for i in solid], float)
     marks = np.array([len(PUNCTUATION.findall(nodes[i][0])) for i in solid], float)
     content = content_paths(lengths, marks, np.array([nodes[i][1] for i in solid]))
-    held = np.zeros(len(parents))
-    np.add.at(held, [nodes[i][2] for i in solid], np.where(content, lengths, 0.0))
-    for n in range(len(parents) - 1, 0, -1):
-        held[parents[n]] += held[n]
-    enough = np.flatnonzero(held >= MASS * held[0])
-    root = int(enough[-1])
-    while tags[root] in INLINE or tags[root] in ("p", "li", "td", "tr"):
-        root = parents[root]
-    inside = np.zeros(len(parents), bool)
-    inside[root] = True
-    for n in range(root + 1, len(parents)):
-        inside[n] = inside[parents[n]]
-    chosen = {i for i in range(len(nodes)) if inside[nodes[i][2]]}
-    if tags[root] in ("", "html", "body"):
-        heading = np.zeros(len(parents), bool)
+    owner = np.array([nodes[i][2] for i in solid])
+    held = summed(parents, owner, np.where(content, lengths, 0.0))
+    root = int(np.flatnonzero(held >= MASS * held[0])[-1])
+    telling = content | (within(parents, tags, HEADINGS)[owner] >= 0)
+    root = article_of(root, parents, tags, summed(parents, owner, np.where(telling, lengths, 0.0)))
+    if tags[root] not in BODIES:
+        inside = np.zeros(len(parents), bool)
+        inside[root] = True
+        for n in range(root + 1, len(parents)):
+            inside[n] = inside[parents[n]]
+        chosen = {i for i in range(len(nodes)) if inside[nodes[i][2]]}
+    else:
+        top = np.arange(len(parents))
         for n in range(1, len(parents)):
-            heading[n] = tags[n] in HEADINGS or heading[parents[n]]
-        keep = {i for i, c in zip(solid, content) if c or heading[nodes[i][2]]}
-        chosen = {i for i in chosen if i in keep or not nodes[i][0].strip()}
+            if tags[parents[n]] not in BODIES:
+                top[n] = top[parents[n]]
+        linked, listed = within(parents, tags, ("a",)), within(parents, tags, LISTED)
+        whole = {top[o] for o in owner[telling] if tags[top[o]] not in BODIES}
+        links = summed(parents, owner, np.where(linked[owner] >= 0, lengths, 0.0))
+        every = summed(parents, owner, lengths)
+        first, last = np.array(solid)[telling][[0, -1]]
+        chosen = set(range(first, last + 1))
+        for i, (_, _, o, _) in enumerate(nodes):
+            if top[o] in whole or listed[o] >= 0 and 2 * links[listed[o]] <= every[listed[o]]:
+                chosen.add(i)
     pieces = []
     for i, (text, _, _, begin) in enumerate(nodes):
         if begin:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -350,6 +351,29 @@ def test_main_text_of_pages():
     assert tagpaths.main_text("<div>" * 3000 + "deep, text." + "<b>" * 3000) == "deep, text."
 
 
+LONG = "A long sentence, with marks, that goes on and on. " * 40
+
+
+@pytest.mark.parametrize("body", [f"<div class=body><p>{LONG}</p><p>{LONG}</p></div>", f"<blockquote>{LONG}</blockquote>", f"<pre>{LONG}</pre>",
+                                  f"<ul><li>{LONG}<li>{LONG}</ul>", f"<table><tr><td>{LONG}<td>x</table>", f"<section><p>{LONG}</p></section>"])
+@pytest.mark.parametrize("around", ["<body><nav>Home</nav><article>%s</article><p>Other, more.</p>", "<body><nav>Home</nav><main><div>%s</div></main>",
+                                    "<body><nav>Home</nav><div><div>%s</div></div><footer>(c)</footer>", "<body><nav>Home</nav>%s<footer>(c)</footer>"])
+def test_nothing_beside_a_dominating_block_is_lost(around, body):
+    found = tagpaths.main_text(around % f"<h1>Head</h1><p>A lead.</p>{body}<p>The <b>end</b>.</p><h2>Last</h2>").split()
+    whole = " ".join(body.replace("<", " <").split())
+    assert found == f"Head A lead. {re.sub('<[^>]*>', ' ', whole)} The end. Last".split()
+
+
+def test_an_article_within_an_article_is_part_of_it():
+    page = f"<body><article><h1>Head</h1><p>A lead.</p><article><p>{LONG}</p></article></article></body>"
+    assert tagpaths.main_text(page) == f"Head A lead. {LONG}".strip()
+
+
+def test_short_blocks_of_a_body_stay():
+    page = f"<body><ul><li><a>Home</a><li><a>News</a></ul><p>{LONG}</p><ul><li>one<li>two</ul><p>{LONG}</p><table><tr><td>3<td>4</table></body>"
+    assert tagpaths.main_text(page).split() == [*LONG.split(), "one", "two", *LONG.split(), "3", "4"]
+
+
 def test_main_text_of_the_test_pages(spark, data_dir):
     import html
     import re
