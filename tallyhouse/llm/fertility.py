@@ -3,8 +3,9 @@
 For every text, each word is encoded as in running text (with a blank before it) by two public vocabularies: the piece
 vocabulary gives characters per token, the share of byte-fallback tokens and the entropy of the tokens; the byte-level
 vocabulary gives characters per token.  The values are held against bands that are learnt per language from all texts: a
-band reaches between two multiples of the language's median (``BANDS``).  Texts with fewer than ``FEW_TOKENS`` tokens have no
-reliable value and pass.
+band reaches between two multiples of the language's median (``BANDS``).  Values of texts with fewer than ``FEW_TOKENS`` tokens vary more, so
+the band widens for them as the root of the tokens falls (``WIDENING``), and they count for the medians only in languages
+that have no longer text.
 
 Beside it stand the plain rules on words, symbols, repeated lines and repeated five-word windows.
 
@@ -34,7 +35,7 @@ PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: The byte-level vocabulary never sees more than a blank and one word, so the split pattern has no say.
 ONE_PIECE = r"[\s\S]+"
 
-FEW_TOKENS = 200
+FEW_TOKENS, WIDENING = 200, 0.1
 BANDS = {"chars_per_token": (0.7, 1.5), "chars_per_byte_token": (0.85, 1.5), "entropy": (0.5, 1.6)}
 #: The most byte-fallback tokens a text may have in any language, and the room above three times the median share.
 MOST_FALLBACK, FALLBACK_ROOM = 0.5, 0.1
@@ -154,11 +155,12 @@ def measure(documents: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame
 
 
 def bands(measures: DataFrame) -> DataFrame:
-    """(lang, value, median) over all texts with enough tokens, from counts per rounded value."""
+    """(lang, value, median) over all texts with enough tokens, or all with any where a language has none, from counts per rounded value."""
     values = F.explode(F.array(*(F.struct(F.lit(c).alias("value"), F.round(F.col(c) / STEP).cast("long").alias("at")) for c in BANDED)))
-    counted = measures.where(F.col("n_tokens") >= FEW_TOKENS).select("lang", values.alias("v")) \
-        .groupBy("lang", "v.value", "v.at").agg(F.count("*").alias("n"))
+    counted = measures.where("n_tokens > 0").select("lang", (F.col("n_tokens") >= FEW_TOKENS).cast("long").alias("long"), values.alias("v")) \
+        .groupBy("lang", "v.value", "v.at").agg(F.count("*").alias("any"), F.sum("long").alias("long"))
     key = Window.partitionBy("lang", "value")
+    counted = counted.withColumn("n", F.when(F.sum("long").over(key) > 0, F.col("long")).otherwise(F.col("any"))).where("n > 0")
     ranked = counted.withColumn("upto", F.sum("n").over(key.orderBy("at"))).withColumn("all", F.sum("n").over(key))
     return ranked.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang", "value").agg((F.min("at") * STEP).alias("median"))
 
@@ -168,14 +170,15 @@ def judge(measures: DataFrame, medians: DataFrame) -> DataFrame:
     wide = medians.groupBy(F.col("lang").alias("band_lang")).pivot("value", list(BANDED)).agg(F.first("median"))
     wide = wide.select("band_lang", *(F.col(c).alias(f"{c}_median") for c in BANDED))
     held = measures.join(wide, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
+    wider = F.lit(1.0) + WIDENING * (F.sqrt(FEW_TOKENS / F.least(F.lit(FEW_TOKENS), F.greatest(F.lit(1), F.col("n_tokens")))) - 1)
     inside = F.lit(True)
     for c, (low, high) in BANDS.items():
-        inside = inside & F.col(c).between(F.col(f"{c}_median") * low, F.col(f"{c}_median") * high)
-    most = F.least(F.lit(MOST_FALLBACK), F.col("fallback_share_median") * 3 + FALLBACK_ROOM)
+        inside = inside & F.col(c).between(F.col(f"{c}_median") * low / wider, F.col(f"{c}_median") * high * wider)
+    most = F.least(F.lit(MOST_FALLBACK), F.col("fallback_share_median") * 3 + FALLBACK_ROOM * wider)
     inside = inside & (F.col("fallback_share") <= most)
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     return held.withColumn("base_failed", failed) \
-        .withColumn("kept", ~failed & ((F.col("n_tokens") < FEW_TOKENS) | F.coalesce(inside, F.lit(True)))) \
+        .withColumn("kept", ~failed & F.coalesce(inside, F.lit(True))) \
         .drop("band_lang", *(f"{c}_median" for c in BANDED))
 
 

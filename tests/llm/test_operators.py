@@ -95,6 +95,22 @@ def test_symbol_junk_falls_out_of_the_band(spark, texts):
     assert not any(found[i] for i, _, _ in junk)
 
 
+@pytest.mark.parametrize("least", [0, 150])
+def test_short_texts_are_judged(spark, texts, least):
+    """By the medians of longer texts, and in a language of short texts alone by those of all."""
+    long = [[w.decode() for w in words(t)] for _, t in texts if len(words(t)) > 150]
+    short = [w[:30] for w in long[:40]]
+    plain = [(i, " ".join(w), "xx") for i, w in enumerate(long + short if least else short)]
+    junk = [(10 ** 6 + i, " ".join(x + "%%%&&&***"[k % 3 * 3:][:3] for k, x in enumerate(w)), "xx") for i, w in enumerate(short[:5])]
+    symbols = [(10 ** 7, " ".join(chr(0x1D400 + 37 * k) for k in range(20)), "xx")]
+    found = fertility.fertility(spark.createDataFrame(plain + junk + symbols, "doc_id long, text string, lang string")).where("NOT base_failed").collect()
+    few = [r for r in found if r.n_tokens < 200]
+    odd = [r.kept for r in few if r.doc_id >= 10 ** 6]
+    assert len(odd) == 6 and sum(odd) <= 1
+    same = [r.kept for r in few if r.doc_id < 10 ** 6]
+    assert len(same) >= 30 and sum(same) >= 0.9 * len(same)
+
+
 def test_fertility_of_awkward_rows(spark):
     frame, rows = awkward(spark)
     found = fertility.fertility(frame).collect()
