@@ -34,9 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest doc_id stays, and of
     rows that repeat it one."""
     docs = columns(docs)
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    once = known.withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).drop("same")
+    kept = minhash.judged(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_digest").alias("kept_text")).distinct()
+    known = docs.where("doc_id IS NOT NULL").withColumn("same", F.xxhash64("text"))
+    known = known.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("same") == F.col("kept_text")), "left_semi")
+    once = known.dropDuplicates(["doc_id", "same"]).drop("same")
     return once.union(docs.where("doc_id IS NULL"))
 
 
@@ -52,10 +53,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = columns(docs)
     path = run_dir(spark, "mixed")
     mixing.mixed_blocks(docs).where("pass_no IS NOT NULL") \
-        .select(F.col("doc_id").alias("of_doc"), F.col("tie").alias("of_tie"), F.col("nth").alias("of_nth"), "words", "size", "shard", "position").write.parquet(path)
+        .select(F.col("doc_id").alias("of_doc"), F.col("tie").alias("of_tie"), F.col("nth").alias("of_nth"),
+                F.col("source").alias("of_source"), "words", "size", "shard", "position").write.parquet(path)
     copies = spark.read.parquet(path)
     keyed = mixing.keyed(docs)
-    joined = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tie") == F.col("of_tie")) & (F.col("nth") == F.col("of_nth")))
+    joined = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tie") == F.col("of_tie")) & (F.col("nth") == F.col("of_nth"))
+                        & F.col("source").eqNullSafe(F.col("of_source")))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
     text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))
     mixed = joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))

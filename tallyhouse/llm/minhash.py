@@ -38,7 +38,7 @@ SIEVE = 1 << 20
 #: How many standard deviations of the overlap are allowed for.
 DEVIATIONS = 6.5
 
-FEATURES = "doc_id bigint, n_shingles bigint, digest string, sketch array<bigint>"
+FEATURES = "doc_id bigint, text_digest bigint, n_shingles bigint, digest string, sketch array<bigint>"
 UPPER = bytes(range(65, 91))
 LOWER = bytes.maketrans(UPPER, UPPER.lower())
 
@@ -59,9 +59,9 @@ def featurer(width: int):
             for at in range(0, batch.num_rows, 512):
                 sets = [shingle_set(t.as_py(), hashes, width) for t in batch.column("text")[at:at + 512]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[at:at + 512], pa.array([len(s) for s in sets], pa.int64()),
+                    [batch.column("doc_id")[at:at + 512], batch.column("text_digest")[at:at + 512], pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string()),
-                     pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sketch"])
+                     pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))], ["doc_id", "text_digest", "n_shingles", "digest", "sketch"])
 
     return features
 
@@ -169,6 +169,11 @@ def block_links(per_cent: int):
 
 def near_duplicates(documents: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of documents (doc_id, text)."""
+    return judged(documents, width, per_cent).drop("text_digest")
+
+
+def judged(documents: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
+    """``near_duplicates`` with ``text_digest``, xxhash64 of the text, which tells apart rows that share a doc_id."""
     spark = documents.sparkSession
     folder = run_dir(spark, "minhash")
 
@@ -176,7 +181,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, per_cent: int = 80) ->
         frame.write.parquet(f"{folder}/{name}")
         return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
-    texts = documents.select(F.col("doc_id").cast("long"), "text")
+    texts = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_digest"))
     features = written(texts.mapInArrow(featurer(width), FEATURES), "features")
     sets = features.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(sets.groupBy("digest").agg(F.min("doc_id").alias("first_doc")), "classes")
@@ -227,7 +232,7 @@ def finished(features: DataFrame, named: DataFrame) -> DataFrame:
     """The component of every row; rows without a set are their own."""
     out = features.drop("sketch").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def checked_setter(width: int):

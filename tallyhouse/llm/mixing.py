@@ -33,9 +33,9 @@ MOST_SOURCES = 100_000
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """Adds ``tie``, a digest of the text, and ``nth``, which tells apart rows that repeat a doc_id and text."""
+    """Adds ``tie``, a digest of the text, and ``nth``, which tells apart rows of a source that repeat a doc_id and text."""
     tied = documents.withColumn("tie", F.md5(F.coalesce("text", F.lit(""))))
-    return tied.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(F.lit(0))))
+    return tied.withColumn("nth", F.row_number().over(Window.partitionBy("source", "doc_id", "tie").orderBy(F.lit(0))))
 
 
 def sized(documents: DataFrame) -> DataFrame:

@@ -74,6 +74,19 @@ def test_ids_decode_to_the_texts(stages):
     assert back == sorted(r[1] for r in rows_of(stages[4]))
 
 
+def test_one_text_in_two_sources_comes_from_both(spark, data_dir):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(None, text, "en", s, 0) for s in ("a", "b")], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.source for r in pipeline.mix(spark, docs, data_dir).collect()) == ["a", "a", "b"]
+
+
+def test_a_rejected_text_does_not_stay_by_its_id(spark, data_dir):
+    text, other = (" ".join(f"{c}{i}" for i in range(100)) for c in "wv")
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in ((1, text), (2, text), (2, other), (2, other))],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, data_dir).collect()) == [(1, text), (2, other)]
+
+
 def test_stages_take_awkward_rows(spark, data_dir):
     frame, _ = awkward(spark)
     for _, stage in pipeline.STAGES:
