@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, crosspoly, fertility, langid, minhash, mixing, phrases, pieces, tagpaths, warc
+from . import chat, crosspoly, fertility, langid, minhash, mixing, phrases, pieces, resampling, tagpaths, urlrules, warc, whitening
 
 
 def op1_fertility(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,8 +54,25 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.per_document(mixing.mixed_blocks(read_table(spark, folder, "documents"))).drop("shard")
 
 
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_urlrules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judged(read_table(spark, folder, "pages"), rules)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, folder, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_fertility, op2_phrases, op3_pieces, op4_chat, op5_minhash, op6_langid, op7_warc, op8_tagpaths,
-                                   op9_crosspoly, op10_mixing)}
+                                   op9_crosspoly, op10_mixing, op11_urlrules, op12_whitening, op13_resampling)}
 
 PHRASES_SQL = r"""
 WITH w AS (
@@ -134,4 +151,56 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLE_SQL = {"op2_phrases": PHRASES_SQL, "op4_chat": CHAT_SQL, "op7_warc": WARC_SQL, "op10_mixing": MIXING_SQL}
+URL_RULES_SQL = r"""
+WITH rules (rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+u AS (
+  SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+fits AS (
+  SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM u JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN fits ON u.n = fits.n
+"""
+
+RESAMPLING_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT row_number() OVER () AS n, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark),
+held AS (SELECT n, unnest(words) AS word FROM d),
+spelled AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM held UNION SELECT word FROM b)),
+bucketed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i::INT + 1, 2))::BIGINT)),
+                               lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM spelled, crc_table),
+counts AS (
+  SELECT bucket, sum(s) AS s, sum(t) AS t
+  FROM (SELECT bucket, count(*) AS s, 0 AS t FROM held JOIN bucketed USING (word) GROUP BY bucket
+        UNION ALL SELECT bucket, 0, count(*) FROM b JOIN bucketed USING (word) GROUP BY bucket) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT count(*) FROM held) + 10000))::DOUBLE / ((s + 1) * ((SELECT count(*) FROM b) + 10000))::DOUBLE))::BIGINT AS gain
+  FROM counts),
+weights AS (
+  SELECT n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM held JOIN bucketed USING (word) JOIN gains USING (bucket) GROUP BY n),
+scored AS (
+  SELECT d.n, doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights w ON d.n = w.n),
+ranked AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank
+FROM scored s LEFT JOIN ranked r ON s.n = r.n
+"""
+
+ORACLE_SQL = {"op2_phrases": PHRASES_SQL, "op4_chat": CHAT_SQL, "op7_warc": WARC_SQL, "op10_mixing": MIXING_SQL,
+              "op11_urlrules": URL_RULES_SQL, "op13_resampling": RESAMPLING_SQL}
