@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import dates, text
 from ..functions.fixed_values import VALID_STATUSES
 from ..functions.money import MONEY
-from .skew import bucket_starts, join_measured, running_sums, top_n_per_key
+from .skew import RANGE_ROWS, bucket_starts, cut_buckets, join_measured, running_sums, top_n_per_key
 
 REFUNDABLE = [s for s in VALID_STATUSES if s != "done"]
 
@@ -43,7 +43,7 @@ def apply_payments(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
     provider = text.payment_provider
     return orders.join(good, ["order_id", "final_amount"], "left").join(issued, "order_id", "left").select(
-        *[c for c in orders.columns if c not in ("status", "payment_key", "payment_method", "pg_provider", "paid_at")],
+        *[c for c in orders.columns if c not in ("status", "payment_key", "payment_method", "pg_provider", "paid_at", "newly_paid")],
         changed("status", F.lit("paid"), F.lit("vbank_pending")).alias("status"),
         changed("payment_key", F.col("_p.payment_id"), F.col("_v.payment_id")).alias("payment_key"),
         changed("payment_method", text.clean_payment_method(F.col("_p.method"))).alias("payment_method"),
@@ -117,19 +117,19 @@ def refund_items(items: DataFrame, accepted: DataFrame, refunds: DataFrame) -> D
 
 def refund_orders(orders: DataFrame, refunded_items: DataFrame, accepted: DataFrame) -> DataFrame:
     """Orders after the refunds: 'refund' once no item is active, or on a
-    customer's request; with the amount paid back.  A partial refund leaves the
-    order's own amount as it was."""
+    customer's request; with the amount paid back, which adds up over several
+    runs.  A partial refund leaves the order's own amount as it was."""
     zero = F.lit(0).cast(MONEY)
     # Summed per order before the join, which then sees one row per order.
     touched = refunded_items.groupBy("order_id").agg(
         F.count_if("refunded_now").alias("_refunded"),
         F.count_if(F.col("item_status") == "active").alias("_left"),
-        F.coalesce(F.sum(F.when(F.col("refunded_now"), F.col("price"))), zero).alias("refund_amount"))
+        F.sum(F.when(F.col("refunded_now"), F.col("price"))).alias("_back"))
     found = orders.join(accepted.select("order_id", "by_customer"), "order_id", "left").join(touched, "order_id", "left")
     closed = F.coalesce("by_customer", F.lit(False)) | ((F.col("_refunded") > 0) & (F.col("_left") == 0))
     return found.withColumn("status", F.when(closed, "refund").otherwise(F.col("status"))) \
-        .withColumn("refund_amount", F.coalesce("refund_amount", zero)) \
-        .drop("_refunded", "_left", "by_customer")
+        .withColumn("refund_amount", F.coalesce(_own(orders, "refund_amount").cast(MONEY), zero) + F.coalesce("_back", zero)) \
+        .drop("_refunded", "_left", "_back", "by_customer")
 
 
 def revoke_downloads(downloads: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -156,21 +156,21 @@ def hour_number(column: str = "created_at") -> Column:
     return F.unix_date(at.cast("date")).cast("bigint") * 24 + F.hour(at)
 
 
-def running_balances(ledger: DataFrame, bucket: Column | None = None) -> DataFrame:
+def running_balances(ledger: DataFrame, bucket: Column | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Balance after every entry, starting at 0 and never below 0.
 
     Clamping at every step equals the running sum less its lowest value so far
     (at most 0), so no sequential code is needed.
     """
-    summed = running_sums(ledger, "user_id", ["created_at", "entry_id"], hour_number() if bucket is None else bucket, "amount")
+    summed = running_sums(ledger, "user_id", ["created_at", "entry_id"], hour_number() if bucket is None else bucket, "amount", range_rows)
     return summed.withColumn("balance", F.col("running_sum") - F.col("running_min")).drop("running_sum", "running_min")
 
 
-def point_buckets(ledger: DataFrame, bucket: Column | None = None) -> DataFrame:
-    """Per (user, bucket): entries, sum and lowest running sum."""
+def point_buckets(ledger: DataFrame, bucket: Column | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Per (user, bucket): entries, sum and lowest running sum.  Very full buckets are cut into several."""
     inside = Window.partitionBy("user_id", "_bucket").orderBy("created_at", "entry_id") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ledger.withColumn("_bucket", hour_number() if bucket is None else bucket) \
+    return cut_buckets(ledger, "user_id", ["created_at", "entry_id"], hour_number() if bucket is None else bucket, range_rows) \
         .withColumn("_sum", F.sum("amount").over(inside)) \
         .groupBy("user_id", "_bucket") \
         .agg(F.sum("amount").alias("total"), F.min("_sum").alias("low"), F.count(F.lit(1)).alias("entries"))
@@ -204,10 +204,27 @@ def review_rewards(reviews: DataFrame, points: int) -> DataFrame:
 
 def add_counters(base: DataFrame, events: DataFrame, key: str, counter: str, last: str = "last_at") -> DataFrame:
     """Add the number of events per key to a counter, with the latest time.
-    Apply each event table once."""
-    seen = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("created_at").alias(last))
-    return base.join(seen, key, "left") \
-        .withColumn(counter, F.coalesce(F.col(counter), F.lit(0)) + F.coalesce("_n", F.lit(0))).drop("_n")
+    Apply each event table once (``journal.apply_once`` sees to it)."""
+    return _counted(base, events, [key], counter, last)
+
+
+def _counted(base: DataFrame, events: DataFrame, keys: list[str], counter: str, last: str | None) -> DataFrame:
+    seen = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("created_at").alias("_last"))
+    found = join_measured(base, seen, keys, "left") \
+        .withColumn(counter, F.coalesce(F.col(counter), F.lit(0)) + F.coalesce("_n", F.lit(0)))
+    if last:
+        found = found.withColumn(last, F.greatest(F.col(last), F.col("_last")) if last in base.columns else F.col("_last"))
+    return found.drop("_n", "_last")
+
+
+def count_downloads(rights: DataFrame, products: DataFrame, downloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rights and products after ``downloads`` (user_id, product_id, created_at) of files: both count the downloads
+    by users who hold the right, and the right keeps the last time.  Downloads without a right are refused.
+    Apply each table of downloads once."""
+    allowed = downloads.join(rights.select("user_id", "product_id"), ["user_id", "product_id"], "left_semi")
+    counted = rights if "download_count" in rights.columns else rights.withColumn("download_count", F.lit(0).cast("bigint"))
+    return (_counted(counted, allowed, ["user_id", "product_id"], "download_count", "last_downloaded_at"),
+            _counted(products, allowed, ["product_id"], "download_count", None))
 
 
 # Generic table changes -----------------------------------------------------

@@ -65,10 +65,10 @@ def order_list(orders: DataFrame, users: DataFrame, items: DataFrame, products:
         .withColumn("page_no", page_of(page_lines=page_lines))
     pages = collect_pages(named, ["order_id"], F.struct("line_no", "product_id", "name"), "_names") \
         .withColumn("product_names", F.array_join("_names.name", ", ")).drop("_names")
-    known = items.join(products.filter(F.col("name").isNotNull()).select("product_id"), "product_id", "left_semi")
-    bare = chosen.filter("_by_buyer").join(known.select("order_id").distinct(), "order_id", "left_anti") \
-        .withColumns({"page_no": F.lit(0).cast("bigint"), "product_names": F.lit(None).cast("string")})
-    return join_measured(chosen, pages, ["order_id"]).unionByName(bare).drop("_by_buyer")
+    # An order found by its buyer stays without pages; one found by product has at least one.
+    return join_measured(chosen, pages, ["order_id"], "left") \
+        .filter(F.col("_by_buyer") | F.col("page_no").isNotNull()) \
+        .withColumn("page_no", F.coalesce("page_no", F.lit(0).cast("bigint"))).drop("_by_buyer")
 
 
 def left_with_filtered_right(left: DataFrame, right: DataFrame, on: list[str], condition: Column) -> DataFrame:
@@ -146,14 +146,16 @@ def reconcile_payments(orders: DataFrame, payments: DataFrame) -> DataFrame:
         F.count_if(F.col("payment_status") == "PAID").alias("paid_payments"),
         F.min(F.when(F.col("payment_status") == "PAID", F.col("amount"))).alias("paid_low"),
         F.max(F.when(F.col("payment_status") == "PAID", F.col("amount"))).alias("paid_high"))
-    both = orders.select("order_id", "final_amount").join(fed, "order_id", "full")
-    result = F.when(F.col("final_amount").isNull(), "missing_order") \
+    both = orders.select("order_id", "final_amount", F.lit(True).alias("_known")).join(fed, "order_id", "full")
+    # A null amount equals no payment.
+    same = F.col("paid_low").eqNullSafe(F.col("final_amount")) & F.col("paid_high").eqNullSafe(F.col("final_amount"))
+    result = F.when(F.col("_known").isNull(), "missing_order") \
         .when(F.col("payments").isNull(), "missing_payment") \
         .when(F.col("paid_payments") == 0, "unpaid") \
-        .when((F.col("paid_low") != F.col("final_amount")) | (F.col("paid_high") != F.col("final_amount")), "mismatch") \
+        .when(~same | F.col("final_amount").isNull(), "mismatch") \
         .when(F.col("paid_payments") > 1, "duplicate") \
         .otherwise("ok")
-    return both.withColumn("result", result)
+    return both.withColumn("result", result).drop("_known")
 
 
 def attach_stats(products: DataFrame, stats: DataFrame) -> DataFrame:

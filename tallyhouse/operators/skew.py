@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Lines of a page of a list that cannot be bounded otherwise.
 PAGE_LINES = 1000
+#: About how many rows of one (key, bucket) a window may hold before it is cut into ranges, and how finely hot buckets are sampled.
+RANGE_ROWS, SAMPLES_PER_RANGE = 1_000_000, 32
 
 
 def join_measured(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -52,15 +54,45 @@ def collect_pages(lines: DataFrame, keys: list[str], entry: Column, name: str) -
     return lines.groupBy(*keys, "page_no").agg(F.sort_array(F.collect_list(entry)).alias(name))
 
 
-def running_sums(df: DataFrame, key: str, order: list[str], bucket: Column, value: str) -> DataFrame:
+def cut_buckets(df: DataFrame, key: str, order: list[str], bucket: Column, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``_bucket``, a struct that ascends with ``order`` within a key: the
+    given bucket and, where a (key, bucket) holds more than about
+    ``range_rows`` rows, the range of ``order`` the row lies in.
+
+    The cuts are every ``SAMPLES_PER_RANGE``-th row of a sample that a hash of
+    the row's own order decides, so reruns and the branches of a plan agree,
+    and a bucket too small to be cut has next to no rows in it.  Rows compare
+    with the cuts in two steps, so a row costs the root of their number.
+    """
+    at = F.struct(*order)
+    rows = df.withColumn("_at", at).withColumn("_hour", bucket)
+    stride = max(1, range_rows // SAMPLES_PER_RANGE)
+    sample = rows.filter(F.pmod(F.xxhash64(key, *order), F.lit(stride)) == 0) \
+        .groupBy(F.col(key).alias("_key"), F.col("_hour").alias("_of")).agg(F.sort_array(F.collect_list("_at")).alias("_sample")) \
+        .filter(F.size("_sample") >= 2 * SAMPLES_PER_RANGE)
+    every = F.filter("_sample", lambda x, i: (i + 1) % SAMPLES_PER_RANGE == 0)
+    cuts = sample.withColumn("_cuts", every).withColumn("_wide", F.ceil(F.sqrt(F.size("_cuts"))).cast("int")) \
+        .withColumn("_blocks", F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / F.col("_wide")).cast("int")),
+                                           lambda i: F.slice("_cuts", i * F.col("_wide") + 1, F.col("_wide")))) \
+        .select("_key", "_of", "_wide", "_blocks", F.transform("_blocks", lambda b: b[0]).alias("_firsts"))
+    found = rows.join(cuts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_hour").eqNullSafe(F.col("_of")), "left")
+    block = F.size(F.filter("_firsts", lambda c: c <= F.col("_at"))) - 1
+    inside = F.size(F.filter(F.get("_blocks", block), lambda c: c <= F.col("_at")))
+    part = F.when(F.col("_firsts").isNull() | (block < 0), F.lit(0)).otherwise(block * F.col("_wide") + inside)
+    return found.withColumn("_bucket", F.struct(F.col("_hour"), part.alias("_range"))) \
+        .drop("_at", "_hour", "_key", "_of", "_wide", "_blocks", "_firsts")
+
+
+def running_sums(df: DataFrame, key: str, order: list[str], bucket: Column, value: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Running sum and running minimum of that sum per key, in ``order``.
 
-    Done in two levels so that a hot key is split: within (key, bucket) by a
-    window, then over the few bucket totals per key.  ``bucket`` has to ascend
+    A segmented scan in two levels, so that a hot key is split: within (key,
+    bucket) by a window, then over the few bucket totals per key.  ``bucket`` has to ascend
     with ``order`` (a time truncated to hours, say), and ``order`` has to be
-    unique within a key.  Adds ``running_sum`` and ``running_min`` (at most 0).
+    unique within a key; a bucket with very many rows is cut into ranges of ``order``.
+    Adds ``running_sum`` and ``running_min`` (at most 0).
     """
-    rows = df.withColumn("_bucket", bucket)
+    rows = cut_buckets(df, key, order, bucket, range_rows)
     inside = Window.partitionBy(key, "_bucket").orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_sum", F.sum(value).over(inside)) \

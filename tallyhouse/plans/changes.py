@@ -92,13 +92,12 @@ def refund_orders(shop):
 SELECT d.user_id, d.product_id, d.order_id FROM shop_bought d
 WHERE d.order_id NOT IN (SELECT order_id FROM shop_orders WHERE status = 'paid' AND payment_method = '1-URGENT')
 UNION ALL
-SELECT d.user_id, d.product_id, o.order_id FROM shop_downloads d JOIN shop_orders o ON o.order_id = d.order_id
-WHERE NOT (o.status = 'paid' AND o.payment_method = '1-URGENT')
+SELECT d.user_id, d.product_id, d.order_id FROM shop_downloads d LEFT JOIN shop_orders o ON o.order_id = d.order_id
+WHERE NOT coalesce(o.status = 'paid' AND o.payment_method = '1-URGENT', false)
 """)
 def revoke_downloads(shop):
     bought = changes.newly_bought(_paid(shop), shop.items)
-    older = shop.downloads.join(shop.orders.select("order_id"), "order_id", "left_semi")
-    rights = bought.unionByName(older.select("user_id", "product_id", "order_id"))
+    rights = bought.unionByName(shop.downloads.select("user_id", "product_id", "order_id"))
     accepted = changes.refund_requests(shop.orders, shop.refunds)
     return changes.revoke_downloads(rights, accepted).select("user_id", "product_id", "order_id")
 
@@ -229,6 +228,35 @@ def add_counters(shop):
     return changes.add_counters(shop.products.select("product_id", "view_count"), views, "product_id", "view_count")
 
 
+ALLOWED = """
+WITH allowed AS (SELECT e.user_id, e.item_id AS product_id, e.created_at FROM shop_events e
+                 JOIN shop_downloads d ON d.user_id = e.user_id AND d.product_id = e.item_id WHERE e.event_type = 'view')
+"""
+
+
+def _downloads(shop):
+    views = shop.events_of("view").select("user_id", F.col("item_id").alias("product_id"), "created_at")
+    return changes.count_downloads(shop.downloads.select("user_id", "product_id", "order_id"),
+                                   shop.products.select("product_id", "download_count"), views)
+
+
+@query("M11", sql=ALLOWED + """
+SELECT d.user_id, d.product_id, d.order_id, count(a.created_at)::BIGINT AS download_count, max(a.created_at) AS last_downloaded_at
+FROM shop_downloads d LEFT JOIN allowed a ON a.user_id = d.user_id AND a.product_id = d.product_id
+GROUP BY d.user_id, d.product_id, d.order_id
+""")
+def count_downloads_of_rights(shop):
+    return _downloads(shop)[0].select("user_id", "product_id", "order_id", "download_count", "last_downloaded_at")
+
+
+@query("M11", sql=ALLOWED + """
+SELECT p.product_id, (coalesce(p.download_count, 0) + count(a.created_at))::BIGINT AS download_count
+FROM shop_products p LEFT JOIN allowed a ON a.product_id = p.product_id GROUP BY p.product_id, p.download_count
+""")
+def count_downloads_of_products(shop):
+    return _downloads(shop)[1].select("product_id", "download_count")
+
+
 @query("M12", sql="""
 SELECT u.user_id, l.last_login_at,
        CASE WHEN u.is_active AND l.last_login_at < TIMESTAMP '2000-06-30' THEN true

@@ -1,17 +1,33 @@
 """Streaming queries: each runs a stream over the whole table to its end."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import LOGIN_LIMIT
+from ..operators import limits
+from ..operators.changes import balances_from_buckets
 from ..session import run_dir
-from ..streaming import jobs, sinks
+from ..streaming import jobs, ledger, sinks
+from ..streaming import limits as live_limits
 from .output import plain
 from .registry import query
+from .shop import Shop
+
+
+#: The lengths of the login and the registration window.
+LOGIN_SECONDS, REGISTER_SECONDS = 15 * 60, 60 * 60
+
+
+def _utc(shop):
+    """The shop in a session of its own, so that UTC holds for the stream and the caller's time zone stays."""
+    own = shop.spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    return Shop(own, shop.folder)
 
 
 def _run(shop, build, mode, label):
-    shop.spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return sinks.run(build(shop.live()), mode, run_dir(shop.spark, label))
+    return sinks.run(build(_utc(shop).live()), mode, run_dir(shop.spark, label))
 
 
 # The test table has 150 users, so the limit here is one request per window.
@@ -41,6 +57,43 @@ def registration_limit_breaches(shop):
     return jobs.rate_limit_breaches(shop.events_of("signup"), "item_id", 1, "1 hour")
 
 
+def _anchored(events, client, minutes):
+    """Window by window from each client's first request: the next one starts at the first request after its end."""
+    return f"""
+WITH RECURSIVE asked AS ({events}),
+starts(client, start) AS (
+  SELECT client, min(seen) FROM asked GROUP BY client
+  UNION ALL
+  SELECT s.client, min(a.seen) FROM starts s JOIN asked a ON a.client = s.client AND a.seen >= s.start + INTERVAL {minutes} MINUTE
+  GROUP BY s.client)
+SELECT start AS window_start, a.client AS {client}, count(*)::BIGINT AS requests
+FROM asked a ASOF JOIN starts s ON s.client = a.client AND a.seen >= s.start
+GROUP BY ALL HAVING count(*) > 1
+"""
+
+
+ERRORS = "SELECT user_id AS client, created_at AS seen FROM shop_events WHERE event_type = 'error'"
+
+
+@query("R1", sql=_anchored(ERRORS, "user_id", 15))
+def login_limit_breaches(shop):
+    return limits.breaches(shop.events_of("error"), "user_id", 1, LOGIN_SECONDS)
+
+
+@query("R1", sql=_anchored("SELECT item_id AS client, created_at AS seen FROM shop_events WHERE event_type = 'signup'", "item_id", 60))
+def signup_limit_breaches(shop):
+    return limits.breaches(shop.events_of("signup"), "item_id", 1, REGISTER_SECONDS)
+
+
+# Requests that the watermark (one hour behind the newest, in milliseconds) has passed.
+@query("R1", sql=_anchored(f"""SELECT * FROM ({ERRORS}) WHERE seen <=
+  (SELECT date_trunc('milliseconds', max(created_at)) - INTERVAL 1 HOUR FROM shop_events WHERE event_type = 'error')""", "user_id", 15))
+def stream_login_limit_breaches(shop):
+    table = _run(shop, lambda live: live_limits.breaches(live.events_of("error"), "user_id", 1, LOGIN_SECONDS, "1 hour"),
+                 "update", "login-limits")
+    return sinks.latest_per_key(table, ["window_start", "user_id"])
+
+
 @query("R2 M11", sql="""
 SELECT item_id, count(*)::BIGINT AS n, max(created_at) AS last_at FROM shop_events WHERE event_type = 'view' GROUP BY item_id
 """)
@@ -76,8 +129,26 @@ lows AS (SELECT *, least(0, min(s) OVER (PARTITION BY user_id ORDER BY created_a
 SELECT user_id, count(*)::BIGINT AS entries, (sum(amount) - min(low))::BIGINT AS balance FROM lows GROUP BY user_id
 """)
 def stream_point_balance(shop):
-    table = _run(shop, lambda live: jobs.ledger_buckets(live.ledger), "append", "ledger")
-    return plain(jobs.ledger_balances(sinks.appended(table)), "user_id", "entries", "balance")
+    states = _ledger(shop)
+    newest = states.agg(F.max("last.created_at")).first()[0]
+    passed = newest - dt.timedelta(days=1) if newest else dt.datetime(1970, 1, 1)
+    hours = (passed - dt.datetime(1970, 1, 1)) // dt.timedelta(hours=1)
+    return plain(balances_from_buckets(states.filter(F.col("_bucket") < hours)), "user_id", "entries", "balance")
+
+
+def _ledger(shop):
+    folder = run_dir(shop.spark, "ledger")
+    ledger.maintain(_utc(shop).live().ledger, folder).awaitTermination()
+    return ledger.buckets(shop.spark, folder)
+
+
+@query("R5 M5", sql="""
+WITH sums AS (SELECT *, sum(amount) OVER (PARTITION BY user_id ORDER BY created_at, entry_id) AS s FROM shop_ledger),
+lows AS (SELECT *, least(0, min(s) OVER (PARTITION BY user_id ORDER BY created_at, entry_id)) AS low FROM sums)
+SELECT user_id, count(*)::BIGINT AS entries, (sum(amount) - min(low))::BIGINT AS balance FROM lows GROUP BY user_id
+""")
+def stream_point_balance_open(shop):
+    return plain(balances_from_buckets(_ledger(shop)), "user_id", "entries", "balance")
 
 
 # All matches; of the orders without payment those a payment can no longer reach.

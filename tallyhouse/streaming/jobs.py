@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.changes import balances_from_buckets
-
 
 def with_event_time(df: DataFrame, column: str = "created_at", delay: str | None = None, name: str = "at") -> DataFrame:
     """Event time as TIMESTAMP (streams do not take zone-free ones), with a
@@ -54,33 +52,6 @@ def likes_from_toggles(latest: DataFrame) -> DataFrame:
     return latest.filter(F.col("n") % 2 == 1).groupBy("item_id").agg(F.count(F.lit(1)).alias("likes"))
 
 
-def ledger_buckets(ledger: DataFrame, bucket: str = "1 hour", delay: str = "1 day") -> DataFrame:
-    """Per (user, bucket): sum, lowest running sum and entries, for append mode.
-
-    A bucket is emitted once the watermark passes its end, with its entries in
-    (time, id) order whatever order they came in.  Entries later than the
-    watermark are dropped.  State holds the entries of the open buckets only,
-    so ``bucket`` bounds what one hot user keeps in one place.
-    """
-    entry = F.struct("at", "entry_id", "amount")
-    listed = with_event_time(ledger, delay=delay) \
-        .groupBy("user_id", F.window("at", bucket).alias("w")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(None).cast("bigint").alias("low"))
-
-    def step(state, e):
-        total = state["total"] + e["amount"]
-        return F.struct(total.alias("total"), F.coalesce(F.least(state["low"], total), total).alias("low"))
-
-    return listed.withColumn("_s", F.aggregate("entries", start, step)).select(
-        "user_id", F.col("w.start").cast("timestamp_ntz").alias("_bucket"),
-        F.col("_s.total").alias("total"), F.col("_s.low").alias("low"), F.size("entries").cast("bigint").alias("entries"))
-
-
-def ledger_balances(closed_buckets: DataFrame) -> DataFrame:
-    """Clamped balances up to the last closed bucket."""
-    return balances_from_buckets(closed_buckets)
-
-
 def match_payments(orders: DataFrame, payments: DataFrame, within: str = "3 days", delay: str = "1 day") -> DataFrame:
     """Orders with the PAID payment of their amount that follows ``within`` the
     given time, for append mode.  Orders that stay without one are emitted

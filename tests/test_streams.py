@@ -62,19 +62,6 @@ def test_rate_limits_equal_batch(spark, stored):
     assert live == sorted(map(tuple, batch.collect())) and live
 
 
-def test_balances_of_closed_buckets(spark, stored):
-    folder, rows = stored
-    table = sinks.run(jobs.ledger_buckets(stream(spark, folder), "1 hour", "4 hours"), "append", run_dir(spark, "t"))
-    mark = max(r[5] for r in rows) - dt.timedelta(hours=4)
-    closed = [r for r in rows if r[5].replace(minute=0) + dt.timedelta(hours=1) <= mark]
-    balances = defaultdict(int)
-    for r in sorted(closed, key=lambda r: (r[5], r[0])):
-        balances[r[1]] = max(0, balances[r[1]] + r[4])
-    found = jobs.ledger_balances(sinks.appended(table)).collect()
-    assert {r.user_id: r.balance for r in found} == dict(balances)
-    assert sum(r.entries for r in found) == len(closed)
-
-
 def test_daily_sales_equal_batch(spark, tmp_path):
     day = dt.datetime(2001, 6, 1)
     schema = "order_id bigint, status string, final_amount bigint, paid_at timestamp_ntz"
