@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import dates
+
 
 def sort_products(products: DataFrame, mode: str = "newest") -> DataFrame:
     modes = {
@@ -46,13 +48,15 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:
     """Page by position.  Spark keeps number * size rows, so use ``page_after``
-    for deep pages."""
+    or a copy from ``sources.ranked`` for deep pages."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def page_after(df: DataFrame, created_at, key, size: int = 50, key_column: str = "order_id") -> DataFrame:
+def page_after(df: DataFrame, created_at, key, size: int = 50, key_column: str = "order_id", day: str | None = None) -> DataFrame:
     """The page that follows the row (created_at, key) in newest-first order.
-    Only ``size`` rows per task survive, however deep the page."""
+    Only ``size`` rows per task survive, however deep the page.  ``day`` names
+    the date of ``created_at``, if there is a column for it; newer days are then not read."""
     last = F.lit(created_at).cast("timestamp_ntz")
     later = (F.col("created_at") < last) | ((F.col("created_at") == last) & (F.col(key_column) < key))
+    later = later & dates.days_between(day, last=created_at)
     return newest_first(df.filter(later), key_column).limit(size)

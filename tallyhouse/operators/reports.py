@@ -64,7 +64,14 @@ def daily_sales_filled(orders: DataFrame, as_of, days: int = 7, day: str | None
     sold = _paid(orders).filter(dates.in_days(F.col("paid_at"), first, today, day)) \
         .groupBy(F.col("paid_at").cast("date").alias("day")) \
         .agg(F.count(F.lit(1)).alias("order_count"), _sum("final_amount").alias("amount"))
-    calendar = orders.sparkSession.range(days).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
+    return filled_days(sold, as_of, days)
+
+
+def filled_days(sold: DataFrame, as_of, days: int = 7) -> DataFrame:
+    """Sales per day (day, order_count, amount) on the ``days`` dates ending today."""
+    today = dates.as_datetime(as_of).date()
+    first = today - dt.timedelta(days=days - 1)
+    calendar = sold.sparkSession.range(days).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
     filled = calendar.join(sold, "day", "left").select(
         "day", dates.chart_label(F.col("day")).alias("label"),
         F.coalesce("order_count", F.lit(0)).alias("order_count"),
@@ -160,12 +167,19 @@ def alerts(pending: DataFrame, unanswered: DataFrame) -> DataFrame:
     return orders.unionByName(asked)
 
 
-def dashboard_kpis(orders: DataFrame, as_of) -> DataFrame:
-    """Day, month and pending figures from one pass over the orders."""
+def dashboard_kpis(orders: DataFrame, as_of, day: str | None = None) -> DataFrame:
+    """Day, month and pending figures: from one pass over the orders, or with
+    ``day`` from the month's days, beside a pass over the states alone."""
     paid = F.col("status") == "paid"
     today = paid & dates.on_day(F.col("paid_at"), as_of)
     month = paid & dates.in_month_of(F.col("paid_at"), as_of)
     pending = F.col("status") == "pending"
+    if day:
+        of_month = orders.filter(paid & dates.in_month_of(F.col("paid_at"), as_of, day)) \
+            .select("status", "paid_at", "final_amount")
+        waiting = orders.filter(pending).select("status", F.lit(None).cast("timestamp_ntz").alias("paid_at"),
+                                                F.lit(None).cast(orders.schema["final_amount"].dataType).alias("final_amount"))
+        orders = of_month.unionByName(waiting)
     return orders.filter(pending | month).agg(
         F.count_if(today).alias("today_count"), _when(today).alias("today_amount"),
         F.count_if(month).alias("month_count"), _when(month).alias("month_amount"),
@@ -173,13 +187,13 @@ def dashboard_kpis(orders: DataFrame, as_of) -> DataFrame:
 
 
 def dashboard(orders: DataFrame, users: DataFrame, items: DataFrame, products: DataFrame, inquiries: DataFrame,
-              as_of) -> dict[str, DataFrame]:
-    """The dashboard's parts.  Cache ``orders`` first if all are to be shown."""
+              as_of, day: str | None = None) -> dict[str, DataFrame]:
+    """The dashboard's parts.  Cache ``orders`` first if all are to be shown, or name its ``day``."""
     from .catalog import inquiry_summary
-    kpis = dashboard_kpis(orders, as_of)
+    kpis = dashboard_kpis(orders, as_of, day)
     return {
         "kpis": kpis,
-        "chart": daily_sales_filled(orders, as_of),
+        "chart": daily_sales_filled(orders, as_of, day=day),
         "recent_orders": joins.recent_orders(orders, users, items, products),
         "top_products": top_products(items, orders, products),
         "alerts": alerts(kpis.select("pending"), inquiry_summary(inquiries).select("unanswered")),

@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from . import catalog, changes, coupons, customers, expressions, filters, joins, quality, reports, sources, streams  # noqa: F401
+from . import catalog, changes, coupons, customers, expressions, filters, joins, quality, reports, sources, streams, history  # noqa: F401
 from .registry import QUERIES  # noqa: F401

@@ -24,15 +24,16 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def query(covers: str, sql: str | None = None):
+def query(covers: str, sql: str | None = None, like: str | None = None):
     """Register ``build(shop)`` under its own name.  ``covers`` names the
-    inventory entries; shop tables used in ``sql`` are added in front of it."""
+    inventory entries; shop tables used in ``sql`` are added in front of it.
+    ``like`` names the query whose result, and so its SQL, this one shares."""
 
     def register(build):
         name = build.__name__
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = Query(name, covers, build, with_tables(sql) if sql else None)
+        QUERIES[name] = Query(name, covers, build, QUERIES[like].sql if like else with_tables(sql) if sql else None)
         return build
 
     return register

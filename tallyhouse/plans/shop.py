@@ -221,6 +221,55 @@ class Shop:
             .select("order_id", "line_no", F.lit("admin").alias("path"))
         return whole.unionByName(some)
 
+    @cached_property
+    def order_events(self):
+        """What happens to the orders: the gateway's feed, captures and plain
+        confirmations where it has none, and refunds, some of them too early."""
+        orders, how = self.orders, F.col("payment_method")
+        nothing = F.lit(None).cast("string")
+
+        def events(rows, name, kind, hours, key=nothing, method=nothing, line=F.lit(None).cast("int")):
+            return rows.select(F.concat(F.lit(name), F.col("order_id").cast("string")).alias("event_id"), "order_id", "user_id", F.lit(kind).alias("kind"),
+                               F.lit(None).cast("bigint").alias("amount"), key.alias("payment_key"), method.alias("method"), nothing.alias("provider"),
+                               line.alias("line_no"), F.timestamp_add("HOUR", F.lit(hours), F.col("created_at")).cast("timestamp_ntz").alias("at"))
+
+        kind = F.when(F.col("payment_status") == "PAID", "paid").when(F.col("payment_status") == "FAILED", "failed").otherwise("virtual_account")
+        fed = self.payments.join(orders.select("order_id", "user_id"), "order_id").select(
+            F.col("payment_id").alias("event_id"), "order_id", "user_id", kind.alias("kind"), "amount", F.col("payment_id").alias("payment_key"),
+            "method", "provider", F.lit(None).cast("int").alias("line_no"), F.col("paid_at").alias("at"))
+        bare = orders.filter(how == "3-MEDIUM")
+        key = F.concat(F.lit("key-"), F.col("order_id").cast("string"))
+        lines = self.items.join(orders.select("order_id", "user_id", "payment_method", F.col("created_at").alias("_ordered")), "order_id") \
+            .filter((F.col("line_status") == "F") & how.isin("1-URGENT", "3-MEDIUM")) \
+            .withColumn("created_at", F.col("_ordered"))
+        parts = [
+            fed,
+            events(bare.filter(F.col("user_id") % 2 == 0), "capture-", "capture", 3, key),
+            events(bare.filter(F.col("user_id") % 2 == 1), "confirm-", "confirm", 3, key, F.lit("CARD")),
+            events(bare.filter(F.col("user_id") % 5 == 0), "late-", "capture", 6, key),
+            events(orders.filter(F.col("user_id") % 7 == 0), "early-", "customer_refund", 1),
+            events(orders.filter(F.col("user_id") % 3 == 0), "back-", "customer_refund", 9),
+            events(orders.filter((F.col("user_id") % 11 == 0) & (how == "1-URGENT")), "all-", "admin_refund", 8),
+            events(lines, "line-", "admin_refund", 7, line=F.col("line_no")),
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    @cached_property
+    def ordered(self):
+        """Orders before anything happened to them, with the coupon and the claim they carry."""
+        claims = self.requests.select(F.col("request_id").alias("order_id"), "claim_id")
+        return self.orders.select("order_id", "user_id", "final_amount", (F.col("user_id") % 50).alias("coupon_id")).join(claims, "order_id")
+
+    @cached_property
+    def user_coupons(self):
+        """Coupons of users: the one their orders carry, and another."""
+        users = self.users.select("user_id")
+        mine = users.select("user_id", (F.col("user_id") % 50).alias("coupon_id"), (F.col("user_id") % 9 == 0).alias("is_used"))
+        return mine.unionByName(users.select("user_id", (F.col("user_id") % 50 + 50).alias("coupon_id"), F.lit(False).alias("is_used")))
+
     @cached_property
     def inquiries(self):
         """Conversations; unanswered while the last turn is the user's.  The
@@ -350,6 +399,67 @@ SQL_TABLES = {
                     SELECT 1 FROM shop_items f WHERE f.order_id = i.order_id AND f.line_no = i.line_no AND f.line_status = 'F')))
            AS refunded_now
   FROM shop_items i JOIN shop_orders o ON o.order_id = i.order_id""",
+    "shop_order_events": """
+  SELECT payment_id AS event_id, p.order_id, o.user_id,
+         CASE payment_status WHEN 'PAID' THEN 'paid' WHEN 'FAILED' THEN 'failed' ELSE 'virtual_account' END AS kind,
+         p.amount, payment_id AS payment_key, p.method, p.provider, NULL::INT AS line_no, p.paid_at AS seen
+  FROM shop_payments p JOIN shop_orders o ON o.order_id = p.order_id
+  UNION ALL
+  SELECT 'capture-' || order_id, order_id, user_id, 'capture', NULL, 'key-' || order_id, NULL, NULL, NULL, created_at + INTERVAL 3 HOUR
+  FROM shop_orders WHERE payment_method = '3-MEDIUM' AND user_id % 2 = 0
+  UNION ALL
+  SELECT 'confirm-' || order_id, order_id, user_id, 'confirm', NULL, 'key-' || order_id, 'CARD', NULL, NULL, created_at + INTERVAL 3 HOUR
+  FROM shop_orders WHERE payment_method = '3-MEDIUM' AND user_id % 2 = 1
+  UNION ALL
+  SELECT 'late-' || order_id, order_id, user_id, 'capture', NULL, 'key-' || order_id, NULL, NULL, NULL, created_at + INTERVAL 6 HOUR
+  FROM shop_orders WHERE payment_method = '3-MEDIUM' AND user_id % 5 = 0
+  UNION ALL
+  SELECT 'early-' || order_id, order_id, user_id, 'customer_refund', NULL, NULL, NULL, NULL, NULL, created_at + INTERVAL 1 HOUR
+  FROM shop_orders WHERE user_id % 7 = 0
+  UNION ALL
+  SELECT 'back-' || order_id, order_id, user_id, 'customer_refund', NULL, NULL, NULL, NULL, NULL, created_at + INTERVAL 9 HOUR
+  FROM shop_orders WHERE user_id % 3 = 0
+  UNION ALL
+  SELECT 'all-' || order_id, order_id, user_id, 'admin_refund', NULL, NULL, NULL, NULL, NULL, created_at + INTERVAL 8 HOUR
+  FROM shop_orders WHERE user_id % 11 = 0 AND payment_method = '1-URGENT'
+  UNION ALL
+  SELECT 'line-' || i.order_id, i.order_id, o.user_id, 'admin_refund', NULL, NULL, NULL, NULL, i.line_no, o.created_at + INTERVAL 7 HOUR
+  FROM shop_items i JOIN shop_orders o ON o.order_id = i.order_id
+  WHERE i.line_status = 'F' AND o.payment_method IN ('1-URGENT', '3-MEDIUM')""",
+    # Every fact about an order by a scan of its own events in time order.
+    "shop_first_payment": """
+  SELECT * FROM (
+    SELECT e.*, row_number() OVER (PARTITION BY e.order_id ORDER BY seen, event_id) AS nth
+    FROM shop_order_events e JOIN shop_orders o ON o.order_id = e.order_id
+    WHERE kind IN ('capture', 'confirm') OR (kind = 'paid' AND e.amount = o.final_amount)) WHERE nth = 1""",
+    "shop_first_account": """
+  SELECT order_id, arg_min(payment_key, seen) AS payment_key, arg_min(provider, seen) AS provider
+  FROM shop_order_events WHERE kind = 'virtual_account' GROUP BY order_id""",
+    "shop_line_history": """
+  SELECT i.order_id, i.line_no, i.product_id, i.price, min(r.seen) AS refunded_at
+  FROM shop_items i
+  LEFT JOIN shop_first_payment p ON p.order_id = i.order_id
+  LEFT JOIN shop_order_events r ON r.order_id = i.order_id AND r.seen > p.seen AND r.kind IN ('customer_refund', 'admin_refund')
+   AND (r.line_no IS NULL OR r.line_no = i.line_no)
+  GROUP BY ALL""",
+    "shop_history": """
+  SELECT o.order_id, o.user_id, o.final_amount, o.user_id % 50 AS coupon_id, q.claim_id,
+         CASE WHEN p.order_id IS NOT NULL THEN CASE WHEN l.open_lines = 0 OR c.seen IS NOT NULL THEN 'refund' ELSE 'paid' END
+              WHEN v.order_id IS NOT NULL THEN 'vbank_pending' ELSE 'pending' END AS status,
+         CASE WHEN p.order_id IS NULL THEN v.payment_key ELSE p.payment_key END AS payment_key,
+         CASE p.kind WHEN 'paid' THEN 'Card' WHEN 'capture' THEN 'PAYPAL' WHEN 'confirm' THEN 'CARD' END AS payment_method,
+         CASE WHEN p.kind = 'paid' THEN coalesce(p.provider, 'portone') WHEN p.kind = 'capture' THEN 'paypal' WHEN p.kind = 'confirm' THEN NULL
+              WHEN v.order_id IS NOT NULL THEN coalesce(v.provider, 'portone') END AS pg_provider,
+         p.seen AS paid_at, coalesce(l.back, 0) AS refund_amount,
+         CASE WHEN c.seen <= coalesce(l.closed_at, c.seen) THEN 'customer' WHEN l.open_lines = 0 THEN 'admin' END AS refunded_by
+  FROM shop_orders o
+  JOIN shop_requests q ON q.request_id = o.order_id
+  LEFT JOIN shop_first_payment p ON p.order_id = o.order_id
+  LEFT JOIN shop_first_account v ON v.order_id = o.order_id
+  LEFT JOIN (SELECT order_id, count(*) FILTER (refunded_at IS NULL) AS open_lines, sum(price) FILTER (refunded_at IS NOT NULL) AS back,
+                    max(refunded_at) AS closed_at FROM shop_line_history GROUP BY order_id) l ON l.order_id = o.order_id
+  LEFT JOIN (SELECT p.order_id, min(r.seen) AS seen FROM shop_first_payment p JOIN shop_order_events r ON r.order_id = p.order_id
+             WHERE r.kind = 'customer_refund' AND r.seen > p.seen GROUP BY p.order_id) c ON c.order_id = o.order_id""",
     "shop_inquiries": """
   SELECT conv_id AS inquiry_id, count(*) AS turns, arg_max(role, turn) <> 'user' AS answered,
          CASE WHEN count(*) >= 6 THEN 'custom' WHEN count(*) >= 4 THEN 'usage' WHEN count(*) >= 2 THEN 'refund' ELSE 'etc' END AS type
