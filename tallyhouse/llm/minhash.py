@@ -6,9 +6,12 @@ A document's set holds the distinct ``width``-word shingles of its lower-cased w
 2. Inverted lists of the retained values give candidates.  Similar sets share at least ``shared_values`` retained values, so of a
    sketch ordered from rare to common values all but the last ``shared_values`` - 1 are enough to meet in a list (prefix filter);
    common values, as of passages that many documents quote, stay out of it.  Lists with the same smallest document make one cluster.
-3. In every cluster the smallest document, the hub, is compared with each other; links join documents to components.
-4. Only members of different components in a cluster remain to be compared.  They are dealt out in pairs of blocks, so that no cluster lies in one task.
-5. In both steps union sketches estimate the similarity and filter, then the exact Jaccard on the full sets of hashes confirms.
+3. In every cluster the smallest document, the hub, is compared with each other; links join documents to components.  Where a cluster stays
+   in several components, ``HUBS`` further hubs are compared with the members of other components.
+4. Only members of different components in a cluster remain to be compared: those outside its largest component with all.  They are dealt out in
+   pairs of blocks, so that no cluster lies in one task; a pair of blocks gives no more links than join its components (a spanning forest).
+   A near copy thus meets a number of others that does not grow with its group, unless many of a cluster are similar to none of its hubs.
+5. In all steps union sketches estimate the similarity and filter, then the exact Jaccard on the full sets of hashes confirms.
 
 A pair exactly at the limit is lost if its sketches share fewer values than ``DEVIATIONS`` standard deviations allow for, with a probability of about
 1e-8; sets of up to ``small_set`` shingles lose none.
@@ -33,6 +36,8 @@ from .components import components
 from .words import WordHashes, ascii_words, run_hashes
 
 SKETCH, BLOCK = 64, 512
+#: How many further hubs a cluster of several components is compared with.
+HUBS = 8
 #: How many buckets of doc_ids the sieve before the texts' shuffle has; where all are in use it keeps nothing out.
 SIEVE = 1 << 20
 #: How many standard deviations of the overlap are allowed for.
@@ -138,6 +143,29 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def forest(sure: np.ndarray, ids: np.ndarray, others: np.ndarray, components: np.ndarray, other_components: np.ndarray) -> dict[str, list[int]]:
+    """Of the links of two blocks as many as join their components, no two of which join the same."""
+    top = {c: c for c in (*components.tolist(), *other_components.tolist())}
+
+    def root(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    found, apart = {"a": [], "b": []}, len(top) - 1
+    for a, b in zip(*(x.tolist() for x in np.nonzero(sure))):
+        one, two = root(int(components[a])), root(int(other_components[b]))
+        if one != two:
+            top[one] = two
+            found["a"].append(int(ids[a]))
+            found["b"].append(int(others[b]))
+            apart -= 1
+            if not apart:
+                break
+    return found
+
+
 def block_links(per_cent: int):
     def links(key, rows):
         import pandas as pd
@@ -160,13 +188,46 @@ def block_links(per_cent: int):
             if len(i):
                 common = overlaps([x[k] for k in i], [y[k] for k in j]).astype(np.int64)
                 sure = open_[np.ix_(i, j)] & (common * 100 >= (nx[i][:, None] + ny[j][None, :] - common) * per_cent)
-                a, b = np.nonzero(sure)
-                found = {"a": ids[i[a]], "b": others[j[b]]}
+                found = forest(sure, ids[i], others[j], left["component"].to_numpy()[i], right["component"].to_numpy()[j])
         return pd.DataFrame(found).astype("int64")
 
     return links
 
 
+def joined(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after further links (a, b); an id without a name is a component of its own."""
+    links = links.distinct()
+    for side in ("a", "b"):
+        named = names.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
+        links = links.join(named, side, "left").withColumn(f"{side}_component", F.coalesce(f"{side}_component", side))
+    tops = components(links.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    moved = names.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left") \
+        .select("id", F.coalesce("top", "component").alias("component"))
+    return moved.union(tops).distinct()
+
+
+def open_clusters(met: DataFrame, names: DataFrame) -> DataFrame:
+    """(hub, node, component, odd) of the clusters (hub, node) that hold several components and more than two documents; ``odd`` members are
+    outside the cluster's largest component."""
+    placed = met.join(names.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    shares = placed.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    several = shares.groupBy("hub").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("main")) \
+        .where("parts > 1 AND members > 2").select("hub", F.col("main.component").alias("main"))
+    return placed.join(several, "hub").select("hub", "node", "component", (F.col("component") != F.col("main")).alias("odd"))
+
+
+def in_blocks(still: DataFrame) -> DataFrame:
+    """(hub, node, component, block, low, high): every member in each pair of blocks it has to be compared in.  Odd members meet all
+    others, those of the largest component odd ones only."""
+    sizes = still.groupBy("hub").agg(F.ceil(F.count_if("odd") / BLOCK).cast("int").alias("odd_blocks"),
+                                     F.ceil(F.count_if(~F.col("odd")) / BLOCK).cast("int").alias("main_blocks"))
+    at = F.xxhash64("node")
+    block = F.when(F.col("odd"), F.pmod(at, "odd_blocks")).otherwise(F.col("odd_blocks") + F.pmod(at, "main_blocks")).cast("int")
+    last = F.when(F.col("odd"), F.col("odd_blocks") + F.col("main_blocks")).otherwise(F.col("odd_blocks")) - 1
+    dealt = still.join(sizes, "hub").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("hub", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of documents (doc_id, text)."""
     return judged(documents, width, per_cent).drop("text_digest")
@@ -201,28 +262,27 @@ def judged(documents: DataFrame, width: int = 5, per_cent: int = 80) -> DataFram
     sketches = numbered.select("node", "n_shingles", "sketch")
     hub_sketches = sketches.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("sketch").alias("hub_sketch"))
     near_size = F.least("n_shingles", "hub_size") * 100 >= F.greatest("n_shingles", "hub_size") * per_cent
-    maybe = met.where("hub != node").join(sketches, "node").join(hub_sketches, "hub") \
-        .where(near_size & maybe_similar("sketch", "hub_sketch", per_cent)).select("hub", "node")
     hub_sets = shingles.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    first = maybe.join(shingles, "node").join(hub_sets, "hub").where(similar("shingles", "hub_shingles", per_cent)) \
-        .select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    first = components(first)
-    placed = met.join(first.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_hubs = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")) \
-        .where("low != high AND members > 2").select("hub", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(open_hubs, "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    second = dealt.join(shingles, "node").groupBy("hub", "low", "high").applyInPandas(block_links(per_cent), "a bigint, b bigint")
-    joined = second.distinct()
-    for side in ("a", "b"):
-        names = first.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
-        joined = joined.join(names, side, "left").withColumn(f"{side}_component", F.coalesce(f"{side}_component", side))
-    joined = components(joined.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
-    whole = numbered.select("node", "digest", "doc_id").join(first.withColumnRenamed("id", "node"), "node", "left") \
-        .withColumn("component", F.coalesce("component", "node")) \
-        .join(joined.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left") \
-        .withColumn("top", F.coalesce("top", "component"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links (a, b) among pairs (hub, node)."""
+        maybe = pairs.join(sketches, "node").join(hub_sketches, "hub") \
+            .where(near_size & maybe_similar("sketch", "hub_sketch", per_cent)).select("hub", "node")
+        return maybe.join(shingles, "node").join(hub_sets, "hub").where(similar("shingles", "hub_shingles", per_cent)) \
+            .select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    names = components(confirmed(met.where("hub != node")))
+    still = written(open_clusters(met, names), "open-1")
+    by_hash = Window.partitionBy("hub").orderBy(F.xxhash64("node"), "node")
+    hubs = still.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= HUBS) \
+        .select("hub", F.col("node").alias("more"), F.col("component").alias("more_component"))
+    again = still.join(hubs, "hub").where("component != more_component").select(F.col("more").alias("hub"), "node").distinct()
+    names = written(joined(names, confirmed(again)), "names-1")
+    still = written(open_clusters(still.select("hub", "node"), names), "open-2")
+    dealt = in_blocks(still).join(shingles, "node")
+    names = joined(names, dealt.groupBy("hub", "low", "high").applyInPandas(block_links(per_cent), "a bigint, b bigint"))
+    whole = numbered.select("node", "digest", "doc_id").join(names.select(F.col("id").alias("node"), F.col("component").alias("top")), "node", "left") \
+        .withColumn("top", F.coalesce("top", "node"))
     smallest = whole.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     named = whole.join(smallest, "top").select("digest", "component_id")
     return finished(features, named)

@@ -292,6 +292,66 @@ def test_chains_of_copies_in_one_large_group(spark):
     assert found == components_by_hand(rows, 3, 85)
 
 
+def test_a_group_of_near_copies_stays_linear(spark, monkeypatch, tmp_path):
+    """5,000 near copies, of which many are similar to few others: few rows meet, and the links are a forest."""
+    rng, rows = random.Random(4), []
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(160)]
+    for i in range(5_000):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            copy[rng.randrange(160)] = f"e{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(copy)))
+    real, sizes = minhash.block_links, []
+
+    def counted(per_cent):
+        inner = real(per_cent)
+
+        def links(key, block):
+            out = inner(key, block)
+            with open(f"{tmp_path}/{key[0]}-{key[1]}-{key[2]}", "w") as f:
+                f.write(f"{len(block)} {len(out)} {block['component'].nunique()}")
+            return out
+
+        return links
+
+    monkeypatch.setattr(minhash, "block_links", counted)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 3, 85)
+    # Words put in occur once, so only shingles of the base are shared; as bits, these are quick to count.
+    texts = [t.split() for _, t in rows]
+    masks = [sum(1 << i for i in range(158) if t[i:i + 3] == base[i:i + 3]) for t in texts]
+    full = [len({tuple(t[i:i + 3]) for i in range(158)}) for t in texts]
+    top = list(range(5_000))
+    for i, mask in enumerate(masks):
+        for j in range(i):
+            if top[j] != top[i] and (common := (mask & masks[j]).bit_count()) * 100 >= 85 * (full[i] + full[j] - common):
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(top)) and 500 < sum(map(bool, top)) < 1_500
+    sizes = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert sum(n for n, _, _ in sizes) < 20 * 5_000 and all(links < parts for _, links, parts in sizes)
+
+
+def test_a_forest_joins_all_that_the_links_join():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n, m = rng.integers(1, 30, 2)
+        sure = rng.random((n, m)) < 0.08
+        ids, others = np.arange(n), 100 + np.arange(m)
+        parts, other_parts = rng.integers(0, 12, n), rng.integers(0, 12, m)
+        found = minhash.forest(sure, ids, others, parts, other_parts)
+
+        def closed(pairs):
+            top = {c: c for c in range(12)}
+            for a, b in pairs:
+                old, new = top[a], top[b]
+                top = {c: new if t == old else t for c, t in top.items()}
+            return {frozenset(c for c in top if top[c] == t) for t in top.values()}
+
+        every = [(parts[a], other_parts[b]) for a, b in zip(*np.nonzero(sure))]
+        mine = [(parts[a], other_parts[b - 100]) for a, b in zip(found["a"], found["b"])]
+        assert closed(mine) == closed(every) and len(mine) <= 11
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     frame, rows = awkward(spark)
     found = minhash.near_duplicates(frame, 3, 85).collect()
