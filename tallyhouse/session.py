@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded_dirs() -> Iterator[list[str]]:
+    """A list that gets every ``run_dir`` made meanwhile, for callers that
+    remove these folders once nothing reads them any more."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not made]
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for record in _RECORDS:
+        record.append(path)
+    return path
