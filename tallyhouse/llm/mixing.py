@@ -4,10 +4,10 @@
 and the excess goes to the others by weight until none is above.
 
 ``mixed_blocks`` fills the targets: each source's documents are put in a permuted order, the order is passed through as
-often as the target asks, and the last pass stops at the exact word, so its last document gives its first words only.
+often as the target asks, and the last pass stops at the exact word, so of its last document only its first words count.
 The passes are cut into blocks of ``block_words``; a multivariate-hypergeometric splitting tree deals every source's
 block quota out to the output shards, and each shard draws its blocks disjointly from the permuted ones and orders its
-rows anew.
+rows anew.  The mix takes what the shards draw: a block that the tree deals to none is in no shard and does not count.
 
 Defined cases: a null text has no words, and such documents and those of sources without words are taken 0 times; a
 null source is a source of its own, the last one; null doc_ids and repeated rows each count as documents (equal ids are
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import run_dir
+from .splitters import parts_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Ranges of the permuted order whose sums are added up first, so that no task meets a whole source.
@@ -32,10 +33,17 @@ STEPS = 1024
 MOST_SOURCES = 100_000
 
 
+def key_of(tie: str = "tie") -> F.Column:
+    """One text that tells documents apart by doc_id, source and text digest, nulls too."""
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))
+    return F.md5(F.concat(F.col(tie), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), source))
+
+
 def keyed(documents: DataFrame) -> DataFrame:
-    """Adds ``tie``, a digest of the text, and ``nth``, which tells apart rows of a source that repeat a doc_id and text."""
-    tied = documents.withColumn("tie", F.md5(F.coalesce("text", F.lit(""))))
-    return tied.withColumn("nth", F.row_number().over(Window.partitionBy("source", "doc_id", "tie").orderBy(F.lit(0))))
+    """(key, doc_id, text, lang, source) once for rows that repeat a doc_id, source and text; of their langs the smallest."""
+    tied = documents.withColumn("tie", F.md5(F.coalesce("text", F.lit("")))).withColumn("key", key_of())
+    one = lambda c: F.any_value(c).alias(c)
+    return tied.groupBy("key").agg(one("doc_id"), one("text"), F.min("lang").alias("lang"), one("source"))
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -133,17 +141,23 @@ def mixed_blocks(documents: DataFrame, shards: int = 16, block_words: int = 100_
     copies = copies.withColumn("words", words).withColumn("block", block)
     copies = copies.join(owner, F.col("source").eqNullSafe(F.col("owner_source"))) \
         .withColumn("drawn", (F.col("block") * F.col("stride") + F.col("shift")) % F.col("n")) \
-        .withColumn("shard", F.expr("size(filter(ends, e -> e <= drawn))"))
+        .withColumn("place", F.expr("size(filter(ends, e -> e <= drawn))")).withColumn("shard", F.when(F.col("place") < shards, F.col("place")))
     position = F.xxhash64(F.col("doc_id"), F.col("pass_no"), F.col("shard"), F.lit(seed))
     return copies.select("doc_id", "source", "tie", "nth", "size", "source_size", "target", "taken", "pass_no", "words", "block", "shard",
                          F.when(F.col("pass_no").isNotNull(), position).alias("position"))
 
 
 def per_document(copies: DataFrame) -> DataFrame:
-    """One row per document: its first pass has all that concerns it."""
-    return copies.where("coalesce(pass_no, 0) = 0").select("doc_id", "size", "source_size", "target", "taken", "shard")
-
-
-def locally_shuffled(copies: DataFrame) -> DataFrame:
-    """Taken rows ordered by position within each shard; a shard may span several partitions."""
-    return copies.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
+    """(doc_id, size, source_size, target, taken, n_copies) per document: the words, and the copies, that the shards have drawn of it."""
+    drawn = F.col("pass_no").isNotNull() & F.col("shard").isNotNull()
+    one = lambda c: F.any_value(c).alias(c)
+    return copies.groupBy("doc_id", "source", "tie", "nth").agg(
+        one("size"), one("source_size"), one("target"), F.coalesce(F.sum(F.when(drawn, F.col("words"))), F.lit(0)).cast("long").alias("taken"),
+        F.count_if(drawn).alias("n_copies")).drop("source", "tie", "nth")
+
+
+def locally_shuffled(copies: DataFrame, shards: int = 16) -> DataFrame:
+    """Taken rows ordered by position within each shard.  A shard is dealt out in pieces of its positions, several to a task and none too large for one."""
+    parts = parts_of(copies.sparkSession)
+    piece = F.floor(F.col("position").cast("double") / 2.0 ** 64 * math.ceil(4 * parts / shards))
+    return copies.withColumn("piece", piece).repartition(parts, "shard", "piece").sortWithinPartitions("shard", "position").drop("piece")

@@ -297,7 +297,10 @@ class Located:
         name = f"phrases_{uuid.uuid4().hex}"
         texts.repartition(buckets, "doc_id").write.option("compression", "zstd").option("path", f"{self.folder}/texts") \
             .bucketBy(buckets, "doc_id").saveAsTable(name)
-        return self.spark.table(name)
+        table = self.spark.table(name)
+        # The plan holds files and buckets by now; its path makes the table external, so they stay.
+        self.spark.sql(f"DROP TABLE {name}")
+        return table
 
     def spans_of(self, spans: DataFrame, *columns: str, keep_all: bool = False) -> DataFrame:
         """The texts with their list of spans, which is no longer than the text."""

@@ -51,7 +51,7 @@ def op9_crosspoly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.per_document(mixing.mixed_blocks(read_table(spark, folder, "documents"))).drop("shard")
+    return mixing.per_document(mixing.mixed_blocks(read_table(spark, folder, "documents")))
 
 
 #: (host, path, verdict)
@@ -144,11 +144,12 @@ targets AS (
 placed AS (
   SELECT d.*, source_size, target, round(target)::BIGINT AS wanted,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (wanted // greatest(source_size, 1) * size
-        + greatest(0, least(size, wanted - wanted // greatest(source_size, 1) * source_size - before)))::BIGINT AS taken
-FROM placed
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+passed AS (
+  SELECT *, wanted // greatest(source_size, 1) AS passes, greatest(0, least(size, wanted - wanted // greatest(source_size, 1) * source_size - before)) AS part FROM placed)
+SELECT doc_id, size, source_size, target, (passes * size + part)::BIGINT AS taken,
+       CASE WHEN size > 0 THEN passes + (part > 0)::INT ELSE 0 END::BIGINT AS n_copies
+FROM passed
 """
 
 URL_RULES_SQL = r"""

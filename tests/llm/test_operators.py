@@ -586,6 +586,22 @@ def test_splitting_tree_keeps_every_quota():
     assert (dealt.sum(axis=0) == counts).all() and dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= 3
 
 
+def test_the_mix_takes_what_the_tree_deals_out(documents, monkeypatch):
+    whole = mixing.per_document(mixing.mixed_blocks(documents, block_words=500))
+    want = {r.doc_id: (r.taken, r.n_copies) for r in whole.collect()}
+    real = mixing.split
+
+    def half(counts, shards, rng):
+        dealt = real(counts, shards, rng)
+        dealt[shards // 2:] = 0
+        return dealt
+
+    monkeypatch.setattr(mixing, "split", half)
+    found = {r.doc_id: (r.taken, r.n_copies) for r in mixing.per_document(mixing.mixed_blocks(documents, block_words=500)).collect()}
+    assert found.keys() == want.keys() and all(found[d] <= want[d] for d in want)
+    assert 0.3 < sum(t for t, _ in found.values()) / sum(t for t, _ in want.values()) < 0.7
+
+
 # queries with SQL
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -1,9 +1,13 @@
 """The pipeline's stages, each held against a brute-force version on its own input."""
 
+import os
+
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from tallyhouse.llm import langid, pieces
+from tallyhouse import session
+from tallyhouse.llm import langid, mixing, pieces
 from tallyhouse.sources.tables import read_table
 
 from .test_operators import awkward, components_by_hand, targets_by_hand, words
@@ -58,15 +62,34 @@ def test_repeated_passages_go(stages):
 
 
 def test_mix_reaches_its_targets(stages):
-    sizes, taken, whole = {}, {}, {r[0]: words(r[1]) for r in rows_of(stages[3])}
+    """With whole documents, so within the half of the one at the edge."""
+    sizes, largest, taken, whole = {}, {}, {}, {r[0]: r for r in rows_of(stages[3])}
     for _, text, _, source, _ in rows_of(stages[3]):
         sizes[source] = sizes.get(source, 0) + len(words(text))
-    for doc_id, text, _, source, _ in rows_of(stages[4]):
-        own = words(text)
-        assert own == whole[doc_id][:len(own)] and own
-        taken[source] = taken.get(source, 0) + len(own)
+        largest[source] = max(largest.get(source, 0), len(words(text)))
+    for row in rows_of(stages[4]):
+        assert row == whole[row[0]]
+        taken[row[3]] = taken.get(row[3], 0) + len(words(row[1]))
     target = targets_by_hand(sizes)
-    assert all(abs(taken.get(s, 0) - target[s]) <= 1 for s in sizes)
+    assert all(abs(taken.get(s, 0) - target[s]) <= largest[s] / 2 + 1 for s in sizes)
+
+
+def test_mix_takes_what_the_shards_draw(spark, data_dir, stages, monkeypatch):
+    monkeypatch.setattr(mixing, "split", lambda counts, shards, rng: np.zeros((shards, len(counts)), np.int64))
+    assert pipeline.mix(spark, stages[3], data_dir).count() == 0
+
+
+def test_stages_leave_nothing_behind(spark, data_dir, tmp_path):
+    """But the last output, and what the last stage that needs folders has made."""
+    held = session.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(held))
+    docs = read_table(spark, data_dir, "documents").limit(60)
+    for n, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, data_dir).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        new = {f.rsplit("-", 1)[0] for f in set(os.listdir(held)) - before}
+        assert new <= [set(), {"minhash", "components"}, {"phrases"}, {"mix", "mixed"}, set()][n], n
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("phrases_")]
 
 
 def test_ids_decode_to_the_texts(stages):
