@@ -6,8 +6,9 @@ language counts its n-grams with that bit, corrected for the share of false posi
 the largest corrected share decides, ties going to the language that sorts first.
 
 n-grams are runs of lower-case letters and single blanks.  A language's filter takes those that make up at least
-``LEAST_SHARE`` of its n-grams and are, by share, not ``OUTWEIGHED`` times more frequent in another language.  The fit reads a bounded sample: about
-``SAMPLE`` labelled texts per language, chosen by a hash of the text.
+``LEAST_SHARE`` of its n-grams and are, by share, not ``OUTWEIGHED`` times more frequent in another language.  The fit reads a bounded sample: the
+``SAMPLE`` different labelled texts with letters, or all if fewer, whose hashes are smallest in their language, each once however often it is repeated.  The
+filter is put together on the executors; what comes to the driver is at most its ``SLOTS`` words for each 64 languages.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows with a null language are never learnt
 from; with nothing to learn every text is ``und``; very long texts are read whole; repeated rows give one result each; an
@@ -21,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM, SLOTS, PROBES = 4, 1 << 19, 2
+#: Texts up to this multiple of the sample are read to draw it, as the number of different texts is only estimated.
+SPARE = 2
 SAMPLE, LEAST_SHARE, OUTWEIGHED = 2_000, 2e-5, 4.0
 #: No language has more than 1 / LEAST_SHARE n-grams in the filter.  More languages than this are refused.
 MOST_LANGUAGES = 1_000
@@ -66,33 +69,55 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["lang", "gram", "n"])
 
 
+def count_bits(places: dict[str, int]):
+    """(slot, word, bits) of the n-grams of each batch, by the number of each language."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = np.array([places[lang] for lang in batch.column("lang").to_pylist()], np.int64)
+            hashes = batch.column("gram").to_numpy().view(np.uint64)
+            at = np.concatenate(slots(hashes))
+            word, bit = np.tile(number // 64, PROBES), np.tile(np.uint64(1) << (number % 64).astype(np.uint64), PROBES)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(bit.view(np.int64))],
+                                             ["slot", "word", "bits"])
+
+    return counted
+
+
+def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text): at most ``sample`` different texts with letters per language, those of the smallest hashes."""
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("hash"))
+    sizes = usable.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("hash").alias("texts"))
+    limit = F.least(F.lit(1.0), F.lit(float(SPARE * sample)) / F.col("texts"))
+    # A hash as a number from 0 to 1, rising with it, so that the candidates hold the smallest hashes.
+    part = F.col("hash") / F.lit(2.0 ** 64) + 0.5
+    near = usable.join(F.broadcast(sizes.limit(MOST_LANGUAGES + 1)), F.col("lang") == F.col("of")).where((F.col("texts") <= SPARE * sample) | (part < limit))
+    once = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("hash")
+    return once.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("lang", "text")
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The languages and the filter, an array (slots, 64-bit words of languages).  What comes to the driver is bounded by
-    1 / LEAST_SHARE n-grams for each language."""
+    """The languages and the filter, an array (slots, 64-bit words of languages)."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    sizes = labelled.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    langs = [r["lang"] for r in sizes]
+    langs = [r["lang"] for r in labelled.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     wide = (max(1, len(langs)) + 63) // 64
     table = np.zeros((SLOTS, wide), np.uint64)
     if not langs:
         return langs, table
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))))
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)
-    chosen = labelled.where(part < F.element_at(share, F.col("lang")))
+    chosen = sampled(labelled, sample)
     counted = chosen.mapInArrow(count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
     shares = counted.join(F.broadcast(totals), F.col("lang") == F.col("of")).withColumn("share", F.col("n") / F.col("total"))
     common = shares.where(F.col("share") >= LEAST_SHARE)
     best = common.groupBy(F.col("gram").alias("best_gram")).agg(F.max("share").alias("most"))
     kept = common.join(best, F.col("gram") == F.col("best_gram")).where(F.col("share") * OUTWEIGHED >= F.col("most"))
-    place = {lang: i for i, lang in enumerate(langs)}
-    rows = kept.select("lang", "gram").toPandas()
-    for lang, own in rows.groupby("lang"):
-        bit = place[lang]
-        for at in slots(own["gram"].to_numpy(np.int64).view(np.uint64)):
-            np.bitwise_or.at(table[:, bit // 64], at, np.uint64(1) << np.uint64(bit % 64))
+    places = {lang: i for i, lang in enumerate(langs)}
+    bits = kept.select("lang", "gram").mapInArrow(count_bits(places), "slot int, word int, bits bigint") \
+        .groupBy("slot", "word").agg(F.bit_or("bits").alias("bits"))
+    rows = bits.toPandas()
+    table[rows["slot"].to_numpy(np.int64), rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return langs, table
 
 
