@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy, on the smallest tables and on hand-made rows."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -382,6 +383,49 @@ def test_bloom_sets_hold_every_learnt_gram(documents):
     assert judge("1234 !?") == ("und", 0.0) and judge(None) == ("und", 0.0) and judge("")[0] == "und"
 
 
+def test_a_language_of_one_text_is_learnt(spark):
+    rng = random.Random(3)
+    rows = [("und here wird viel gesprochen, und zwar oft", "de")] * 10_000
+    rows += [(" ".join("".join(rng.choice("aeioust") for _ in range(4)) for _ in range(9)), "xx") for _ in range(5_000)]
+    rows += [("123 456", "xx"), ("...", "yy"), (None, "zz"), ("ein text", None)]
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    drawn = langid.sampled(frame, 700).collect()
+    assert collections.Counter(r.lang for r in drawn) == {"de": 1, "xx": 700}
+    assert len(set(drawn)) == len(drawn)
+    assert sorted(drawn) == sorted(langid.sampled(frame.repartition(3), 700).collect())
+    langs, table = langid.learn(frame, 700)
+    judge = langid.Judge(langs, table)
+    assert langs == ["de", "xx", "yy"] and judge(rows[0][0])[0] == "de" and judge(rows[0][0])[1] > 0.9
+
+
+def test_bits_and_scores_equal_plain_sets(spark, documents):
+    chosen = documents.where(~langid.held_out() & documents.lang.isNotNull())
+    langs, table = langid.learn(chosen, 40)
+    held = {lang: collections.Counter() for lang in langs}
+    for r in langid.sampled(chosen, 40).collect():
+        held[r.lang].update(langid.grams(r.text).tolist())
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in held.items()}
+    common = {lang: {g: s for g, s in of.items() if s >= langid.LEAST_SHARE} for lang, of in share.items()}
+    most = collections.defaultdict(float)
+    for of in common.values():
+        for g, s in of.items():
+            most[g] = max(most[g], s)
+    plain = np.zeros((langid.SLOTS, 1), np.uint64)
+    sets = {}
+    for i, lang in enumerate(langs):
+        sets[lang] = np.array([g for g, s in common[lang].items() if s * langid.OUTWEIGHED >= most[g]], np.uint64)
+        for at in langid.slots(sets[lang]):
+            plain[at, 0] |= np.uint64(1 << i)
+    assert (plain == table).all()
+    judge = langid.Judge(langs, table)
+    for r in documents.where(langid.held_out()).limit(30).collect():
+        found = langid.grams(r.text)
+        if len(found):
+            true = [np.isin(found, sets[lang]).mean() for lang in langs]
+            lang, score = judge(r.text)
+            assert abs(score - true[langs.index(lang)]) < 0.05 and score >= max(true) - 0.05
+
+
 def test_language_of_awkward_rows(spark):
     frame, rows = awkward(spark)
     langs, table = langid.identify(frame)
@@ -450,6 +494,34 @@ def test_short_blocks_of_a_body_stay():
     assert tagpaths.main_text(page).split() == [*LONG.split(), "one", "two", *LONG.split(), "3", "4"]
 
 
+PARAS = f"<h1>Head</h1><p>A lead.</p><p>{LONG}</p>"
+SOCIAL = f'<section class="social history"><h2>Social life</h2><p>{LONG}</p></section>'
+FOUND = f'<div class="search-results"><p>{LONG}</p><p>Short, too.</p></div>'
+NOTICE = '<div class="notice"><p>Our terms changed.</p></div>'
+SHARE = f'<div class="share"><ul><li><a href="/a">{LONG}</a><li><a href="/b">Post</a></ul></div>'
+
+
+@pytest.mark.parametrize("around", ["<body><nav>Home</nav><article>%s</article><p>Other, more.</p>", "<body><nav>Home</nav><div>%s</div><footer>(c)</footer>",
+                                    "<body><nav>Home</nav>%s<footer>(c)</footer>", '<body><div class="banner"><a>x</a></div><main>%s</main>',
+                                    '<body><nav>Home</nav><div class="search skip">%s</div>'])
+@pytest.mark.parametrize("parts", [(PARAS, SOCIAL), (PARAS, FOUND, SOCIAL), (SOCIAL, PARAS), (FOUND, SOCIAL)])
+def test_class_words_alone_take_nothing_from_an_article(around, parts):
+    want = " ".join(re.sub("<[^>]*>", " ", "".join(parts)).split())
+    assert tagpaths.main_text(around % "".join(parts)) == want
+    assert tagpaths.main_text(around % (NOTICE + "".join(parts) + SHARE)) == want
+    comments = f'<div class="comments"><p>{LONG}</p></div>'
+    assert tagpaths.main_text(around % ("".join(parts) + comments)) == want
+
+
+def test_the_ratios_decide_about_suspects(monkeypatch):
+    page = f"<body><article>{PARAS}{NOTICE}{SOCIAL}</article>"
+    assert "terms" not in tagpaths.main_text(page) and "Social life" in tagpaths.main_text(page)
+    monkeypatch.setattr(tagpaths, "THRESHOLD", 0.0)
+    assert "terms" in tagpaths.main_text(page)
+    monkeypatch.setattr(tagpaths, "THRESHOLD", 100.0)
+    assert "Social life" not in tagpaths.main_text(page)
+
+
 def test_main_text_of_the_test_pages(spark, data_dir):
     import html
     import re
