@@ -6,8 +6,10 @@ that of a second rotation among fewer dimensions.  A query looks into the bucket
 (multiprobe), and all vectors found there are scored exactly.  Split buckets part near vectors more often, so the probes grow with the
 square root of the number of buckets an axis is split into.
 
-The index rows of a bucket are dealt out in blocks of at most ``block_rows``; the queries that probe the bucket meet every
-block, and each meeting yields no more than the ``count`` nearest.  So no vector is left out and no bucket lies in one task.
+Equal vectors are hashed once, with the ``count + 1`` smallest of their ids, as no query can have more of them as neighbours; queries of equal
+vectors ask once too, and each leaves itself out of the common answer.  (A vec_id with several vectors asks for itself.)  The vectors of a
+bucket and the queries that probe it are dealt out in blocks of about ``block_rows``; every block of queries meets every block of vectors, and
+each meeting yields no more than ``count + 1`` a query.  So no vector is left out and no bucket lies in one task.
 
 A query that has met fewer than ``count`` vectors though there are more looks again, into ``WIDER`` times the buckets each round
 and at last into all of them, so that small tables and lonely vectors lose no neighbour.
@@ -34,9 +36,16 @@ TABLES, PROBES, BUCKET_ROWS, BLOCK_ROWS, SEED = 10, 16, 192, 2_048, 11
 #: How many times the buckets the next round probes for queries with too few hits.
 WIDER = 8
 
-#: ``digest`` tells apart vectors that share a vec_id.
-KEYS = "vec_id bigint, digest bigint, slot int, bucket bigint, vector array<double>"
-FOUND = "query_id bigint, digest bigint, vec_id bigint, score double"
+#: More lengths of vectors than this are refused; one row for each comes to the driver.
+MOST_LENGTHS = 10_000
+
+#: ``digest`` tells vectors apart, ``ids`` are the smallest that have one.
+CLASS = "digest bigint, ids array<bigint>, vector array<double>"
+#: ``own`` holds the id of a query that asks for itself and is empty for what all queries of a vector ask.
+MEMBER = "vec_id bigint, digest bigint, own array<bigint>"
+ASKED = "digest bigint, own array<bigint>, vector array<double>"
+HASHED = ", slot int, bucket bigint"
+FOUND = "own array<bigint>, digest bigint, vec_id bigint, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -107,24 +116,22 @@ def hasher(fines: dict[int, int], tables: int, probes: dict[int, int], seed: int
             if not batch.num_rows:
                 continue
             sizes = np.asarray(vectors.value_lengths())
-            ids, digests = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "digest"))
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
                 step = max(1, min(1_000, 16_000 // probes[int(d)]))
                 for at in range(0, len(rows), step):
                     some = rows[at:at + step]
-                    mine = vectors.take(pa.array(some))
-                    x = mine.flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
+                    x = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
                     largest = np.abs(x).max(axis=1, keepdims=True)
                     unit = x / largest
                     unit /= np.sqrt((unit ** 2).sum(axis=1, keepdims=True))
                     for t in range(tables):
                         found = buckets(unit, t, fines[int(d)], probes[int(d)], seed)
                         k = found.shape[1]
+                        out = batch.take(pa.array(np.repeat(some, k)))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(ids[some], k)), pa.array(np.repeat(digests[some], k)), pa.array(np.full(len(some) * k, t + tables * int(d), np.int32)),
-                             pa.array(found.ravel()), mine.take(pa.array(np.repeat(np.arange(len(some)), k)))],
-                            ["vec_id", "digest", "slot", "bucket", "vector"])
+                            [*out.columns, pa.array(np.full(len(some) * k, t + tables * int(d), np.int32)), pa.array(found.ravel())],
+                            [*out.schema.names, "slot", "bucket"])
 
     return hashed
 
@@ -138,24 +145,34 @@ def scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def nearest_in(count: int):
+    """The ``count`` nearest (id, vector) of each query in a meeting of two blocks."""
     def nearest(key, queries, vectors):
         import pandas as pd
 
-        names = ["query_id", "digest", "vec_id", "score"]
         if not len(queries) or not len(vectors):
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in names})
-        vectors = vectors.drop_duplicates(["vec_id", "digest"])
-        ids, v, out = vectors["vec_id"].to_numpy(), np.stack(vectors["vector"].to_numpy()), []
+            return pd.DataFrame({"own": pd.Series(dtype=object), "digest": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
+                                 "score": pd.Series(dtype="float64")})
+        held = vectors["ids"].to_list()
+        sizes = np.array([len(ids) for ids in held])
+        ids, begins, v = np.concatenate(held), np.cumsum(sizes) - sizes, np.stack(vectors["vector"].to_numpy())
+        owner, single = np.repeat(np.arange(len(held)), sizes), np.where(sizes == 1, ids[begins], 0)
+        owns, digests, found_ids, found_scores = [], [], [], []
         for at in range(0, len(queries), 256):
             some = queries.iloc[at:at + 256]
-            found = scores(np.stack(some["vector"].to_numpy()), v)
-            for query_id, digest, row in zip(some["vec_id"].to_numpy(), some["digest"].to_numpy(), found):
-                row = np.where(ids == query_id, -np.inf, row)
-                best = np.flatnonzero(row >= np.partition(row, -count)[-count]) if len(row) > count else np.arange(len(row))
-                best = best[np.lexsort((ids[best], -row[best]))][:count]
-                best = best[row[best] > -np.inf]
-                out.append((np.full(len(best), query_id), np.full(len(best), digest), ids[best], row[best]))
-        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
+            for own, digest, row in zip(some["own"], some["digest"].to_numpy(), scores(np.stack(some["vector"].to_numpy()), v)):
+                if len(own):
+                    row = np.where((sizes == 1) & (single == own[0]), -np.inf, row)
+                near = row >= np.partition(row, -count)[-count] if len(row) > count else np.ones(len(row), bool)
+                best = np.flatnonzero((near & (row > -np.inf))[owner])
+                if len(own):
+                    best = best[ids[best] != own[0]]
+                best = best[np.lexsort((ids[best], -row[owner[best]]))][:count]
+                owns += [own] * len(best)
+                digests.append(np.full(len(best), digest))
+                found_ids.append(ids[best])
+                found_scores.append(row[owner[best]])
+        return pd.DataFrame({"own": pd.Series(owns, dtype=object), "digest": np.concatenate(digests), "vec_id": np.concatenate(found_ids),
+                             "score": np.concatenate(found_scores)})
 
     return nearest
 
@@ -167,31 +184,54 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).withColumn("digest", F.xxhash64("vector"))
 
 
+def classes(vectors: DataFrame, count: int) -> DataFrame:
+    """The different vectors, each with the ``count`` smallest of its ids."""
+    once = vectors.dropDuplicates(["digest", "vec_id"])
+    smallest = Window.partitionBy("digest").orderBy("vec_id")
+    few = once.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= count)
+    return few.groupBy("digest").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector"))
+
+
+def members(asked: DataFrame) -> DataFrame:
+    """(vec_id, digest, own) of the queries."""
+    several = asked.groupBy("vec_id").agg((F.min("digest") != F.max("digest")).alias("several")).where("several").select("vec_id", "several")
+    own = F.when(F.col("several"), F.array("vec_id")).otherwise(F.array().cast("array<bigint>"))
+    return asked.select("vec_id", "digest").distinct().join(several, "vec_id", "left").select("vec_id", "digest", own.alias("own"))
+
+
 def met(vectors: DataFrame, asked: DataFrame, fines: dict[int, int], tables: int, probes: dict[int, int], count: int, block_rows: int,
         seed: int) -> DataFrame:
-    """(query_id, digest, vec_id, score): the nearest in the probed buckets."""
-    index = vectors.mapInArrow(hasher(fines, tables, dict.fromkeys(fines, 1), seed), KEYS)
-    asked = asked.mapInArrow(hasher(fines, tables, probes, seed), KEYS)
-    filled = index.groupBy("slot", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    asked = asked.join(filled, ["slot", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    index = index.join(filled, ["slot", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-    key = ["slot", "bucket", "block"]
-    found = asked.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(nearest_in(count), FOUND)
-    best = Window.partitionBy("query_id", "digest").orderBy(F.col("score").desc(), "vec_id")
+    """(own, digest, vec_id, score): the ``count`` nearest in the probed buckets."""
+    index = vectors.mapInArrow(hasher(fines, tables, dict.fromkeys(fines, 1), seed), CLASS + HASHED)
+    asked = asked.select("digest", "own", "vector").mapInArrow(hasher(fines, tables, probes, seed), ASKED + HASHED)
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("slot", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        """Each row in one block of its own side, for every block of the other."""
+        return rows.join(both, ["slot", "bucket"]).withColumn(mine, F.pmod(F.xxhash64("digest"), F.col(mine)).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    both = blocks(index, "part").join(blocks(asked, "askers"), ["slot", "bucket"])
+    key = ["slot", "bucket", "part", "askers"]
+    found = dealt(asked, "askers", "part").groupBy(*key).cogroup(dealt(index, "part", "askers").groupBy(*key)).applyInPandas(nearest_in(count), FOUND)
+    best = Window.partitionBy("own", "digest").orderBy(F.col("score").desc(), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count).drop("rank")
 
 
 def too_few(vectors: DataFrame, asked: DataFrame, found: DataFrame, count: int) -> DataFrame:
-    """(vec_id, digest) of the queries with fewer hits than ``count`` and than there are other vectors of their length."""
-    hits = found.groupBy(F.col("query_id").alias("vec_id"), "digest").agg(F.count("*").alias("hits"))
-    few = asked.select("vec_id", "digest", F.size("vector").alias("d")).distinct().join(hits, ["vec_id", "digest"], "left") \
+    """(digest, own) of the questions with fewer hits than ``count`` and than there are vectors of their length that may be hits."""
+    hits = found.groupBy("own", "digest").agg(F.count("*").alias("hits"))
+    few = asked.select("own", "digest", F.size("vector").alias("d")).join(hits, ["own", "digest"], "left") \
         .withColumn("hits", F.coalesce("hits", F.lit(0))).where(F.col("hits") < count)
     if few.isEmpty():
-        return few.select("vec_id", "digest")
+        return few.select("digest", "own")
     known = vectors.select("vec_id", "digest", F.size("vector").alias("d")).distinct()
-    own = known.groupBy("vec_id", "d").agg(F.count("*").alias("own"))
+    left_out = known.groupBy(F.array("vec_id").alias("own"), "d").agg(F.count("*").alias("left_out"))
     every = known.groupBy("d").agg(F.count("*").alias("every"))
-    return few.join(every, "d").join(own, ["vec_id", "d"]).where(F.col("hits") < F.col("every") - F.col("own")).select("vec_id", "digest")
+    return few.join(every, "d").join(left_out, ["own", "d"], "left") \
+        .where(F.col("hits") < F.col("every") - F.coalesce("left_out", F.lit(0))).select("digest", "own")
 
 
 def search(embeddings: DataFrame, is_query: F.Column, count: int = 20, tables: int = TABLES, probes: int = PROBES,
@@ -199,25 +239,33 @@ def search(embeddings: DataFrame, is_query: F.Column, count: int = 20, tables: i
     """(query_id, rank, vec_id, score): each query's nearest found.  ``is_query`` is a condition on vec_id."""
     spark, path = embeddings.sparkSession, run_dir(embeddings.sparkSession, "nearest")
     vectors = usable(embeddings)
-    lengths = vectors.groupBy(F.size("vector").alias("d")).count().collect()
+    classes(vectors, count + 1).write.parquet(f"{path}/classes")
+    index = spark.read.schema(CLASS).parquet(f"{path}/classes")
+    members(vectors.where(is_query)).write.parquet(f"{path}/members")
+    mine = spark.read.schema(MEMBER).parquet(f"{path}/members")
+    lengths = index.groupBy(F.size("vector").alias("d")).count().limit(MOST_LENGTHS + 1).collect()
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"more than {MOST_LENGTHS} lengths of vectors")
     fines = {r["d"]: fine_dims(r["count"], r["d"], bucket_rows) for r in lengths}
     whole = {d: 2 * max(2, 1 << (d - 1).bit_length()) * max(1, 2 * fine) for d, fine in fines.items()}
     wide = {d: min(whole[d], probes_for(probes, fine)) for d, fine in fines.items()}
-    asked, rounds = vectors.where(is_query), 0
+    asked, rounds = mine.select("digest", "own").distinct().join(index.select("digest", "vector"), "digest"), 0
     while True:
         everywhere = wide == whole
-        met(vectors, asked, fines, 1 if everywhere else tables, wide, count, block_rows, seed).write.parquet(f"{path}/found-{rounds}")
+        met(index, asked, fines, 1 if everywhere else tables, wide, count + 1, block_rows, seed).write.parquet(f"{path}/found-{rounds}")
         rounds += 1
         if everywhere:
             break
         found = spark.read.schema(FOUND).parquet(f"{path}/found-{rounds - 1}")
-        too_few(vectors, asked, found, count).write.parquet(f"{path}/few-{rounds}")
-        few = spark.read.schema("vec_id bigint, digest bigint").parquet(f"{path}/few-{rounds}")
+        too_few(vectors, asked, found, count + 1).write.parquet(f"{path}/few-{rounds}")
+        few = spark.read.schema("digest bigint, own array<bigint>").parquet(f"{path}/few-{rounds}")
         if few.isEmpty():
             break
-        asked = asked.join(few, ["vec_id", "digest"], "left_semi").select("vec_id", "vector", "digest")
+        asked = asked.join(few, ["digest", "own"], "left_semi").select("digest", "own", "vector")
         wide = {d: min(whole[d], WIDER * n) for d, n in wide.items()}
-    found = spark.read.schema(FOUND).parquet(*(f"{path}/found-{n}" for n in range(rounds))).drop("digest").distinct()
+    found = spark.read.schema(FOUND).parquet(*(f"{path}/found-{n}" for n in range(rounds)))
+    each = mine.withColumnRenamed("vec_id", "query_id").join(found, ["digest", "own"]).where(F.col("query_id") != F.col("vec_id")) \
+        .select("query_id", "vec_id", "score").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count) \
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count) \
         .select("query_id", "rank", "vec_id", "score")
