@@ -563,7 +563,7 @@ def recall_on_a_made_table(spark, rows, every, bucket_rows=crosspoly.BUCKET_ROWS
     frame = spark.range(rows).select(F.col("id").alias("vec_id"), F.array(*(F.randn(100 + i).cast("float") for i in range(64))).alias("raw"))
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
     frame = frame.select("vec_id", F.transform("raw", lambda x: (x / norm).cast("float")).alias("embedding"))
-    frame = frame.localCheckpoint()
+    frame = frame.checkpoint()
     known = frame.toPandas().sort_values("vec_id")
     v = np.stack(known["embedding"].to_numpy()).astype(float)
     score = v[::every] @ v.T
@@ -593,6 +593,22 @@ def test_small_tables_lose_no_neighbour(spark, rows):
         assert found == {i: {j for j, _ in near} for i, near in want.items()}
 
 
+def test_neighbours_of_hot_vectors_and_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0, 0.0]) for i in range(400)] + [(400 + i, rng.normal(size=2).tolist()) for i in range(200)]
+    rows += [(i, rng.normal(size=2).tolist()) for i in [5, 10, 20, 20, 20, 410, 411] * 3] + rows[:50]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = {}
+    for r in sorted(crosspoly.search(frame, F.col("vec_id") % 5 == 0, block_rows=30).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for query in range(0, 600, 5):
+        near = {(-(v[0] * w[0] + v[1] * w[1]), j) for i, v in rows if i == query for j, w in rows if j != query}
+        assert found.pop(query) == [(j, -s) for s, j in sorted(near)[:20]]
+    assert not found
+    once = crosspoly.classes(crosspoly.usable(frame), 21)
+    assert once.where("size(ids) > 21").isEmpty() and once.groupBy("digest").count().where("count > 1").isEmpty()
+
+
 def test_nearest_of_awkward_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (20, [0.5, 0.5]), (21, [1.0, 2.0, 3.0]),
             (40, [3.0, 2.0, 1.0]), (None, [1.0, 1.0]), (7, []), (8, [float("inf"), 0.0]), (0, [1.0, 0.0])]
