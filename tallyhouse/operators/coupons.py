@@ -54,6 +54,22 @@ def price_orders(requests: DataFrame, request_lines: DataFrame, products: DataFr
             F.when(accepted & applies, F.col("_offer.claim_id")).alias("claim_id"))
 
 
+def placed_orders(priced: DataFrame) -> DataFrame:
+    """The accepted requests as pending orders; an order's id is its request's."""
+    return priced.filter(F.col("reject_reason").isNull()).select(
+        F.col("request_id").alias("order_id"), "user_id", F.lit("pending").alias("order_status"),
+        "total_amount", "discount_amount", "final_amount", "claim_id")
+
+
+def placed_items(priced: DataFrame, request_lines: DataFrame, products: DataFrame) -> DataFrame:
+    """The items of the accepted requests at the products' list prices.  An
+    accepted request names every product once, so its prices add up to its total."""
+    accepted = priced.filter(F.col("reject_reason").isNull()).select("request_id")
+    lines = request_lines.select("request_id", "product_id").join(accepted, "request_id", "left_semi")
+    return lines.join(filters.active_only(products).select("product_id", "price"), "product_id") \
+        .select(F.col("request_id").alias("order_id"), "product_id", "price")
+
+
 def quote_coupons(requests: DataFrame, claims: DataFrame, coupon_events: DataFrame) -> DataFrame:
     """Discount or rejection reason per request.  Unlike pricing, the category
     test is skipped when the request names no categories."""

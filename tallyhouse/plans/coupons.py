@@ -40,6 +40,19 @@ def price_orders(shop):
     return plain(coupons.price_orders(shop.requests, shop.request_lines, shop.products, shop.claims, shop.coupon_events))
 
 
+@query("M1", sql="""
+WITH accepted AS (
+  SELECT i.order_id FROM shop_items i LEFT JOIN shop_products p ON p.product_id = i.product_id AND p.is_active
+  GROUP BY i.order_id HAVING count(*) = count(DISTINCT p.product_id))
+SELECT i.order_id, i.product_id, p.price
+FROM shop_items i JOIN accepted USING (order_id) JOIN shop_products p ON p.product_id = i.product_id
+JOIN shop_requests r ON r.request_id = i.order_id
+""")
+def placed_items(shop):
+    priced = coupons.price_orders(shop.requests, shop.request_lines, shop.products, shop.claims, shop.coupon_events)
+    return plain(coupons.placed_items(priced, shop.request_lines, shop.products))
+
+
 @query("M16 J8 X6 X10", sql=f"""
 WITH asked AS (SELECT *, CASE WHEN amount < 10000000 THEN [] WHEN amount < 25000000 THEN ['PROMO', 'SMALL'] ELSE ['LARGE'] END::VARCHAR[] AS cats
                FROM shop_requests),

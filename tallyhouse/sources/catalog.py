@@ -90,11 +90,29 @@ def csv_rows(catalog: DataFrame, labels: dict[str, str] = CATEGORY_LABELS) -> Da
 
 def export_csv(catalog: DataFrame, path: str, labels: dict[str, str] = CATEGORY_LABELS) -> None:
     """Quoted CSV parts with a header each; quotes inside a cell are doubled.
-    The writer cannot add the byte order mark some spreadsheets look for."""
+    ``export_marked_csv`` adds the byte order mark some spreadsheets look for."""
     csv_rows(catalog, labels).write.mode("errorifexists") \
         .option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+def export_marked_csv(catalog: DataFrame, path: str, files: int, labels: dict[str, str] = CATEGORY_LABELS) -> None:
+    """The same as ``files`` files, ``file=0/``, ``file=1/`` and so on, each beginning with a byte order mark and the header.
+
+    Spark's CSV writer would put the mark inside the first quotes, so the lines
+    are put together here.  Rows are dealt out by a hash of all cells; ``files`` should grow with the catalog.
+    """
+    def line(cells: list[Column]) -> Column:
+        return F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells])
+
+    rows = csv_rows(catalog, labels)
+    cells = [F.col(f"`{h}`") for h in CSV_HEADER]
+    lines = rows.select(F.pmod(F.xxhash64(*cells), F.lit(files)).alias("file"), F.lit(1).alias("_part"), line(cells).alias("value"))
+    heads = catalog.sparkSession.range(files).select(F.col("id").alias("file"), F.lit(0).alias("_part"),
+                                                     F.concat(F.lit("\ufeff"), line([F.lit(h) for h in CSV_HEADER])).alias("value"))
+    lines.union(heads).repartition("file").sortWithinPartitions("file", "_part", "value").select("file", "value") \
+        .write.mode("errorifexists").partitionBy("file").text(path)
+
+
 def read_csv_export(spark: SparkSession, path: str) -> DataFrame:
     schema = StructType()
     for heading in CSV_HEADER:

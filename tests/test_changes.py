@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import catalog, changes
+from tallyhouse.operators import catalog, changes, coupons
 
 AT = dt.datetime(2024, 1, 1, 12)
 
@@ -235,3 +235,16 @@ def test_each_refund_wish_is_judged_by_itself(spark):
     assert sorted(map(tuple, accepted.collect())) == [(1, False, False), (2, True, True)]
     done = changes.refund_items(items, accepted, wishes).filter("refunded_now")
     assert sorted((r.order_id, r.line_no) for r in done.collect()) == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_placed_orders_go_on_to_payment(shop):
+    priced = coupons.price_orders(shop.requests, shop.request_lines, shop.products, shop.claims, shop.coupon_events).persist()
+    orders, items = coupons.placed_orders(priced), coupons.placed_items(priced, shop.request_lines, shop.products)
+    assert orders.count() == priced.filter("reject_reason IS NULL").count() > 0
+    sums = items.groupBy("order_id").agg(F.sum("price").alias("summed"), F.count("*").alias("n"), F.countDistinct("product_id").alias("d"))
+    both = orders.join(sums, "order_id", "left")
+    assert both.filter("summed IS NULL OR summed <> total_amount OR n <> d").isEmpty()
+    paid = orders.withColumn("newly_paid", F.lit(True)).withColumn("order_status", F.lit("paid"))
+    rights = changes.grant_downloads(shop.downloads.limit(0), paid, items)
+    assert rights.count() == items.join(orders.select("order_id", "user_id"), "order_id").select("user_id", "product_id").distinct().count()
+    priced.unpersist()

@@ -57,6 +57,21 @@ def test_csv_quotes_and_labels(spark, folder):
     assert back[0][1] == 'say "hi", now' and back[1][1] == "line\nbreak" and back[1][2] == "other"
 
 
+def test_marked_csv_begins_with_the_mark(spark, folder):
+    rows = spark.createDataFrame([(str(i), 'say "hi", now' if i % 2 else "line\nbreak", "excel", i, 0, "file", True, None) for i in range(40)],
+                                 "id string, name string, cat string, price bigint, discount bigint, type string, visible boolean, date string")
+    catalog.export_marked_csv(rows, folder, 3)
+    files = glob.glob(folder + "/file=*/*.txt")
+    assert len(files) == 3
+    for name in files:
+        raw = open(name, "rb").read()
+        assert raw.startswith("\ufeff\"ID\",\"상품명\"".encode()) and raw.count("\ufeff".encode()) == 1
+    back = catalog.read_csv_export(spark, folder)
+    assert sorted((r[0], r[1], r[3]) for r in back.collect()) == sorted((r.id, r.name, str(r.price)) for r in rows.collect())
+    catalog.export_marked_csv(rows.limit(0), folder + "-empty", 2)
+    assert catalog.read_csv_export(spark, folder + "-empty").count() == 0
+
+
 def test_bundles_on_disk(shop, spark, folder):
     full = bundles.user_bundles(shop.users, shop.orders, shop.items, shop.products, shop.downloads, shop.user_reviews,
                                 shop.typed_ledger, "2024-01-31")
