@@ -315,7 +315,8 @@ class Located:
         whole = near.where("first.doc_id < last").select("near", "near2", "first")
         claims = seeds.join(whole, ["near", "near2"]).where("doc_id > first.doc_id").select("doc_id", "row", "low", "high", "first")
         several = near.groupBy("seed").agg(F.min("first.doc_id").alias("low_doc"), F.max("first.doc_id").alias("high_doc")).where("low_doc < high_doc")
-        apart = near.join(several.select("seed"), "seed").select("first.doc_id", "first.row", "first.low")
+        apart = near.join(several.select("seed"), "seed").select("near", "near2", "first")
+        apart = self.with_rows_alike(apart, seeds)
         windows = self.spans_of(apart, "row", "low").mapInArrow(window_batches, WINDOWS)
         windows = self.written(windows, "windows")
         single = F.struct("doc_id", "row", "low", F.col("low").alias("high"))
@@ -325,6 +326,19 @@ class Located:
         claims = self.written(claims.union(more), "claims")
         return self.written(self.confirmed(claims), "spans")
 
+    def with_rows_alike(self, apart: DataFrame, seeds: DataFrame) -> DataFrame:
+        """(doc_id, row, low) of the first holders of neighbourhoods; where other rows repeat the holder's doc_id, of those too, as nothing claims
+        for them what the holder has.  Texts lie in buckets of doc_id, so finding such rows shuffles nothing."""
+        row = F.crc32(F.col("text").cast("binary"))
+        twice = self.texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("low"), F.max(row).alias("high"))
+        twice = self.written(twice.where("low < high").select("doc_id"), "twice")
+        holders = apart.select("first.doc_id", "first.row", "first.low")
+        if not twice.count():
+            return holders
+        rows = seeds.drop("seed").join(twice, "doc_id", "left_semi").join(apart, ["near", "near2"]) \
+            .where("doc_id = first.doc_id AND row <> first.row")
+        return holders.union(rows.groupBy("near", "near2", "doc_id", "row").agg(F.min("low").alias("low")).select("doc_id", "row", "low"))
+
     def confirmed(self, claims: DataFrame) -> DataFrame:
         passages = claims.select("first.*").distinct()
         words = passages.agg(F.sum(F.col("high") - F.col("low") + 1)).first()[0] or 0

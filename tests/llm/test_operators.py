@@ -162,6 +162,22 @@ def test_phrases_at_every_edge(spark):
         assert sorted((tuple(r) for r in phrases.remove_repeats(frame).collect()), key=repr) == repeats_by_hand(rows)
 
 
+def test_rows_that_repeat_an_id_lose_what_smaller_documents_have(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for doc_id in (1, 1, 2, 2, 2, 3, 3, 4):
+        for _ in range(4):
+            at, text = rng.randrange(250), list(base)
+            text[rng.randrange(400)] = f"x{rng.randrange(3)}"
+            rows.append((doc_id, " ".join([f"u{rng.randrange(9)}", *text[at:at + rng.choice([55, 80, 150])]])))
+    for group in range(10):
+        run = [f"g{group}-{i}" for i in range(75)]
+        rows += [(50, " ".join(run[:70]))] + [(60, f"a{group}{k} {' '.join(run)}") for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in phrases.remove_repeats(frame).collect()), key=repr) == repeats_by_hand(rows)
+
+
 def test_removed_words_leave_the_rest_as_it_was(spark):
     run = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"a  b\n{run} c"), (2, f"d\n\ne {run}\tf  g"), (3, None), (4, "")]
