@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,51 +162,67 @@ def piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Shard:
-    """The automaton over the blocks of one shard's passages."""
+    """The automaton over the blocks of one shard's passages.
+
+    A window that holds a block reaches no further than half a window to either side of it.  So a block's entry is the words within that reach,
+    with the smallest document that has them; passages that are equal around a block share one entry, however many documents bring them.
+    """
 
     def __init__(self):
         import ahocorasick
 
-        self.automaton, self.passages, self.ready = ahocorasick.Automaton(), [], False
+        self.automaton, self.blocks, self.ready = ahocorasick.Automaton(), {}, False
 
     def add(self, doc_id: int, text: str) -> None:
         words = text.split(" ")
-        number = len(self.passages)
-        self.passages.append((doc_id, words))
         for at in range(0, len(words) - BLOCK + 1, BLOCK):
-            block = f" {' '.join(words[at:at + BLOCK])} "
-            if block in self.automaton:
-                self.automaton.get(block).append((number, at))
-            else:
-                self.automaton.add_word(block, [(number, at)])
+            entries = self.blocks.setdefault(f" {' '.join(words[at:at + BLOCK])} ", {})
+            around = tuple(words[max(at - BLOCK, 0):at]), tuple(words[at + BLOCK:at + 2 * BLOCK])
+            entries[around] = min(entries.get(around, doc_id), doc_id)
+
+    def compile(self) -> None:
+        for block, entries in self.blocks.items():
+            self.automaton.add_word(block, sorted((doc_id, *around) for around, doc_id in entries.items()))
+        self.automaton.make_automaton()
+        self.blocks, self.ready = {}, True
 
     def spans(self, doc_id: int, text: str) -> list[tuple[int, int]]:
-        """Ranges of words of a region that a passage of a smaller document has too, ``WINDOW`` words or more."""
+        """Ranges of words (from, up to) of a region that a passage of a smaller document has too, ``WINDOW`` words or more."""
         if not self.ready:
-            self.automaton.make_automaton()
-            self.ready = True
+            self.compile()
         if not len(self.automaton):
             return []
         words = text.split(" ")
         ends = np.cumsum([len(w) + 1 for w in words])
-        reached: dict[tuple[int, int], int] = {}
         out = []
         for end, entries in self.automaton.iter(f" {text} "):
             stop = int(np.searchsorted(ends, end)) + 1
             start = stop - BLOCK
-            for number, at in entries:
-                owner, passage = self.passages[number]
-                if owner >= doc_id or reached.get((number, start - at), -1) >= stop:
-                    continue
-                low, high = 0, BLOCK
-                while at - low > 0 and start - low > 0 and passage[at - low - 1] == words[start - low - 1]:
-                    low += 1
-                while at + high < len(passage) and start + high < len(words) and passage[at + high] == words[start + high]:
-                    high += 1
-                reached[number, start - at] = start + high
-                if low + high >= WINDOW:
-                    out.append((start - low, start + high))
-        return merged(out)
+            before, behind = words[max(start - BLOCK, 0):start], words[stop:stop + BLOCK]
+            for owner, left, right in entries:
+                if owner >= doc_id:
+                    break
+                low, high = alike(reversed(before), reversed(left)), alike(behind, right)
+                if low + BLOCK + high >= WINDOW:
+                    out.append((start - low, stop + high))
+                    if low == len(before) and high == len(behind):
+                        break
+        return joined(out)
+
+
+def alike(a: Iterable[str], b: Iterable[str]) -> int:
+    """How many of the first words are equal."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (from, up to) of words; a word between two of them stays out."""
+    return [(low, high + 1) for low, high in merged([(low, high - 1) for low, high in spans])]
 
 
 def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -178,6 +178,26 @@ def test_rows_that_repeat_an_id_lose_what_smaller_documents_have(spark):
     assert sorted((tuple(r) for r in phrases.remove_repeats(frame).collect()), key=repr) == repeats_by_hand(rows)
 
 
+def test_shard_finds_windows_of_smaller_documents_only():
+    rng = random.Random(1)
+    for trial in range(100):
+        base = [rng.choice("ab" if trial % 2 else "abcdefgh") for _ in range(rng.randrange(60, 220))]
+
+        def near_copy():
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = rng.choice("xyz")
+            return copy[rng.randrange(10):]
+
+        passages, region, shard = [(rng.randrange(10), near_copy()) for _ in range(8)], near_copy(), phrases.Shard()
+        for owner, passage in passages:
+            shard.add(owner, " ".join(passage))
+        width = phrases.WINDOW
+        windows = {tuple(p[i:i + width]) for owner, p in passages if owner < 5 for i in range(len(p) - width + 1)}
+        held = {j for i in range(len(region) - width + 1) if tuple(region[i:i + width]) in windows for j in range(i, i + width)}
+        assert {j for low, high in shard.spans(5, " ".join(region)) for j in range(low, high)} == held
+
+
 def test_removed_words_leave_the_rest_as_it_was(spark):
     run = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"a  b\n{run} c"), (2, f"d\n\ne {run}\tf  g"), (3, None), (4, "")]
