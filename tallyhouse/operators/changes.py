@@ -316,9 +316,3 @@ def account_actions(users: DataFrame, actions: DataFrame) -> DataFrame:
 
 def rejected_actions(actions: DataFrame) -> DataFrame:
     return actions.filter(~F.col("action").isin("suspend", "restore", "deactivate"))
-
-
-def normal_status(status: Column) -> Column:
-    """Both spellings of the refund state to one."""
-    return F.when(status.isin("refund", "refunded"), "refund").otherwise(status)
-

@@ -28,24 +28,23 @@ def price_orders(requests: DataFrame, request_lines: DataFrame, products: DataFr
     category test passes if any line matches; the discount is on the whole total.
     """
     asked = request_lines.groupBy("request_id", "product_id").agg(F.count(F.lit(1)).alias("copies"))
-    lines = asked.join(filters.active_only(products).select("product_id", "price", "category"), "product_id", "left") \
-        .join(_offers(requests, claims, coupon_events), "request_id", "left")
-    limit_to = F.col("offer.applicable_categories")
-    matches = limit_to.isNull() | (F.size(limit_to) == 0) | F.array_contains(limit_to, F.col("category"))
+    lines = asked.join(filters.active_only(products).select("product_id", "price", "category"), "product_id", "left")
+    # A request's categories are no more than the shop has; its offer meets them once per request, not on every line.
     totals = lines.groupBy("request_id").agg(
         F.sum("copies").alias("_asked"), F.count("price").alias("_found"),
-        F.sum("price").cast(MONEY).alias("_total"),
-        F.bool_or(F.coalesce(matches, F.lit(False))).alias("_matches"),
-        F.any_value("offer").alias("_offer"))
+        F.sum("price").cast(MONEY).alias("_total"), F.collect_set("category").alias("_categories"))
+    offers = _offers(requests, claims, coupon_events).withColumnRenamed("offer", "_offer")
+    limit_to = F.col("_offer.applicable_categories")
+    matches = limit_to.isNull() | (F.size(limit_to) == 0) | F.arrays_overlap(limit_to, F.col("_categories"))
     reason = F.when(F.col("_asked").isNull(), "no_products") \
         .when(F.col("_asked") != F.col("_found"), "invalid_products")
     zero = F.lit(0).cast(MONEY)
-    applies = F.col("_offer").isNotNull() & F.col("_matches") \
+    applies = F.col("_offer").isNotNull() & F.coalesce(matches, F.lit(False)) \
         & (F.col("_total") >= F.coalesce(F.col("_offer.min_order_amount"), zero))
     discount = F.when(applies, money.coupon_discount(F.col("_offer.discount_type"), F.col("_offer.discount_value"),
                                                      F.col("_total"))).otherwise(zero)
     accepted = F.col("reject_reason").isNull()
-    return requests.join(totals, "request_id", "left").withColumn("reject_reason", reason) \
+    return requests.join(totals, "request_id", "left").join(offers, "request_id", "left").withColumn("reject_reason", reason) \
         .withColumn("_discount", discount).select(
             "request_id", "user_id", "reject_reason",
             F.when(accepted, F.col("_total")).alias("total_amount"),

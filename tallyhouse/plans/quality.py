@@ -78,6 +78,37 @@ def validate_products(shop):
         .select("product_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("Q1", sql="""
+SELECT doc_id, concat_ws(',', CASE WHEN coalesce(text, '') = '' THEN 'missing' END,
+         CASE WHEN length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 100 THEN 'too_long' END) AS reasons
+FROM documents
+""")
+def validate_fingerprints(shop):
+    """The rules of a browser's fingerprint, on the texts of the documents."""
+    prints = shop.table("documents").select("doc_id", F.col("text").alias("fingerprint"))
+    return quality.validate_rows(prints, quality.fingerprint_rules()).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("Q1", sql="""
+WITH offers AS (SELECT CASE l_returnflag WHEN 'R' THEN 'percent' WHEN 'A' THEN 'amount' ELSE 'gift' END AS discount_type, l_shipdate,
+                       l_discount, l_linenumber, l_linenumber * 30 - 90 AS days FROM lineitem),
+checked AS (SELECT concat_ws(',', CASE WHEN l_linenumber = 1 OR l_discount = 0 THEN 'missing' END,
+                             CASE WHEN discount_type = 'gift' THEN 'discount_type' END, CASE WHEN days < 0 THEN 'window' END) AS reasons FROM offers)
+SELECT CASE WHEN reasons = '' THEN 'valid' ELSE reasons END AS outcome, count(*)::BIGINT AS events FROM checked GROUP BY reasons
+""")
+def coupon_event_audit(shop):
+    """The rules of a coupon event, on the order lines read as offers: kept rows, and set-aside rows by the rules they break."""
+    start = F.col("l_shipdate").cast("date")
+    rows = shop.table("lineitem").select(
+        F.when(F.col("l_linenumber") > 1, F.lit("offer")).alias("name"),
+        F.when(F.col("l_returnflag") == "R", "percent").when(F.col("l_returnflag") == "A", "amount").otherwise("gift").alias("discount_type"),
+        F.col("l_discount").alias("discount_value"), start.alias("start_date"),
+        F.date_add(start, (F.col("l_linenumber") * 30 - 90).cast("int")).alias("end_date"))
+    kept, aside = quality.quarantine(quality.validate_rows(rows, quality.coupon_event_rules()))
+    outcomes = kept.select(F.lit("valid").alias("outcome")).unionByName(aside.select(F.array_join("reasons", ",").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("events"))
+
+
 @query("Q2", sql="""
 SELECT count(*)::BIGINT AS n_rows, (count(*) FILTER (WHERE rating NOT BETWEEN 1 AND 4))::BIGINT AS rating,
        (count(*) FILTER (WHERE likes_count NOT BETWEEN 1 AND 7))::BIGINT AS likes

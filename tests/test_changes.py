@@ -190,11 +190,6 @@ def test_counters_and_rewards(spark):
     assert tuples(changes.review_rewards(reviews, 500), "user_id", "type", "amount", "entry_id") == [(1, "earn_review", 500, 4)]
 
 
-def test_both_refund_spellings(spark):
-    df = spark.createDataFrame([("refund",), ("refunded",), ("paid",)], "s string")
-    assert [r[0] for r in df.select(changes.normal_status(F.col("s"))).collect()] == ["refund", "refund", "paid"]
-
-
 def test_second_runs_and_own_columns_keep_their_values(spark):
     claims = spark.createDataFrame([(1, 7, False)], "claim_id long, user_id long, is_used boolean")
     paid = spark.createDataFrame([(70, 7, 1, True)], "order_id long, user_id long, claim_id long, newly_paid boolean")
