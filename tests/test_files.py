@@ -1,7 +1,9 @@
 """Catalog files, CSV, bundles and the shared folder."""
 
+import datetime as dt
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,32 @@ def test_bundles_on_disk(shop, spark, folder):
     assert back.filter("section = 'orders'").select(F.sum(F.size("orders.items"))).first()[0] == shop.items.count()
 
 
+def test_bundles_take_a_fraction_of_their_text(shop, folder):
+    full = bundles.user_bundles(shop.users, shop.orders, shop.items, shop.products, shop.downloads, shop.user_reviews,
+                                shop.typed_ledger, "2024-01-31").repartition(2, "user_id")
+    bundles.write_bundles(full, folder, buckets=2)
+    text = full.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    assert 4 * sum(os.path.getsize(f) for f in glob.glob(folder + "/bucket=*/*")) < text
+
+
+def test_bundles_hold_known_users_only(spark):
+    at = dt.datetime(2001, 6, 3)
+    users = spark.createDataFrame([(1, "a", "n", "p"), (1, "a", "n", "p"), (2, None, None, None)], "user_id bigint, email string, name string, provider string")
+    orders = spark.createDataFrame([(i, u, 5, "paid", at, at) for i, u in enumerate([1, 2, 3, None])] + [(0, 1, 5, "paid", at, at)],
+                                   "order_id bigint, user_id bigint, final_amount bigint, status string, paid_at timestamp_ntz, created_at timestamp_ntz")
+    items = spark.createDataFrame([(i, 7, 1, 5) for i in range(4)], "order_id bigint, product_id bigint, line_no int, price bigint")
+    products = spark.createDataFrame([(7, "x", "c")], "product_id bigint, name string, category string")
+    rights = spark.createDataFrame([(u, 7, at) for u in (1, 3, None)], "user_id bigint, product_id bigint, created_at timestamp_ntz")
+    reviews = spark.createDataFrame([(9, u, 7, 4, at) for u in (2, 3, None)],
+                                    "review_id bigint, user_id bigint, product_id bigint, rating int, created_at timestamp_ntz")
+    ledger = spark.createDataFrame([(4, u, 1, "t", at) for u in (2, 2, 3, None)],
+                                   "entry_id bigint, user_id bigint, amount bigint, type string, created_at timestamp_ntz")
+    full = bundles.user_bundles(users, orders, items, products, rights, reviews, ledger, "2024-01-31")
+    assert sorted((r.section, r.user_id) for r in full.collect()) == [
+        ("downloads", 1), ("orders", 1), ("orders", 1), ("orders", 2), ("point_history", 2), ("point_history", 2),
+        ("profile", 1), ("profile", 1), ("profile", 2), ("reviews", 2)]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert session.shared_dir(spark) == named
