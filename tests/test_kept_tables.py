@@ -222,6 +222,19 @@ def test_deep_pages_read_little(spark, tmp_path):
     assert ranked.read_page(spark, f"{folder}-0", rows.schema, order).collect() == []
 
 
+@pytest.mark.parametrize("sorted_rows", [250_000, 700])
+def test_files_of_a_ranked_copy_follow_the_rows(spark, tmp_path, monkeypatch, sorted_rows):
+    monkeypatch.setattr(ranked, "SORTED_ROWS", sorted_rows)
+    rng, folder = random.Random(3), f"{tmp_path}/ranked"
+    rows = spark.createDataFrame([(i % 4_000, rng.choice([None, *range(9)])) for i in range(5_000)], "id bigint, v int").repartition(5)
+    order = [F.col("v").desc(), F.col("id").desc()]
+    ranked.write_ranked(rows, order, folder, range_rows=10)
+    files = [f for _, _, found in os.walk(f"{folder}/rows") for f in found if f.endswith(".parquet")]
+    assert len(files) == -(-5_000 // sorted_rows)
+    for number, size in ((1, 10), (77, 13), (3, 900), (1, 9_000), (500, 10), (501, 10)):
+        assert ranked.read_page(spark, folder, rows.schema, order, number, size).collect() == ordering.page(rows, order, number, size).collect()
+
+
 # Key ranges
 
 @pytest.mark.parametrize("partitions", [1, 2, 7, 64])
