@@ -39,10 +39,12 @@ def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Every order, with or without items.
 
     An outer join cannot split a hot order on the items' side, so the orders
-    with items are joined inner and the others added.
+    with items are joined inner and the others added.  Both joins hash the
+    narrow side, one row per order, and let the other pass: sorted, a task
+    would hold all of its items and its orders twice at once.
     """
-    filled = orders.join(items, "order_id")
-    empty = orders.join(items.select("order_id").distinct(), "order_id", "left_anti")
+    filled = orders.hint("shuffle_hash").join(items, "order_id")
+    empty = orders.join(items.select("order_id").distinct().hint("shuffle_hash"), "order_id", "left_anti")
     return filled.unionByName(empty, allowMissingColumns=True)
 
 

@@ -93,6 +93,16 @@ def test_optional_items_equal_a_left_join(spark, hot_shop):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
+def test_optional_items_are_not_sorted(spark, hot_shop):
+    tables, _ = hot_shop
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joins.orders_with_items(tables["orders"], tables["items"])._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
+
+
 def ledger_rows(n=600, users=4, seed=5):
     rng = random.Random(seed)
     start = dt.datetime(2024, 1, 1)
