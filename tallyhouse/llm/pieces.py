@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import MEMO_WORDS, Grown, ranges
+from .words import MEMO_WORDS, ODD, Grown, ranges
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, FALLBACK, NONE = "▁", 10.0, -1e30
@@ -42,9 +42,60 @@ GROUP_CHARS, LONG = 1_000_000, 64
 CHUNKS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
+class Prefixes:
+    """All beginnings of pieces as numbered nodes, and which character leads from one to the next, in a table that arrays
+    of nodes look up at once.  Slots are probed one after the other, so different keys never pass for each other."""
+
+    BITS, END = 19, 0x1FFFFF
+
+    def __init__(self, begins: Iterable[str], numbers: dict[str, int]):
+        node = {"": 0} | {p: i for i, p in enumerate(begins, 1)}
+        self.bits = max(self.BITS, (4 * len(node)).bit_length())
+        self.longest = max(map(len, node))
+        self.number = np.full(len(node), -1, np.int64)
+        self.number[[node[p] for p in numbers]] = [*numbers.values()]
+        self.key, self.next = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        keys = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in node if p], np.int64)
+        for key, slot, to in zip(keys.tolist(), self.slots(keys).tolist(), range(1, len(node))):
+            while self.key[slot] != -1:
+                slot = slot + 1 & (1 << self.bits) - 1
+            self.key[slot], self.next[slot] = key, to
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * ODD) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The node behind each node by a character, -1 where none is."""
+        keys = nodes << 21 | codes
+        slots = self.slots(keys)
+        held = self.key[slots]
+        out = np.where(held == keys, self.next[slots], -1)
+        open_ = np.flatnonzero((held != keys) & (held != -1))
+        while len(open_):
+            slots[open_] = slots[open_] + 1 & (1 << self.bits) - 1
+            held = self.key[slots[open_]]
+            same = held == keys[open_]
+            out[open_[same]] = self.next[slots[open_[same]]]
+            open_ = open_[~same & (held != -1)]
+        return out
+
+    def found(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every piece at every place of a text: (starts, stops, numbers)."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = np.r_[codes, self.END]
+        at, nodes, out = np.arange(len(text)), np.zeros(len(text), np.int64), []
+        for length in range(1, self.longest + 1):
+            nodes = self.step(nodes, codes[at + length - 1])
+            more = np.flatnonzero(nodes >= 0)
+            at, nodes = at[more], nodes[more]
+            number = self.number[nodes]
+            whole = np.flatnonzero(number >= 0)
+            out.append((at[whole], at[whole] + length, number[whole]))
+        return tuple(map(np.concatenate, zip(*out)))
+
+
 class Vocabulary:
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=os.fspath(path))
@@ -63,17 +114,13 @@ class Vocabulary:
             raise ValueError("the vocabulary has pieces across words or lines")
         self.unknown = min(s for s in self.score.values() if s > UNUSED) - FALLBACK
         self.score = {p: s if s > UNUSED else self.unknown for p, s in self.score.items()}
-        #: An automaton of all pieces, which names them by number; the last number is a character's fallback.
-        self.automaton = ahocorasick.Automaton()
-        for number, piece in enumerate(self.score):
-            self.automaton.add_word(piece, number)
-        self.automaton.make_automaton()
+        # Pieces go by number; the last number is a character's fallback.
         self.piece_score = np.array([*self.score.values(), self.unknown])
-        self.piece_length = np.array([*map(len, self.score), 1])
         self.piece_id = np.array([*(self.id[p] for p in self.score), -1], np.int32)
         self.byte_id = np.array(self.byte, np.int32)
         #: The score of every piece, and ``NONE`` for what only begins longer pieces.
         self.begins = {p[:n]: NONE for p in self.score for n in range(1, len(p))} | self.score
+        self.prefixes = Prefixes(self.begins, {p: i for i, p in enumerate(self.score)})
 
     def ids(self, pieces: list[str]) -> list[int]:
         """A path's ids; characters without a piece become byte pieces."""
@@ -169,18 +216,22 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@functools.lru_cache(maxsize=1)
+def known_chunks(path: str) -> "Chunks":
+    """A Python worker's memo, which outlives a task: most words of a task were met in those before it."""
+    return Chunks(vocabulary(path))
+
+
 def solved_at_once(chunks: list[str], words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What ``best_and_loss`` gives, of many short chunks: (best scores, losses, all ids one after the other, how many of them each
-    chunk has).  The automaton finds the edges of all lattices, and each step of forward Viterbi takes one depth of all chunks."""
+    chunk has).  The table of prefixes finds the edges of all lattices, and each step of forward Viterbi takes one depth of all chunks."""
     text = "\n".join(chunks)
     lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
     # Node p stands before character p of the joined text; a chunk's last node falls on the line break behind it.
     last = np.cumsum(lengths + 1) - 1
     first = last - lengths
     nodes = len(text) + 1
-    found = np.fromiter(itertools.chain.from_iterable(words.automaton.iter(text)), np.int64)
-    stop, piece = found[::2] + 1, found[1::2]
-    start = stop - words.piece_length[piece]
+    start, stop, piece = words.prefixes.found(text)
     alone = np.ones(nodes, bool)
     alone[last], alone[start[stop - start == 1]] = False, False
     alone = np.flatnonzero(alone)
@@ -255,15 +306,13 @@ class Chunks:
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The numbers hold until the next call, which may empty the memo."""
-        coded = pa.array(chunks, pa.large_string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.number]
+        new = [c for c in dict.fromkeys(chunks) if c not in self.number]
         if new and len(self.number) + len(new) > MEMO_WORDS:
             self.clear()
-            new = distinct
+            new = [*dict.fromkeys(chunks)]
         if new:
             self.add(new)
-        return np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
 
 def chunked(text: str | None) -> list[str]:
@@ -330,7 +379,7 @@ DIGESTS = ("doc_id bigint, n_pieces bigint, ids_sha256 string, best_score double
 
 def encoder(path: str, count: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Chunks(vocabulary(path))
+        known = known_chunks(path)
         change = pa.struct([("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))])
         kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
         for batch in batches:
@@ -346,7 +395,7 @@ def encoder(path: str, count: int):
 
 def digester(path: str, count: int):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Chunks(vocabulary(path))
+        known = known_chunks(path)
         for batch in batches:
             rows = []
             texts = (t.as_py() or "" for t in batch.column("text"))

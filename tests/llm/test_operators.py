@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,24 @@ def test_n_best_are_the_best_of_all_segmentations(vocabulary, text):
         assert vocabulary.decode(ids.tolist()) == text
 
 
+@pytest.mark.parametrize("bits", [4, 19])
+def test_all_pieces_of_a_text_are_found(monkeypatch, bits):
+    monkeypatch.setattr(pieces.Prefixes, "BITS", bits)
+    names = ["a", "ab", "abc", "bc", "▁a", "日本", "本", "zzz", "\U0010ffff", "\x00b"]
+    table = pieces.Prefixes({p[:n] for p in names for n in range(1, len(p) + 1)}, {p: i for i, p in enumerate(names)})
+    for text in ("", "abcabc", "▁abc日本本\nzzzz", "\ud800\U0010ffff\x00bc", "q" * 50):
+        found = sorted(zip(*(x.tolist() for x in table.found(text))))
+        assert found == sorted((i, i + len(p), n) for n, p in enumerate(names) for i in range(len(text)) if text.startswith(p, i))
+
+
+def test_a_worker_solves_no_chunk_twice(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["quorvane tilsome\nquorvane", None, "tilsome x" + "y" * 80]})
+    pieces.known_chunks.cache_clear()
+    first = [b.to_pylist() for b in pieces.digester(pieces.VOCABULARY, 4)(iter([batch]))]
+    monkeypatch.setattr(pieces.Chunks, "add", None)
+    assert [b.to_pylist() for b in pieces.digester(pieces.VOCABULARY, 4)(iter([batch]))] == first
+
+
 def test_changes_rebuild_segmentations_of_their_score(vocabulary, texts):
     known = pieces.Chunks(vocabulary)
     score = {i: vocabulary.score[p] for p, i in vocabulary.id.items()}
