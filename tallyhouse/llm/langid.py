@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 GRAM, SLOTS, PROBES = 4, 1 << 19, 2
 #: Texts up to this multiple of the sample are read to draw it, as the number of different texts is only estimated.
 SPARE = 2
@@ -106,6 +108,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     table = np.zeros((SLOTS, wide), np.uint64)
     if not langs:
         return langs, table
+    small_batches(labelled.sparkSession)
     chosen = sampled(labelled, sample)
     counted = chosen.mapInArrow(count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
@@ -160,6 +163,7 @@ def predictor(langs, table):
 def predict(documents: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """Adds lang_pred and score to a table with a text column; any columns of those names are replaced.  The filter has a
     fixed size of ``SLOTS`` words for each 64 languages."""
+    small_batches(documents.sparkSession)
     documents = documents.drop("lang_pred", "score")
     held = documents.sparkSession.sparkContext.broadcast(table)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", lang_pred string, score double"

@@ -30,6 +30,15 @@ def session_builder(app_name: str = "tallyhouse") -> SparkSession.Builder:
         builder = builder.config(key, value)
     return builder
 
+#: An Arrow batch of texts stands in an executor several times at once: as the JVM builds it, in the Python worker, and as it comes back.
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on no Arrow batch of the session is larger than ``BATCH_BYTES``, but for a single row; a lazy result needs this until it is
+    written, so it stays.  Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.

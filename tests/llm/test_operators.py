@@ -746,6 +746,39 @@ def test_the_mix_takes_what_the_tree_deals_out(documents, monkeypatch):
     assert 0.3 < sum(t for t, _ in found.values()) / sum(t for t, _ in want.values()) < 0.7
 
 
+def test_texts_come_in_batches_of_a_few_megabytes(spark, monkeypatch):
+    """Whatever many rows they have: 6,000 texts of 4,000 characters."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(6_000).select(F.lit(None).cast("long").alias("doc_id"), F.repeat(F.lit("word"), 1_000).alias("text")).coalesce(1)
+
+    def predictor(langs, table):
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(["x"] * batch.num_rows), pa.array([float(batch.nbytes)] * batch.num_rows)],
+                                                 [*batch.schema.names, "lang_pred", "score"])
+
+        return sizes
+
+    def featurer(width):
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("text_digest"), pa.array([batch.nbytes] * batch.num_rows), pa.array([""] * batch.num_rows),
+                     pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))], ["doc_id", "text_digest", "n_shingles", "digest", "sketch"])
+
+        return sizes
+
+    monkeypatch.setattr(langid, "predictor", predictor)
+    monkeypatch.setattr(minhash, "featurer", featurer)
+    try:
+        for frame, size in ((langid.predict(docs, ["en"], np.zeros((1, 1), np.uint64)), "score"), (minhash.near_duplicates(docs), "n_shingles")):
+            assert frame.agg(F.count("*"), F.max(size) < 5 << 20).first() == (6_000, True)
+            spark.conf.set(key, before)
+    finally:
+        spark.conf.set(key, before)
+
+
 # queries with SQL
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
