@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 
 from ..session import run_dir, small_batches
 from .components import components
-from .words import WordHashes, ascii_words, run_hashes
+from .words import WordHashes, ascii_words, release_kept, run_hashes
 
 SKETCH, BLOCK = 64, 512
+#: How many words' hashes a task holds.
+MEMO = 200_000
 #: How many further hubs a cluster of several components is compared with.
 HUBS = 8
 #: How many buckets of doc_ids the sieve before the texts' shuffle has; where all are in use it keeps nothing out.
@@ -59,7 +61,8 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
 
 def featurer(width: int):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        release_kept()
+        hashes = WordHashes(MEMO)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 sets = [shingle_set(t.as_py(), hashes, width) for t in batch.column("text")[at:at + 512]]
@@ -299,7 +302,8 @@ def finished(features: DataFrame, named: DataFrame) -> DataFrame:
 def checked_setter(width: int):
     """Full sets of the rows whose text has the wanted digest."""
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        release_kept()
+        hashes = WordHashes(MEMO)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)

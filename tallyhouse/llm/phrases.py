@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from .words import ODD, WordHashes, ascii_words, mixed, ranges, run_hashes
+from .words import ODD, WordHashes, ascii_words, mixed, ranges, release_kept, run_hashes
 
 WINDOW, GRAM = 50, 8
 BLOCK = WINDOW // 2
@@ -90,6 +90,7 @@ def neighbourhoods(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_kept()
     known = WordHashes()
     names = ["seed", "near", "near2", "doc_id", "row", "low", "high"]
     for batch in batches:
@@ -108,6 +109,7 @@ def seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The keys of the single windows in the listed neighbourhoods of each document."""
+    release_kept()
     known = WordHashes()
     names = ["key", "key2", "doc_id", "row", "low"]
     for batch in batches:

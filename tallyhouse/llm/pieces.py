@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import MEMO_WORDS, ODD, Grown, ranges
+from .words import ODD, Grown, kept, ranges
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, FALLBACK, NONE = "▁", 10.0, -1e30
 #: Scores at or below this mark pieces that no merge of the model makes (blank marks); they score like the fallback.
 UNUSED = -1e8
+#: A memo of chunks is emptied when it holds this many, so its memory is bounded; results do not depend on it.
+MEMO_CHUNKS = 200_000
 #: Texts of about so many characters are solved together; chunks above ``LONG`` characters one by one.
 GROUP_CHARS, LONG = 1_000_000, 64
 CHUNKS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -210,12 +212,14 @@ def best_and_loss(chunk: str, words: Vocabulary) -> tuple[float, list[str], floa
     return best[n], pieces[::-1], best[n] - second[n] if second[n] > NONE / 2 else float("inf")
 
 
+@kept
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """Loaded once for each Python worker, which runs many tasks."""
     return Vocabulary(path)
 
 
+@kept
 @functools.lru_cache(maxsize=1)
 def known_chunks(path: str) -> "Chunks":
     """A Python worker's memo, which outlives a task: most words of a task were met in those before it."""
@@ -307,7 +311,7 @@ class Chunks:
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The numbers hold until the next call, which may empty the memo."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.number]
-        if new and len(self.number) + len(new) > MEMO_WORDS:
+        if new and len(self.number) + len(new) > MEMO_CHUNKS:
             self.clear()
             new = [*dict.fromkeys(chunks)]
         if new:

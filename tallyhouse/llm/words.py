@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
 #: A words memo is emptied when it holds this many entries, so its memory is bounded; results do not depend on it.
 MEMO_WORDS = 800_000
+#: What empties the memos that this Python worker keeps from task to task.
+KEPT: list[Callable[[], None]] = []
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def kept(cached):
+    """A cached function whose results outlive a task, until a task of another operator calls ``release_kept``."""
+    KEPT.append(cached.cache_clear)
+    return cached
+
+
+def release_kept() -> None:
+    """Spark hands an idle Python worker on to the next job, and with it the memory of what the last operator kept there."""
+    for clear in KEPT:
+        clear()
+
+
 def ascii_words(text: str | None, table: bytes | None = None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` in UTF-8, their bytes replaced by ``table`` if there is one; ``bytes.split`` cuts at
     exactly those six bytes."""
@@ -18,10 +34,14 @@ def ascii_words(text: str | None, table: bytes | None = None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash, computed once per distinct word."""
+    """Word to 64-bit hash, computed once per distinct word while no more than ``most`` are held."""
+
+    def __init__(self, most: int = MEMO_WORDS):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

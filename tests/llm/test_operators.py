@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import chat, components, crosspoly, fertility, langid, minhash, mixing, phrases, pieces, queries, tagpaths, warc
+from tallyhouse.llm.words import WordHashes
 from tallyhouse.sources.tables import read_table
 from tests import oracle
 
@@ -252,6 +253,38 @@ def test_a_worker_solves_no_chunk_twice(monkeypatch):
     assert [b.to_pylist() for b in pieces.digester(pieces.VOCABULARY, 4)(iter([batch]))] == first
 
 
+def operators_with_texts():
+    class Filter:
+        value = np.zeros((langid.SLOTS, 1), np.uint64)
+
+    return {"language counts": langid.count_grams, "language": langid.predictor(["en"], Filter), "features": minhash.featurer(5),
+            "sets": minhash.checked_setter(5), "seeds": phrases.seed_batches, "windows": phrases.window_batches}
+
+
+@pytest.mark.parametrize("name", sorted(operators_with_texts()))
+def test_a_worker_lets_go_of_its_chunks_when_another_operator_comes(name):
+    text = {"doc_id": [1, 2], "text": ["quorvane tilsome", "tilsome"], "lang": ["en", "en"], "text_digest": [1, 2], "node": [1, 2], "digest": ["", ""],
+            "spans": [[{"row": 1, "low": 0}]] * 2}
+    [*pieces.digester(pieces.VOCABULARY, 4)(iter([pa.RecordBatch.from_pydict({k: text[k] for k in ("doc_id", "text")})]))]
+    assert pieces.known_chunks.cache_info().currsize == 1
+    [*operators_with_texts()[name](iter([pa.RecordBatch.from_pydict(text)]))]
+    assert (pieces.known_chunks.cache_info().currsize, pieces.vocabulary.cache_info().currsize) == (0, 0)
+
+
+def test_a_full_memo_changes_no_result(vocabulary, texts, monkeypatch):
+    some = [t for _, t in texts[:40]]
+    want = [pieces.n_best(t, pieces.Chunks(vocabulary), 3) for t in some]
+    most = max(len({*pieces.chunked(t)}) for t in some)
+    monkeypatch.setattr(pieces, "MEMO_CHUNKS", most)
+    known = pieces.Chunks(vocabulary)
+    for text, (ids, found) in zip(some, want):
+        got = pieces.n_best(text, known, 3)
+        assert got[0].tolist() == ids.tolist() and got[1] == found and len(known.number) <= most
+    few = WordHashes(2)
+    words = [b"a", b"b", b"c", b"a", b"d"]
+    assert few.of(words).tolist() == WordHashes().of(words).tolist() and len(few) <= 2
+
+
 def test_changes_rebuild_segmentations_of_their_score(vocabulary, texts):
     known = pieces.Chunks(vocabulary)
     score = {i: vocabulary.score[p] for p, i in vocabulary.id.items()}
