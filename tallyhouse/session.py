@@ -32,12 +32,15 @@ def session_builder(app_name: str = "tallyhouse") -> SparkSession.Builder:
 
 #: An Arrow batch of texts stands in an executor several times at once: as the JVM builds it, in the Python worker, and as it comes back.
 BATCH_BYTES = "4m"
+#: A scan of Parquet holds so many rows of texts or lists in arrays of twice their size, for each task and each side of its joins.
+SCAN_ROWS = "512"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on no Arrow batch of the session is larger than ``BATCH_BYTES``, but for a single row; a lazy result needs this until it is
-    written, so it stays.  Results do not depend on it."""
+    """From now on no Arrow batch of the session is larger than ``BATCH_BYTES``, but for a single row, and no scan of Parquet holds more than
+    ``SCAN_ROWS`` rows; a lazy result needs this until it is written, so it stays.  Results do not depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -812,6 +812,19 @@ def test_texts_come_in_batches_of_a_few_megabytes(spark, monkeypatch):
         spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("run", [lambda d: langid.predict(d, ["en"], np.zeros((1, 1), np.uint64)), minhash.near_duplicates], ids=["language", "near_dedup"])
+def test_scans_of_texts_hold_few_rows_at_once(spark, tmp_path, run):
+    """5,000 rows in one file come in at least nine batches."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    try:
+        run(spark.read.parquet(f"{tmp_path}/docs"))
+        assert 5_000 / int(spark.conf.get(key)) > 9
+    finally:
+        spark.conf.set(key, before)
+
+
 # queries with SQL
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
